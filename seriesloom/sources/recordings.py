@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seriesloom.functions.tags import signal_name, signal_unit
+from seriesloom.functions.times import ticks_of
 from seriesloom.operators.grid import TimeGrid
 from seriesloom.operators.scans import key_max, scan
 
@@ -99,9 +100,9 @@ def wide_to_samples(
     """
     signals = [c for c in wide.columns if c not in (*ids, time_of_day, date)]
     stamp = F.to_timestamp(F.concat_ws(" ", F.col(date), F.col(time_of_day)))
-    rows = wide.dropna().withColumn("time", F.unix_micros(stamp) * F.lit(ticks_per_second) / F.lit(1_000_000))
-    long = rows.select(*ids, F.col("time").cast("long").alias("time"), *[F.col(f"`{c}`").cast("double").alias(c) for c in signals])
-    long = long.unpivot([*ids, "time"], [f"`{c}`" for c in signals], "header", "value")
+    rows = wide.dropna().withColumn("time", ticks_of(stamp, ticks_per_second))
+    rows = rows.select(*ids, "time", *[F.col(f"`{c}`").cast("double").alias(c) for c in signals])
+    long = rows.unpivot([*ids, "time"], [f"`{c}`" for c in signals], "header", "value")
     return long.select(
         *ids,
         signal_name(F.col("header")).alias("channel_name"),
