@@ -46,8 +46,8 @@ def number_channels(channels: DataFrame) -> DataFrame:
 def split_channels(channels: DataFrame, max_samples: int) -> DataFrame:
     """Cut channels into pieces of at most ``max_samples``, so that one huge channel is read by many tasks."""
     pieces = F.sequence(F.lit(0).cast("long"), F.call_function("div", F.col("sample_count") - 1, F.lit(max_samples)))
-    rows = channels.withColumn("first_sample", F.explode(pieces) * max_samples)
-    return rows.withColumn("n_samples", F.least(F.lit(max_samples), F.col("sample_count") - F.col("first_sample")))
+    rows = channels.withColumn("_piece", F.explode(pieces)).withColumn("first_sample", F.col("_piece") * max_samples)
+    return rows.drop("_piece").withColumn("n_samples", F.least(F.lit(max_samples), F.col("sample_count") - F.col("first_sample")))
 
 
 def assign_bins(tasks: DataFrame, max_samples: int, shard: Column, size: str = "n_samples") -> DataFrame:

@@ -8,10 +8,13 @@ from pyspark.sql import functions as F
 from seriesloom.functions.tags import without_scheme
 from seriesloom.sources.ledger import UNPROCESSED, container_id_of, run_id_of
 
+#: The columns of Spark's binary file source.
+BINARY_FILES = "path string, modificationTime timestamp, length bigint, content binary"
+
 
 def new_files(spark: SparkSession, folder: str, max_files: int = 100, pattern: str | None = None) -> DataFrame:
     """The stream of files of a folder. Only paths are read, never the contents."""
-    reader = spark.readStream.format("binaryFile").option("maxFilesPerTrigger", max_files)
+    reader = spark.readStream.format("binaryFile").schema(BINARY_FILES).option("maxFilesPerTrigger", max_files)
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
     return reader.load(folder).select(without_scheme(F.col("path"), "file").alias("filename"))
