@@ -14,8 +14,10 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import WindowSpec
 
 from seriesloom.operators.grid import SLICE, TimeGrid
+from seriesloom.operators.scans import by_slices, stitch
 
 KEY = ("container_id",)
 
@@ -152,3 +154,60 @@ def locate(
 
 def _nullable(schema: T.StructType) -> T.StructType:
     return T.StructType([T.StructField(f.name, f.dataType, True) for f in schema.fields])
+
+
+def _islands(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Unions of overlapping and touching intervals by one window: an island starts after everything before has ended."""
+    w = Window.partitionBy(*keys).orderBy("tstart", "tend")
+    reach = F.max("tend").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    marked = rows.select(
+        *keys, "tstart", reach.alias("_reach"), F.max("tend").over(Window.partitionBy(*keys)).alias("_end")
+    )
+    starts = marked.where(F.col("_reach").isNull() | (F.col("tstart") > F.col("_reach")))
+    order = Window.partitionBy(*keys).orderBy("tstart")
+    return starts.select(
+        *keys, "tstart", F.coalesce(F.lead("_reach").over(order), F.col("_end")).alias("tend")
+    )
+
+
+def merge_in_window(rows: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
+    return _islands(rows, keys)
+
+
+def merge_in_slices(rows: DataFrame, grid: TimeGrid, keys: Sequence[str] = KEY) -> DataFrame:
+    """Intervals are cut at the slice bounds and merged inside each slice. Across slices only islands that end on a bound
+    and begin on the same bound belong together, so a slice's summary is its first and last island.
+    """
+    cut = into_slices(rows, grid)
+    width = grid.slice_ticks
+    # Slices are cut by whole-number division, which rounds towards 0: slice 0 reaches from -width to width.
+    lo = F.when(F.col(SLICE) > 0, F.col(SLICE) * width).otherwise((F.col(SLICE) - 1) * width + 1)
+    hi = F.when(F.col(SLICE) >= 0, (F.col(SLICE) + 1) * width).otherwise(F.col(SLICE) * width + 1)
+    cut = cut.select(
+        *keys, SLICE, F.greatest("tstart", lo).alias("tstart"), F.least("tend", hi).alias("tend")
+    )
+    cut = by_slices(cut, keys)
+    local = _islands(cut, (*keys, SLICE)).withColumn("_lo", lo).withColumn("_hi", hi)
+    summary = {
+        "_first": F.min(F.struct("tstart", "tend")),
+        "_last": F.max(F.struct("tstart", "tend")),
+        "_slice_lo": F.min("_lo"),
+        "_slice_hi": F.max("_hi"),
+    }
+
+    def carry(slices: DataFrame, over: WindowSpec) -> DataFrame:
+        goes_on = (F.col("_first.tstart") == F.col("_slice_lo")) & (F.lag("_last.tend").over(over) == F.col("_slice_lo"))
+        slices = slices.withColumn("_goes_on", F.coalesce(goes_on, F.lit(False)))
+        leaves = (F.col("_last.tend") == F.col("_slice_hi")) & F.coalesce(F.lead("_goes_on").over(over), F.lit(False))
+        slices = slices.withColumn("_leaves", leaves)
+        # Where a stretch coming from the left ends: with the first island, unless that fills the slice and leaves it.
+        through = F.col("_leaves") & (F.col("_first") == F.col("_last"))
+        slices = slices.withColumn("_stop", F.when(~through, F.col("_first.tend")))
+        after = over.rowsBetween(1, Window.unboundedFollowing)
+        return slices.withColumn("_far_end", F.first("_stop", ignorenulls=True).over(after)).drop("_stop")
+
+    stitched = stitch(local, cut.columns, keys, summary, carry)
+    is_first = F.col("tstart") == F.col("_lo")
+    kept = stitched.where(~(is_first & F.col("_goes_on")))
+    ends_on_bound = (F.col("tend") == F.col("_hi")) & F.col("_leaves")
+    return kept.select(*keys, "tstart", F.when(ends_on_bound, F.col("_far_end")).otherwise(F.col("tend")).alias("tend"))

@@ -20,10 +20,15 @@ SLICE = "_slice"
 
 @dataclass(frozen=True)
 class TimeGrid:
-    """Ticks per second of the time columns and the width of a slice (None: do not slice)."""
+    """Ticks per second of the time columns and the width of a slice (None: do not slice).
+
+    ``many_copies`` says that single instants hold too many rows for one task, which no slicing can split; encoding then
+    combines copies of a sample before it shuffles by slice.
+    """
 
     ticks_per_second: int = 1_000_000_000
     slice_ticks: int | None = None
+    many_copies: bool = False
 
     def __post_init__(self) -> None:
         if self.ticks_per_second <= 0:
@@ -63,8 +68,9 @@ def measure_grid(
     """Choose the slice width so that no (recording, slice) holds much more than ``target_rows`` rows.
 
     One aggregation counts the rows per recording, with map-side combining. Only when a recording is above the target
-    is the width searched for: the even split first, then halved while some slice of a large recording is still over
-    twice the target, so that bursts are split too. The recordings to look at are at most rows / target_rows.
+    is the width searched for: the even split first, then narrower while some slice of a large recording is still over
+    twice the target, so that bursts are split too. Narrowing that no longer helps is taken back: what is left then are
+    copies of single instants. The recordings to look at are at most rows / target_rows.
     """
     per_key = samples.groupBy(key).agg(
         F.count(F.lit(1)).alias("n"), F.min(time).alias("lo"), F.max(time).alias("hi")
@@ -77,17 +83,18 @@ def measure_grid(
         return plain
     large = per_key.where(F.col("n") > target_rows).select(key)
     of_large = samples.select(key, time).join(large, key, "left_semi")
-    span = total["hi"] - total["lo"] + 1
-    width = max(1, span // -(-total["n"] // target_rows))
+
+    def worst_slice(width: int) -> int:
+        at = plain.with_slices(width).slice_of(F.col(time)).alias(SLICE)
+        return of_large.groupBy(key, at).count().agg(F.max("count")).first()[0]
+
+    width = max(1, (total["hi"] - total["lo"] + 1) // -(-total["n"] // target_rows))
+    best, worst = width, worst_slice(width)
     for _ in range(rounds):
-        grid = plain.with_slices(width)
-        worst = (
-            of_large.groupBy(key, grid.slice_of(F.col(time)).alias(SLICE))
-            .count()
-            .agg(F.max("count"))
-            .first()[0]
-        )
         if worst <= 2 * target_rows or width == 1:
             break
         width = max(1, width // max(2, worst // target_rows))
-    return plain.with_slices(width)
+        narrower = worst_slice(width)
+        if narrower < 0.9 * worst:
+            best, worst = width, narrower
+    return replace(plain, slice_ticks=best, many_copies=worst > 2 * target_rows)

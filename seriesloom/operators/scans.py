@@ -7,7 +7,7 @@ then the two are put together by a join of the summaries on (key, slice), which
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -142,6 +142,45 @@ key_min = _whole_key(F.min, lambda local, carried: carried)
 key_count = _whole_key(F.count, lambda local, carried: carried)
 
 
+def in_slices(df: DataFrame, keys: Sequence[str], grid: TimeGrid, time: str) -> DataFrame:
+    """Rows shuffled by (key, slice). Rows without a time are no samples and go."""
+    rows = df.withColumn(SLICE, grid.slice_of(F.col(time)))
+    return by_slices(rows, keys)
+
+
+def by_slices(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows that have their slice already, shuffled by (key, slice).
+
+    The filter says what the join of the summaries would ask of one side only; said for both sides, the two branches of a
+    scan stay alike below the shuffle, and Spark runs it once.
+    """
+    for c in (*keys, SLICE):
+        rows = rows.where(F.col(c).isNotNull())
+    return rows.repartition(*keys, SLICE)
+
+
+def stitch(
+    local: DataFrame,
+    shuffled: Sequence[str],
+    keys: Sequence[str],
+    summary: Mapping[str, Column],
+    carry: Callable[[DataFrame, WindowSpec], DataFrame],
+) -> DataFrame:
+    """Give the rows of each slice what the other slices of the key know.
+
+    ``local`` holds the rows with what was computed inside their slice, ``shuffled`` names the columns that went through
+    the shuffle. ``summary`` makes one row per slice; ``carry`` adds columns to these, with a window over the slices of a
+    key in their order. The result is joined back: it is small, and both sides are partitioned by (key, slice) already.
+    """
+    by_slice = [*keys, SLICE]
+    # The hash is never null. Asking for it makes both branches read the same columns of the shuffle.
+    seen = F.max(F.xxhash64(*shuffled)).alias("_seen")
+    slices = local.groupBy(*by_slice).agg(*[c.alias(n) for n, c in summary.items()], seen)
+    slices = slices.where(F.col("_seen").isNotNull()).drop("_seen")
+    carried = carry(slices, Window.partitionBy(*keys).orderBy(SLICE))
+    return local.join(carried.drop(*summary), by_slice, "left")
+
+
 def scan(
     df: DataFrame,
     keys: Sequence[str],
@@ -153,25 +192,74 @@ def scan(
     """Add one column per scan. ``order`` must start with a column that orders rows as ``time`` does."""
     if not grid.sliced:
         w = Window.partitionBy(*keys).orderBy(*order)
-        return df.select("*", *[s.local(w).alias(name) for name, s in scans.items()])
+        rows = df.where(F.col(time).isNotNull())
+        return rows.select("*", *[s.local(w).alias(name) for name, s in scans.items()])
 
-    by_slice = [*keys, SLICE]
-    rows = df.withColumn(SLICE, grid.slice_of(F.col(time))).repartition(*by_slice)
+    rows = in_slices(df, keys, grid, time)
+    w = Window.partitionBy(*keys, SLICE).orderBy(*order)
+    local = rows.select("*", *[s.local(w).alias(f"_l_{name}") for name, s in scans.items()])
     order_key = F.struct(*order)
-    summary = rows.groupBy(*by_slice).agg(
-        *[s.summary(order_key).alias(name) for name, s in scans.items()],
-        F.max(F.xxhash64(*rows.columns)).alias("_rows"),
-    )
-    # The hash is never null. Asking for it makes both branches read the same columns, so Spark runs the shuffle of the
-    # rows once and reuses it.
-    summary = summary.where(F.col("_rows").isNotNull())
-    over_slices = Window.partitionBy(*keys).orderBy(SLICE)
-    carried = summary.select(
-        *by_slice, *[s.carry(over_slices, F.col(name)).alias(f"_c_{name}") for name, s in scans.items()]
+    stitched = stitch(
+        local,
+        rows.columns,
+        keys,
+        {f"_s_{name}": s.summary(order_key) for name, s in scans.items()},
+        lambda slices, over: slices.select(
+            "*", *[s.carry(over, F.col(f"_s_{name}")).alias(f"_c_{name}") for name, s in scans.items()]
+        ),
     )
-    w = Window.partitionBy(*by_slice).orderBy(*order)
-    local = rows.select("*", *[s.local(w).alias(f"_l_{name}") for name, s in scans.items()])
-    return local.join(carried, by_slice, "left").select(
+    return stitched.select(
         *df.columns,
         *[s.merge(F.col(f"_l_{name}"), F.col(f"_c_{name}")).alias(name) for name, s in scans.items()],
     )
+
+
+def step_sums(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    grid: TimeGrid,
+    time: str,
+    columns: Sequence[str],
+    **steps: Callable[[Column, Column], Column],
+) -> DataFrame:
+    """Running sums of steps between neighbouring rows. A step gets the previous and the present row as structs of
+    ``columns``; the first row of a key has a step of 0. One pass, where a scan for the neighbours and another for the
+    sums would be two.
+    """
+    here = F.struct(*columns)
+
+    def zero(row: Column, step: Callable[[Column, Column], Column]) -> Column:
+        return step(row, row) * 0
+
+    def with_sums(rows: DataFrame, w: WindowSpec) -> DataFrame:
+        rows = rows.withColumn("_before", F.lag(here).over(w))
+        added = [F.coalesce(step(F.col("_before"), here), zero(here, step)).alias(f"_d_{n}") for n, step in steps.items()]
+        rows = rows.select("*", *added)
+        return rows.select("*", *[F.sum(f"_d_{n}").over(_upto(w)).alias(n) for n in steps]).drop(
+            "_before", *[f"_d_{n}" for n in steps]
+        )
+
+    if not grid.sliced:
+        return with_sums(df, Window.partitionBy(*keys).orderBy(*order))
+
+    rows = in_slices(df, keys, grid, time)
+    local = with_sums(rows, Window.partitionBy(*keys, SLICE).orderBy(*order))
+    order_key = F.struct(*order)
+
+    def carry(slices: DataFrame, over: WindowSpec) -> DataFrame:
+        # The step into a slice is known only here; it counts for all rows of the slice.
+        enter = [
+            F.coalesce(step(F.lag("_last").over(over), F.col("_first")), zero(F.col("_first"), step)).alias(f"_e_{n}")
+            for n, step in steps.items()
+        ]
+        slices = slices.select("*", *enter)
+        earlier = {n: F.sum(F.col(f"_e_{n}") + F.col(f"_t_{n}")).over(_before(over)) for n in steps}
+        return slices.select(
+            "*", *[(F.col(f"_e_{n}") + F.coalesce(earlier[n], F.col(f"_e_{n}") * 0)).alias(f"_c_{n}") for n in steps]
+        )
+
+    summary = {"_first": F.min_by(here, order_key), "_last": F.max_by(here, order_key)}
+    summary.update({f"_t_{n}": F.max_by(n, order_key) for n in steps})
+    stitched = stitch(local, rows.columns, keys, summary, carry)
+    return stitched.select(*df.columns, *[(F.col(n) + F.col(f"_c_{n}")).alias(n) for n in steps])

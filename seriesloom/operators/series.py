@@ -18,18 +18,16 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriesloom.operators.align import KEY, locate, overlaps
+from seriesloom.operators.align import KEY, locate, merge_in_slices, merge_in_window, overlaps
 from seriesloom.operators.grid import TimeGrid
 from seriesloom.operators.scans import (
     following,
-    key_max,
     last_known,
     next_known,
     previous,
     running_count,
-    running_max_before,
-    running_sum,
     scan,
+    step_sums,
 )
 
 ID = "container_id"
@@ -171,15 +169,9 @@ class Intervals(_Series):
         """Union of overlapping and touching intervals; empty ones vanish."""
         if self.disjoint:
             return self
-        rows = Intervals(self.frame.where(F.col("tend") > F.col("tstart")), self.grid)._scan(
-            ("tstart", "tend"),
-            _reach=running_max_before(F.col("tend")),
-            _end=key_max(F.col("tend")),
-        )
-        starts = rows.where(F.col("_reach").isNull() | (F.col("tstart") > F.col("_reach"))).drop("tend")
-        # An island ends where everything before the next island has ended.
-        made = scan(starts, KEY, ("tstart",), self.grid, "tstart", _next=following(F.col("_reach")))
-        return Intervals(made.withColumn("tend", F.coalesce("_next", "_end")), self.grid, disjoint=True)
+        rows = self.frame.where(F.col("tend") > F.col("tstart"))
+        merged = merge_in_slices(rows, self.grid) if self.grid.sliced else merge_in_window(rows)
+        return Intervals(merged, self.grid, disjoint=True)
 
     def __and__(self, other: Intervals) -> Intervals:
         _need(other, Intervals)
@@ -491,39 +483,36 @@ class SampleSeries(_Series):
             rows.withColumn("value", F.coalesce(F.col("value") - F.col("_before"), F.lit(0.0))), self.grid
         )
 
-    def _trapezoids(self) -> DataFrame:
-        rows = self._scan(("tstart", "tend"), _before=previous(F.struct("tstart", "tend", "value")))
-        area = (F.col("value") + F.col("_before.value")) / 2 * (F.col("tstart") - F.col("_before.tstart"))
-        return rows.select(
-            *self.columns,
-            F.coalesce(area, F.lit(0.0)).alias("_area"),
-            (F.col("_before.tend") < F.col("tstart")).alias("_gap"),
+    def _running(self, **steps: Callable[[Column, Column], Column]) -> DataFrame:
+        return step_sums(
+            self.frame, KEY, ("tstart", "tend"), self.grid, "tstart", ("tstart", "tend", "value"), **steps
         )
 
     def cumtrapz(self, cum_across_uncontinuous_intervals: bool = True) -> SampleSeries:
         """Running integral over ticks by the trapezoidal rule. With False it starts anew after every gap."""
-        rows = self._trapezoids()
-        gap = F.coalesce(F.col("_gap"), F.lit(False))
-        order = ("tstart", "tend")
         if cum_across_uncontinuous_intervals:
-            rows = scan(rows, KEY, order, self.grid, "tstart", _sum=running_sum(F.col("_area")))
-            return SampleSeries(rows.withColumn("value", F.col("_sum")), self.grid)
-        rows = rows.withColumn("_area", F.when(gap, F.lit(0.0)).otherwise(F.col("_area")))
-        rows = scan(rows, KEY, order, self.grid, "tstart", _part=running_sum(gap.cast("long")))
-        rows = scan(rows, (*KEY, "_part"), order, self.grid, "tstart", _sum=running_sum(F.col("_area")))
+            return SampleSeries(self._running(_sum=_trapezoid).withColumn("value", F.col("_sum")), self.grid)
+        rows = self._running(_part=_gap)
+        rows = step_sums(
+            rows,
+            (*KEY, "_part"),
+            ("tstart", "tend"),
+            self.grid,
+            "tstart",
+            ("tstart", "tend", "value"),
+            _sum=_trapezoid,
+        )
         return SampleSeries(rows.withColumn("value", F.col("_sum")), self.grid)
 
     def trapz(self) -> DataFrame:
         """Integral over the whole recording, in value x ticks."""
-        return self._trapezoids().groupBy(ID).agg(F.sum("_area").alias("value"))
+        rows = self._scan(("tstart", "tend"), _before=previous(F.struct("tstart", "tend", "value")))
+        area = _trapezoid(F.col("_before"), F.struct("tstart", "tend", "value"))
+        return rows.groupBy(ID).agg(F.sum(F.coalesce(area, F.lit(0.0))).alias("value"))
 
     def continuity(self) -> DataFrame:
         """The runs with the number of gaps before them."""
-        gap = F.coalesce(F.col("_before") < F.col("tstart"), F.lit(False)).cast("long")
-        rows = self._scan(("tstart", "tend"), _before=previous(F.col("tend")))
-        return scan(
-            rows.withColumn("_gap", gap), KEY, ("tstart", "tend"), self.grid, "tstart", part=running_sum(F.col("_gap"))
-        ).select(*self.columns, "part")
+        return self._running(part=_gap)
 
     def resample(self, sample_rate: int, interp_kind: str = "previous") -> SampleSeries:
         """Values on the grid start, start + rate, ... up to the end of the recording, each held until the next.
@@ -620,6 +609,14 @@ class SampleSeries(_Series):
         return self._within(intervals, _weighted_mean)
 
 
+def _trapezoid(before: Column, now: Column) -> Column:
+    return (now["value"] + before["value"]) / 2 * (now["tstart"] - before["tstart"])
+
+
+def _gap(before: Column, now: Column) -> Column:
+    return (before["tend"] < now["tstart"]).cast("long")
+
+
 def _length() -> Column:
     return F.col("tend") - F.col("tstart")
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import operator
 from collections.abc import Callable, Iterator, Mapping, Sequence
+from copy import copy
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,7 @@ from seriesloom.operators import histograms as H
 from seriesloom.operators.grid import TimeGrid
 from seriesloom.operators.series import Intervals, PointsInTime, SampleSeries
 from seriesloom.operators.statistics import event_statistics
+from seriesloom.sources.scratch import scratch_folder
 from seriesloom.plans.definitions import Event, Histogram1D, Histogram2D, ReportDefinition, Statistics
 
 _COMPARE = {
@@ -82,8 +84,9 @@ def evaluate_event(event: Event, signals: Mapping[str, SampleSeries]) -> Interva
 class Report:
     """Lazy: signals, events and masked signals are planned on first use and shared by all aggregations.
 
-    ``channel`` gives the sample series of a physical signal from its tags. Shared parts with more than one consumer are
-    persisted (memory and disk) while ``write`` runs.
+    ``channel`` gives the sample series of a physical signal from its tags. Signals with more than one consumer are
+    persisted (memory and disk) while ``write`` runs. On a sliced grid, where recordings are large and plans deep, each
+    signal and event is written to ``scratch`` on first use instead and read back, which survives lost executors.
     """
 
     def __init__(
@@ -92,11 +95,13 @@ class Report:
         definition: ReportDefinition,
         channel: Callable[[Mapping[str, str]], SampleSeries],
         sessions: DataFrame | None = None,
+        scratch: str | None = None,
     ) -> None:
         self.spark = spark
         self.definition = definition
         self.sessions = sessions
         self._channel = channel
+        self._scratch = scratch
         self._signals: dict[str, SampleSeries] = {}
         self._events: dict[str, Intervals | PointsInTime] = {}
         self._by_name = {s.name: s for s in definition.signals}
@@ -107,18 +112,30 @@ class Report:
         if name not in self._signals:
             spec = self._by_name[name]
             made = self._channel(spec.channel) if spec.channel is not None else spec.build(_Named(self))
-            if not isinstance(made, (SampleSeries, Intervals, PointsInTime)) and not hasattr(made, "frame"):
+            if not hasattr(made, "eval_type"):
                 raise TypeError(f"signal {name!r} is not a series")
-            self._signals[name] = made
+            self._signals[name] = self._settled(f"signal_{name}", made)
         return self._signals[name]
 
     def event(self, name: str | None):
         if name is None:
             return None
         if name not in self._events:
-            self._events[name] = evaluate_event(self._event_by_name[name], _Named(self))
+            made = evaluate_event(self._event_by_name[name], _Named(self))
+            self._events[name] = self._settled(f"event_{name}", made)
         return self._events[name]
 
+    def _settled(self, name: str, series):
+        """The series read back from a written table, where plans would otherwise grow over large recordings."""
+        if not series.grid.sliced:
+            return series
+        if self._scratch is None:
+            self._scratch = scratch_folder(self.spark, self.definition.name)
+        series.frame.write.mode("overwrite").parquet(f"{self._scratch}/{name}")
+        back = copy(series)
+        back.frame = self.spark.read.parquet(f"{self._scratch}/{name}")
+        return back
+
     def label(self, signal: str) -> str:
         return self._by_name[signal].label or signal
 
@@ -232,6 +249,7 @@ class Report:
         """Write all tables as parquet; facts in batches of definitions. Returns table name -> path."""
         prefix = prefix or f"{self.definition.name}_report"
         shared = [self.signal(n) for n, uses in self._uses().items() if uses > 1]
+        shared = [s for s in shared if not s.grid.sliced]
         for s in shared:
             s.persist()
         paths = {}

@@ -17,6 +17,7 @@ from seriesloom.operators.scans import running_sum, scan
 from seriesloom.operators.series import Intervals, SampleSeries
 from seriesloom.plans.catalog import MeasurementCatalog
 from seriesloom.plans.metadata import channel_metrics, container_metrics
+from seriesloom.sources.scratch import scratch_folder
 from seriesloom.plans.profile import AliasMap, ChannelMap, Profile
 
 TICKS = 1_000_000
@@ -86,6 +87,17 @@ class Data:
         """Run-length encoded values of all channels."""
         return encode_runs(self.samples, self.grid)
 
+    def _encoded(self, name: str, samples: DataFrame) -> DataFrame:
+        """The runs of one channel. On a sliced grid they are written once and read back, as the silver table would be."""
+        runs = encode_runs(samples, self.grid)
+        if not self.grid.sliced:
+            return runs
+        if (name, self.grid) not in self.memo:
+            folder = scratch_folder(self.spark, "runs")
+            runs.write.parquet(folder)
+            self.memo[name, self.grid] = folder
+        return self.spark.read.parquet(self.memo[name, self.grid])
+
     @property
     def levels(self) -> DataFrame:
         """Run-length encoded coarse values (steps of ``LEVEL``) of all channels."""
@@ -96,10 +108,10 @@ class Data:
         return samples.withColumn("value", F.floor(F.col("value") / LEVEL).cast("double"))
 
     def signal(self, name: str) -> SampleSeries:
-        return SampleSeries(encode_runs(self.channel_samples(name), self.grid), self.grid)
+        return SampleSeries(self._encoded(f"runs {name}", self.channel_samples(name)), self.grid)
 
     def level(self, name: str) -> SampleSeries:
-        return SampleSeries(encode_runs(self._coarse(self.channel_samples(name)), self.grid), self.grid)
+        return SampleSeries(self._encoded(f"levels {name}", self._coarse(self.channel_samples(name))), self.grid)
 
     @property
     def odometer(self) -> SampleSeries:
