@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,30 +19,27 @@ DEFAULT_LABELS = ("min", "max", "mean", "median")
 GROUP = (ID, "event_instance_id", "channel_name")
 
 
-def weighted_median(rows: DataFrame, keys: Sequence[str], grid: TimeGrid, pieces: int = 256) -> DataFrame:
+def _with_totals(rows: DataFrame, keys: Sequence[str], weight: str, count: str) -> DataFrame:
+    """Cumulative and total weight and count along ``value``."""
+    w = Window.partitionBy(*keys)
+    upto = w.orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return rows.select(
+        "*",
+        F.sum(weight).over(upto).alias("cw"),
+        F.sum(count).over(upto).alias("cn"),
+        F.sum(weight).over(w).alias("tw"),
+        F.sum(count).over(w).alias("tn"),
+    )
+
+
+def weighted_median(rows: DataFrame, keys: Sequence[str], pieces: int = 256) -> DataFrame:
     """Smallest ``value`` whose cumulative ``weight`` reaches half of the total; by count when all weights are 0.
 
-    Equal values are added up first. On a sliced grid a group may be too large for one task: its values are cut into
-    pieces at approximate quantiles, the piece holding the middle is found from the piece totals, and only that piece is
-    ordered. The result is exact in both cases.
+    For groups too large for one task. Equal values are added up first; the values are cut into pieces at approximate
+    quantiles, the piece holding the middle is found from the piece totals, and only that piece is put in order. The
+    result is exact.
     """
     rows = rows.where(~F.isnan("value")).select(*keys, "value", "weight")
-    if not grid.sliced:
-        by_value = rows.groupBy(*keys, "value").agg(
-            F.sum("weight").alias("w"), F.count(F.lit(1)).alias("n")
-        )
-        w = Window.partitionBy(*keys)
-        upto = w.orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        measured = by_value.select(
-            *keys,
-            "value",
-            F.sum("w").over(upto).alias("cw"),
-            F.sum("n").over(upto).alias("cn"),
-            F.sum("w").over(w).alias("tw"),
-            F.sum("n").over(w).alias("tn"),
-        )
-        return measured.where(_reached()).groupBy(*keys).agg(F.min("value").alias("median"))
-
     cuts = [i / pieces for i in range(1, pieces)]
     edges = rows.groupBy(*keys).agg(F.percentile_approx("value", cuts, 1000).alias("_edges"))
     placed = rows.join(edges, list(keys)).withColumn(
@@ -149,18 +147,22 @@ def summarise(rows: DataFrame, labels: Sequence[str], grid: TimeGrid, keys: Sequ
         "std": F.sqrt(F.greatest(square - mean * mean, F.lit(0.0))),
         "count": F.count(F.lit(1)).cast("double"),
     }
+    if not grid.sliced:
+        # Groups fit into a task: the median comes from the same sorted groups, all in one shuffle.
+        if "median" in labels:
+            rows = _with_totals(rows.withColumn("_n", v.isNotNull().cast("long")), keys, "weight", "_n")
+            simple["median"] = F.min(F.when(_reached(), v))
+        wide = rows.groupBy(*keys).agg(*[simple[label].alias(label) for label in labels])
+        return wide.unpivot(list(keys), list(labels), "aggregation_label", "statistic_value")
     wanted = [label for label in labels if label != "median"]
     parts = []
     if wanted:
         wide = rows.groupBy(*keys).agg(*[simple[label].alias(label) for label in wanted])
         parts.append(wide.unpivot(list(keys), wanted, "aggregation_label", "statistic_value"))
     if "median" in labels:
-        median = weighted_median(rows, keys, grid)
+        median = weighted_median(rows, keys)
         parts.append(median.unpivot(list(keys), ["median"], "aggregation_label", "statistic_value"))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    return reduce(DataFrame.unionByName, parts)
 
 
 def event_statistics(

@@ -30,13 +30,11 @@ def verdict(deviation_pct: Column) -> Column:
 
 
 def _totals(fact: DataFrame, dimension: DataFrame, side: str) -> DataFrame:
-    rows = fact.where(F.col("hist_value") > 0).groupBy("visual_id", "container_id", "bin_id").agg(
-        F.sum("hist_value").alias("v")
-    )
-    per = rows.groupBy("visual_id").agg(
-        F.sum("v").alias(f"{side}_total"),
+    # The set of bins is bounded by the definition; only the recordings need a distinct count.
+    per = fact.where(F.col("hist_value") > 0).groupBy("visual_id").agg(
+        F.sum("hist_value").alias(f"{side}_total"),
         F.countDistinct("container_id").alias(f"{side}_sessions"),
-        F.countDistinct("bin_id").alias(f"{side}_bins_with_data"),
+        F.size(F.collect_set("bin_id")).cast("long").alias(f"{side}_bins_with_data"),
     )
     return dimension.select("visual_id", F.col("name").alias("histogram_name")).join(per, "visual_id").drop("visual_id")
 

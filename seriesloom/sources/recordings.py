@@ -24,15 +24,18 @@ Enumerator = Callable[[str], Iterable[dict]]
 Decoder = Callable[[str, int, int, int, int], pd.DataFrame]
 
 
+#: Small pieces are gathered up to this many samples before they go back to Spark.
+OUTPUT_ROWS = 100_000
+
+
 def list_channels(files: DataFrame, enumerate_file: Enumerator) -> DataFrame:
     """One row per channel of each file. Channels with at most one sample are left out."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for filename in batch["filename"]:
-                rows = [{"filename": filename, **c} for c in enumerate_file(filename)]
-                if rows:
-                    yield pd.DataFrame(rows)
+            found = [{"filename": name, **c} for name in batch["filename"] for c in enumerate_file(name)]
+            if found:
+                yield pd.DataFrame(found)
 
     return files.select("filename").mapInPandas(read, CHANNELS).where(F.col("sample_count") > 1)
 
@@ -67,20 +70,26 @@ def assign_bins(tasks: DataFrame, max_samples: int, shard: Column, size: str = "
 
 
 def read_bins(tasks: DataFrame, decode: Decoder, partitions: int | None = None) -> DataFrame:
-    """Read all pieces. Tasks of a bin share a partition and come sorted by file; samples leave piece by piece."""
+    """Read all pieces. Tasks of a bin share a partition and come sorted by file; samples leave in batches."""
     by = ["shard", "bin"]
     spread = tasks.repartition(partitions, *by) if partitions else tasks.repartition(*by)
     columns = ["filename", "channel_id", "channel_name", "unit"]
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts, size = [], 0
         for batch in batches:
             for task in batch.itertuples(index=False):
                 part = decode(task.filename, task.group_idx, task.channel_idx, task.first_sample, task.n_samples)
-                if len(part):
-                    part = part[["time", "value"]].copy()
-                    for c in columns:
-                        part[c] = getattr(task, c)
-                    yield part[[*columns, "time", "value"]]
+                if len(part) == 0:
+                    continue
+                named = {c: getattr(task, c) for c in columns}
+                parts.append(pd.DataFrame({**named, "time": part["time"].to_numpy(), "value": part["value"].to_numpy()}))
+                size += len(part)
+                if size >= OUTPUT_ROWS:
+                    yield pd.concat(parts, ignore_index=True)
+                    parts, size = [], 0
+        if parts:
+            yield pd.concat(parts, ignore_index=True)
 
     ordered = spread.sortWithinPartitions(*by, "filename", "group_idx", "channel_idx", "first_sample")
     return ordered.mapInPandas(read, SAMPLES)

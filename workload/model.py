@@ -17,8 +17,9 @@ from seriesloom.operators.scans import running_sum, scan
 from seriesloom.operators.series import Intervals, SampleSeries
 from seriesloom.plans.catalog import MeasurementCatalog
 from seriesloom.plans.metadata import channel_metrics, container_metrics
-from seriesloom.sources.scratch import scratch_folder
 from seriesloom.plans.profile import AliasMap, ChannelMap, Profile
+from seriesloom.sources.scratch import scratch_folder
+from seriesloom.sources.tables import clustered
 
 TICKS = 1_000_000
 HOUR = 3600 * TICKS
@@ -87,6 +88,15 @@ class Data:
         """Run-length encoded values of all channels."""
         return encode_runs(self.samples, self.grid)
 
+    @property
+    def silver(self) -> DataFrame:
+        """The runs of all channels as the ingest job leaves them for reports: a written table, sorted by channel."""
+        if ("silver", self.grid) not in self.memo:
+            folder = scratch_folder(self.spark, "silver")
+            clustered(self.runs, ["container_id", "channel_id", "tstart"]).write.parquet(folder)
+            self.memo["silver", self.grid] = folder
+        return self.spark.read.parquet(self.memo["silver", self.grid])
+
     def _encoded(self, name: str, samples: DataFrame) -> DataFrame:
         """The runs of one channel. On a sliced grid they are written once and read back, as the silver table would be."""
         runs = encode_runs(samples, self.grid)

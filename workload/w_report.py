@@ -294,7 +294,7 @@ def definition() -> ReportDefinition:
 def report_of(d) -> Report:
     if "report" not in d.memo:
         find = d.catalog().channels_matching
-        d.memo["report"] = Report(d.spark, definition(), channel_source(d.runs, find, d.grid), d.container_metrics)
+        d.memo["report"] = Report(d.spark, definition(), channel_source(d.silver, find, d.grid), d.container_metrics)
     return d.memo["report"]
 
 
