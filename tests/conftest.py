@@ -14,12 +14,12 @@ from tools.check_oracle import session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    spark = session()
+    spark = session(partitions=4)
     yield spark
     spark.stop()
 
 
-@pytest.fixture(params=[None, 7, 40], ids=["plain", "slices of 7", "slices of 40"])
+@pytest.fixture(params=[None, 7], ids=["plain", "slices of 7"])
 def grid(request):
     """Every series test runs in one window and with time slices narrower than its runs."""
     return TimeGrid(1000, request.param)
