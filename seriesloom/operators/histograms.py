@@ -59,7 +59,7 @@ def binned(
     stride = n_cells
     for (prefix, (_, edges)), size in zip(axes.items(), sizes):
         stride //= size
-        index = F.pmod(F.floor(F.col("_cell") / stride), F.lit(size)).cast("int")
+        index = F.pmod(F.call_function("div", F.col("_cell"), F.lit(stride)), F.lit(size)).cast("int")
         columns += _axis(prefix, edges, index)
     return filled.select(
         ID, *columns, F.coalesce(F.try_element_at("_cells", F.col("_cell")), F.lit(0.0)).alias("hist_value")

@@ -31,8 +31,12 @@ def channel_metrics(samples: DataFrame, ticks_per_second: int) -> DataFrame:
 
 
 def channel_tags(samples: DataFrame, tags: Sequence[str]) -> DataFrame:
-    """Key/value rows of the tag columns; the smallest value where a channel has several, so reruns agree."""
-    firsts = samples.groupBy(*CHANNEL).agg(*[F.min(F.col(t).cast("string")).alias(t) for t in tags])
+    """Key/value rows of the tag columns; the smallest value where a channel has several, so reruns agree.
+
+    The distinct tag sets come first: that aggregation works on hashes, where the smallest of strings needs a sort.
+    """
+    sets = samples.select(*CHANNEL, *[F.col(t).cast("string").alias(t) for t in tags]).distinct()
+    firsts = sets.groupBy(*CHANNEL).agg(*[F.min(t).alias(t) for t in tags])
     return firsts.unpivot(list(CHANNEL), list(tags), "key", "value")
 
 
@@ -41,14 +45,14 @@ def container_metrics(samples: DataFrame, ticks_per_second: int, vehicle: str =
 
     The channels are brought to one row each first, so that a large recording is spread over its channels.
     """
-    per_channel = samples.groupBy(*CHANNEL).agg(
-        F.min(vehicle).alias("vehicle_key"), F.min("time").alias("lo"), F.max("time").alias("hi")
+    per_channel = samples.groupBy(*CHANNEL, F.col(vehicle).alias("vehicle_key")).agg(
+        F.min("time").alias("lo"), F.max("time").alias("hi")
     )
     per = per_channel.groupBy("container_id").agg(
         F.min("vehicle_key").alias("vehicle_key"),
         F.min("lo").alias("lo"),
         F.max("hi").alias("hi"),
-        F.count(F.lit(1)).cast("int").alias("num_channels"),
+        F.countDistinct("channel_id").cast("int").alias("num_channels"),
     )
     start, stop = timestamp_of(F.col("lo"), ticks_per_second), timestamp_of(F.col("hi"), ticks_per_second)
     return per.select(

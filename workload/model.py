@@ -98,8 +98,11 @@ class Data:
         return self.spark.read.parquet(self.memo["silver", self.grid])
 
     def _encoded(self, name: str, samples: DataFrame) -> DataFrame:
-        """The runs of one channel. On a sliced grid they are written once and read back, as the silver table would be."""
-        runs = encode_runs(samples, self.grid)
+        """The runs of one channel. On a sliced grid they are written once and read back, as the silver table would be.
+
+        One channel needs the recording only as key; what follows on the same key is then placed already.
+        """
+        runs = encode_runs(samples, self.grid, keys=("container_id",))
         if not self.grid.sliced:
             return runs
         if (name, self.grid) not in self.memo:
@@ -141,9 +144,7 @@ class Data:
     # -- metadata ------------------------------------------------------------------------------------------------
     @property
     def channel_metrics(self) -> DataFrame:
-        names = self.samples.groupBy("container_id", "channel_id").agg(
-            F.min("channel_name").alias("channel_name"), F.min("unit").alias("unit")
-        )
+        names = self.samples.select("container_id", "channel_id", "channel_name", "unit").distinct()
         return channel_metrics(self.samples, TICKS).join(names, ["container_id", "channel_id"])
 
     @property
@@ -162,11 +163,9 @@ class Data:
         )
 
     def catalog(self, profile: Profile | None = None) -> MeasurementCatalog:
-        tags = self.samples.groupBy("container_id", "channel_id").agg(
-            F.min("channel_name").alias("channel_name"), F.min("unit").alias("unit")
-        )
+        tags = self.samples.select("container_id", "channel_id", "channel_name", "unit").distinct()
         channel_tags = tags.unpivot(["container_id", "channel_id"], ["channel_name", "unit"], "key", "value")
-        vehicle = self.samples.groupBy("container_id").agg(F.min("vehicle_key").alias("vehicle_key"))
+        vehicle = self.samples.select("container_id", "vehicle_key").distinct()
         container_tags = vehicle.unpivot(["container_id"], ["vehicle_key"], "key", "value")
         tables = {
             "container_metrics": self.container_metrics,

@@ -36,7 +36,7 @@ NS = 1_000_000_000
 
 def ledger_of(d) -> DataFrame:
     """One file per recording, in five runs."""
-    per = d.samples.groupBy("container_id").agg(F.min("vehicle_key").alias("vehicle_key"))
+    per = d.samples.select("container_id", "vehicle_key").distinct()
     run = F.col("container_id") % 5
     status = F.when(run == 0, F.lit("succeeded")).when(run <= 2, F.lit("failed")).otherwise(F.lit("unprocessed"))
     return per.select(
