@@ -98,3 +98,13 @@ def measure_grid(
         if narrower < 0.9 * worst:
             best, worst = width, narrower
     return replace(plain, slice_ticks=best, many_copies=worst > 2 * target_rows)
+
+
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """Shuffle small rows that stand for much work, such as tasks and blocks to be filled.
+
+    With a given number of partitions the adaptive planner does not merge them, which by their few bytes it would.
+    """
+    spark = df.sparkSession
+    wanted = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(wanted, *columns)

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seriesloom.operators.align import KEY, locate, merge_in_slices, merge_in_window, overlaps
-from seriesloom.operators.grid import TimeGrid
+from seriesloom.operators.grid import TimeGrid, spread
 from seriesloom.operators.scans import (
     following,
     last_known,
@@ -532,7 +532,7 @@ class SampleSeries(_Series):
         )
         first = F.col("_block") * block
         index = F.explode(F.sequence(first, F.least(first + block - 1, F.col("_last"))))
-        points = blocks.repartition(ID, "_block").select(ID, "_lo", "_hi", index.alias("_i")).select(
+        points = spread(blocks, ID, "_block").select(ID, "_lo", "_hi", index.alias("_i")).select(
             ID, (F.col("_lo") + F.col("_i") * step).alias("t"), "_hi"
         )
         found = locate(points, self.frame, self.grid)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from seriesloom.functions.tags import signal_name, signal_unit
 from seriesloom.functions.times import ticks_of
-from seriesloom.operators.grid import TimeGrid
+from seriesloom.operators.grid import TimeGrid, spread
 from seriesloom.operators.scans import key_max, scan
 
 CHANNELS = "filename string, group_idx int, channel_idx int, channel_name string, unit string, sample_count bigint"
@@ -69,10 +69,9 @@ def assign_bins(tasks: DataFrame, max_samples: int, shard: Column, size: str = "
     )
 
 
-def read_bins(tasks: DataFrame, decode: Decoder, partitions: int | None = None) -> DataFrame:
+def read_bins(tasks: DataFrame, decode: Decoder) -> DataFrame:
     """Read all pieces. Tasks of a bin share a partition and come sorted by file; samples leave in batches."""
     by = ["shard", "bin"]
-    spread = tasks.repartition(partitions, *by) if partitions else tasks.repartition(*by)
     columns = ["filename", "channel_id", "channel_name", "unit"]
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -91,7 +90,7 @@ def read_bins(tasks: DataFrame, decode: Decoder, partitions: int | None = None)
         if parts:
             yield pd.concat(parts, ignore_index=True)
 
-    ordered = spread.sortWithinPartitions(*by, "filename", "group_idx", "channel_idx", "first_sample")
+    ordered = spread(tasks, *by).sortWithinPartitions(*by, "filename", "group_idx", "channel_idx", "first_sample")
     return ordered.mapInPandas(read, SAMPLES)
 
 
