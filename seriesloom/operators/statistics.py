@@ -16,6 +16,9 @@ from seriesloom.operators.series import ID, Intervals, PitSeries, PointsInTime,
 LABELS = ("min", "max", "mean", "median", "std", "count")
 DEFAULT_LABELS = ("min", "max", "mean", "median")
 
+#: Parts a large group is joined in.
+SALTS = 16
+
 GROUP = (ID, "event_instance_id", "channel_name")
 
 
@@ -35,17 +38,22 @@ def _with_totals(rows: DataFrame, keys: Sequence[str], weight: str, count: str)
 def weighted_median(rows: DataFrame, keys: Sequence[str], pieces: int = 256) -> DataFrame:
     """Smallest ``value`` whose cumulative ``weight`` reaches half of the total; by count when all weights are 0.
 
-    For groups too large for one task. Equal values are added up first; the values are cut into pieces at approximate
-    quantiles, the piece holding the middle is found from the piece totals, and only that piece is put in order. The
-    result is exact.
+    For groups too large for one task. Equal values are added up first; the distinct values are cut into pieces at
+    approximate quantiles, the piece holding the middle is found from the piece totals, and only that piece is put in
+    order. The cuts are joined by group and a salt of the value, so that no task gets a whole group. The result is exact.
     """
-    rows = rows.where(~F.isnan("value")).select(*keys, "value", "weight")
+    by_value = (
+        rows.where(~F.isnan("value"))
+        .groupBy(*keys, "value")
+        .agg(F.sum("weight").alias("w"), F.count(F.lit(1)).alias("n"))
+    )
     cuts = [i / pieces for i in range(1, pieces)]
-    edges = rows.groupBy(*keys).agg(F.percentile_approx("value", cuts, 1000).alias("_edges"))
-    placed = rows.join(edges, list(keys)).withColumn(
-        "_piece", F.size(F.filter("_edges", lambda e: e <= F.col("value")))
+    edges = by_value.groupBy(*keys).agg(F.percentile_approx("value", cuts, 1000).alias("_edges"))
+    edges = edges.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    salted = by_value.withColumn("_salt", F.pmod(F.xxhash64("value"), F.lit(SALTS)))
+    placed = salted.join(edges, [*keys, "_salt"]).select(
+        *keys, "value", "w", "n", F.size(F.filter("_edges", lambda e: e <= F.col("value"))).alias("_piece")
     )
-    placed = placed.groupBy(*keys, "_piece", "value").agg(F.sum("weight").alias("w"), F.count(F.lit(1)).alias("n"))
     totals = placed.groupBy(*keys, "_piece").agg(F.sum("w").alias("pw"), F.sum("n").alias("pn"))
     w = Window.partitionBy(*keys)
     before = w.orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)

@@ -14,7 +14,7 @@ from seriesloom.operators.grid import TimeGrid, spread
 from seriesloom.operators.scans import key_max, scan
 
 CHANNELS = "filename string, group_idx int, channel_idx int, channel_name string, unit string, sample_count bigint"
-SAMPLES = "filename string, channel_id int, channel_name string, unit string, time bigint, value double"
+SAMPLES = "container_id bigint, filename string, channel_id int, channel_name string, unit string, time bigint, value double"
 
 #: A file reader gives the channels of a file, one dict per channel with the columns of ``CHANNELS`` but the file name.
 Enumerator = Callable[[str], Iterable[dict]]
@@ -70,9 +70,12 @@ def assign_bins(tasks: DataFrame, max_samples: int, shard: Column, size: str = "
 
 
 def read_bins(tasks: DataFrame, decode: Decoder) -> DataFrame:
-    """Read all pieces. Tasks of a bin share a partition and come sorted by file; samples leave in batches."""
+    """Read all pieces. The tasks bring the recording id, so that no join has to move samples.
+
+    Tasks of a bin share a partition and come sorted by file; samples leave in batches.
+    """
     by = ["shard", "bin"]
-    columns = ["filename", "channel_id", "channel_name", "unit"]
+    columns = ["container_id", "filename", "channel_id", "channel_name", "unit"]
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parts, size = [], 0
@@ -94,9 +97,9 @@ def read_bins(tasks: DataFrame, decode: Decoder) -> DataFrame:
     return ordered.mapInPandas(read, SAMPLES)
 
 
-def attach_containers(samples: DataFrame, ledger: DataFrame) -> DataFrame:
-    """The recording id of each sample's file. Spark broadcasts the ledger only below its own size threshold."""
-    return samples.join(ledger.select("filename", "container_id"), "filename")
+def attach_containers(rows: DataFrame, ledger: DataFrame) -> DataFrame:
+    """The recording id of each row's file; best given to the tasks, before there are samples."""
+    return rows.join(ledger.select("filename", "container_id"), "filename")
 
 
 def wide_to_samples(

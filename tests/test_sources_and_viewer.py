@@ -115,6 +115,7 @@ def test_recordings_end_to_end(spark, tmp_path):
 
     found = number_channels(list_channels(files, channels))
     assert found.count() == 6 and found.agg(F.max("channel_id")).first()[0] == 2
+    found = found.withColumn("container_id", F.xxhash64("filename"))
     tasks = assign_bins(split_channels(found, 8), 20, F.lit(0))
     load = tasks.groupBy("shard", "bin").agg(F.sum("n_samples").alias("n"))
     assert load.agg(F.max("n")).first()[0] <= 28 and load.agg(F.sum("n")).first()[0] == 105

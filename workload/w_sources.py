@@ -213,10 +213,9 @@ SEMI JOIN (SELECT container_id, channel_id FROM chm WHERE sample_count > 1) USIN
 )
 def _(d):
     files = recordings_of(d)
-    tasks = split_channels(number_channels(list_channels(files, recording_channels)), 1_000_000)
-    bins = assign_bins(tasks, 1_000_000, F.pmod(F.xxhash64("filename"), F.lit(64)))
-    samples = attach_containers(read_bins(bins, RecordingDecoder()), files)
-    return samples.select("container_id", "channel_name", "unit", "time", "value")
+    channels = attach_containers(number_channels(list_channels(files, recording_channels)), files)
+    bins = assign_bins(split_channels(channels, 1_000_000), 1_000_000, F.pmod(F.xxhash64("filename"), F.lit(64)))
+    return read_bins(bins, RecordingDecoder()).select("container_id", "channel_name", "unit", "time", "value")
 
 
 @query(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from seriesloom.operators.grid import measure_grid
 from seriesloom.operators.viewer import (
     downsample,
     evenly_spaced,
@@ -14,6 +15,7 @@ from seriesloom.operators.viewer import (
     window_runs,
 )
 from seriesloom.plans.charts import assign_axes
+from workload.model import TICKS
 from workload.registry import query
 from workload.sql import sql
 
@@ -44,7 +46,9 @@ def _(d):
 def _(d):
     """Whole channels over all recordings: enough points for the sampling to have something to do."""
     by_channel = d.samples.select("channel_name", F.col("time").alias("t"), "value")
-    return downsample(by_channel, 100, d.grid, keys=("channel_name",), ratio=4)
+    if "channel_grid" not in d.memo:  # a channel of all recordings is longer than a recording
+        d.memo["channel_grid"] = measure_grid(by_channel, TICKS, key="channel_name", time="t")
+    return downsample(by_channel, 100, d.memo["channel_grid"], keys=("channel_name",), ratio=4)
 
 
 @query(
