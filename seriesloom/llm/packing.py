@@ -24,11 +24,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seriesloom.llm.tables import stored
+from seriesloom.llm.token_ids import encoder
 
 CAPACITY = 2048
-END = 0
-#: Texts given to the tokenizer at once.
-BATCH = 64
+#: The end token, id 0, as the bytes of an unsigned 32-bit integer.
+END = bytes(4)
+#: Texts encoded at once.
+BATCH = 512
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long, ids array<int>"
 
 
@@ -49,25 +51,22 @@ def _pieces(path: str | None, capacity: int, keep_ids: bool) -> Callable:
     """(doc_id, text) to pieces. ``part`` and ``nth`` number the pieces of one length within the task."""
 
     def run(batches):
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(path or tokenizer_file())
+        encode = encoder(path or tokenizer_file())
         part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for low in range(0, len(texts), BATCH):
-                some = [t or "" for t in texts[low : low + BATCH]]
                 rows = []
-                for i, e in enumerate(tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                    ids = np.array([*e.ids, END], "<u4")
+                for i, ids in enumerate(encode([t or "" for t in texts[low : low + BATCH]])):
+                    ids += END
                     start = 0
-                    for piece, n in enumerate(cuts(len(ids), capacity)):
-                        own = ids[start : start + n]
-                        rows.append((low + i, piece, start, n, zlib.crc32(own.tobytes()), seen[n], own))
+                    for piece, n in enumerate(cuts(len(ids) // 4, capacity)):
+                        own = ids[4 * start : 4 * (start + n)]
+                        rows.append((low + i, piece, start, n, zlib.crc32(own), int(seen[n]), own))
                         seen[n] += 1
                         start += n
                 at, piece, start, length, crc, nth, own = zip(*rows, strict=True)
-                ids = pa.array([x.view(np.int32) for x in own] if keep_ids else [None] * len(own), pa.list_(pa.int32()))
+                ids = pa.array([np.frombuffer(x, "<i4") for x in own] if keep_ids else [None] * len(own), pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).take(pa.array(at, pa.int64())),
