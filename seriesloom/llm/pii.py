@@ -227,7 +227,7 @@ class Model:
     thresholds: tuple[float, ...]
 
     def score(self, x: dict[str, int]) -> float:
-        return self.start + sum(t.leaves[t.leaf(x)] for t in self.trees)
+        return sum((t.leaves[t.leaf(x)] for t in self.trees), self.start)  # added up in the order that accepts has
 
     def accepts(self, f: Column) -> Column:
         """The same as a column over a struct of features."""
