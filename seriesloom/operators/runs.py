@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
 from seriesloom.operators.grid import SLICE, TimeGrid
-from seriesloom.operators.scans import following, in_slices, scan, stitch
+from seriesloom.operators.scans import following, in_slices, known_rows, scan, stitch
 
 CHANNEL_KEY = ("container_id", "channel_id")
 
@@ -22,13 +22,13 @@ def encode_runs(
 ) -> DataFrame:
     """Collapse equal neighbouring values of (``time``, ``value``) into runs ``[tstart, tend)``.
 
-    A run ends where the next one starts; the last run ends at its own last sample. NaN equals NaN, NULL equals nothing.
+    Rows without a key or a time are no samples. A run ends where the next one starts; the last run ends at its own last sample. NaN equals NaN, NULL equals nothing.
     Samples at the same time are ordered by ``tiebreak``, or by value. Where single instants hold very many copies of a
     sample (see ``TimeGrid.many_copies``), these are combined first, on the map side as well: a copy never changes a run,
     except that each NULL starts a run of its own, so those are kept.
     """
     order = tiebreak or "value"
-    rows = samples.select(*keys, "time", "value", *([tiebreak] if tiebreak else []))
+    rows = known_rows(samples.select(*keys, "time", "value", *([tiebreak] if tiebreak else [])), keys, "time")
     runs = _in_slices(rows, keys, order, grid, tiebreak) if grid.sliced else _in_one_window(rows, keys, order)
     return runs.select(
         *keys, F.col("time").alias("tstart"), F.col("tend"), F.col("value").cast("double").alias("value")

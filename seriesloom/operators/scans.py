@@ -142,8 +142,15 @@ key_min = _whole_key(F.min, lambda local, carried: carried)
 key_count = _whole_key(F.count, lambda local, carried: carried)
 
 
+def known_rows(df: DataFrame, keys: Sequence[str], time: str) -> DataFrame:
+    """Rows with a key and a time. Others are no samples and go, whatever the grid."""
+    for c in (*keys, time):
+        df = df.where(F.col(c).isNotNull())
+    return df
+
+
 def in_slices(df: DataFrame, keys: Sequence[str], grid: TimeGrid, time: str) -> DataFrame:
-    """Rows shuffled by (key, slice). Rows without a time are no samples and go."""
+    """Rows shuffled by (key, slice)."""
     rows = df.withColumn(SLICE, grid.slice_of(F.col(time)))
     return by_slices(rows, keys)
 
@@ -190,10 +197,10 @@ def scan(
     **scans: Scan,
 ) -> DataFrame:
     """Add one column per scan. ``order`` must start with a column that orders rows as ``time`` does."""
+    df = known_rows(df, keys, time)
     if not grid.sliced:
         w = Window.partitionBy(*keys).orderBy(*order)
-        rows = df.where(F.col(time).isNotNull())
-        return rows.select("*", *[s.local(w).alias(name) for name, s in scans.items()])
+        return df.select("*", *[s.local(w).alias(name) for name, s in scans.items()])
 
     rows = in_slices(df, keys, grid, time)
     w = Window.partitionBy(*keys, SLICE).orderBy(*order)
@@ -227,6 +234,7 @@ def step_sums(
     ``columns``; the first row of a key has a step of 0. One pass, where a scan for the neighbours and another for the
     sums would be two.
     """
+    df = known_rows(df, keys, time)
     here = F.struct(*columns)
 
     def zero(row: Column, step: Callable[[Column, Column], Column]) -> Column:

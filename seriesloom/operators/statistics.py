@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
-from functools import reduce
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seriesloom.operators.align import locate, overlaps
@@ -43,9 +42,9 @@ def weighted_median(rows: DataFrame, keys: Sequence[str], pieces: int = 256) ->
     order. The cuts are joined by group and a salt of the value, so that no task gets a whole group. The result is exact.
     """
     by_value = (
-        rows.where(~F.isnan("value"))
+        rows.where(F.col("value").isNotNull() & ~F.isnan("value"))
         .groupBy(*keys, "value")
-        .agg(F.sum("weight").alias("w"), F.count(F.lit(1)).alias("n"))
+        .agg(F.sum(F.coalesce("weight", F.lit(0))).alias("w"), F.count(F.lit(1)).alias("n"))
     )
     cuts = [i / pieces for i in range(1, pieces)]
     edges = by_value.groupBy(*keys).agg(F.percentile_approx("value", cuts, 1000).alias("_edges"))
@@ -139,38 +138,52 @@ def event_rows(
     raise TypeError(f"expected Intervals or PointsInTime, got {type(event).__name__}")
 
 
+def _mean(value: Column, weight: Column, agg: Callable[[Column], Column] = lambda c: c) -> Column:
+    """Weighted mean; the plain one when all weights are 0."""
+    weighted = F.try_divide(agg(F.sum(value * weight)), agg(F.sum(weight)))
+    return F.coalesce(weighted, agg(F.avg(value)))
+
+
 def summarise(rows: DataFrame, labels: Sequence[str], grid: TimeGrid, keys: Sequence[str] = GROUP) -> DataFrame:
-    """Long statistics of (keys, value, weight) rows. NaN values count for ``count`` only."""
+    """Long statistics of (keys, value, weight) rows. Every group has a row for each label.
+
+    NaN and NULL values count for ``count`` only; their weight counts for nothing. A value without a weight has weight 0.
+    Rows with a NULL key are left out. The standard deviation takes the mean first and then the squares around it.
+    """
     unknown = [label for label in labels if label not in LABELS]
     if unknown:
         raise ValueError(f"unknown statistics {unknown}")
-    v = F.when(~F.isnan("value"), F.col("value"))
-    weight = F.when(v.isNotNull(), F.col("weight"))
-    mean = F.coalesce(F.try_divide(F.sum(v * weight), F.sum(weight)), F.avg(v))
-    square = F.coalesce(F.try_divide(F.sum(v * v * weight), F.sum(weight)), F.avg(v * v))
+    for key in keys:
+        rows = rows.where(F.col(key).isNotNull())
+    number = F.when(~F.isnan("value"), F.col("value"))
+    rows = rows.select(*keys, number.alias("value"), F.when(number.isNotNull(), F.coalesce("weight", F.lit(0))).alias("weight"))
+    v, weight = F.col("value"), F.col("weight")
+    around = (v - F.col("_mean")) * (v - F.col("_mean"))
     simple = {
         "min": F.min(v),
         "max": F.max(v),
-        "mean": mean,
-        "std": F.sqrt(F.greatest(square - mean * mean, F.lit(0.0))),
+        "mean": _mean(v, weight),
+        "std": F.sqrt(_mean(around, weight)),
         "count": F.count(F.lit(1)).cast("double"),
     }
+    wanted = [label for label in labels if label != "median"]
     if not grid.sliced:
-        # Groups fit into a task: the median comes from the same sorted groups, all in one shuffle.
+        # Groups fit into a task: mean and median come from windows over the same groups, all in one shuffle.
+        if "std" in labels:
+            whole = Window.partitionBy(*keys)
+            rows = rows.withColumn("_mean", _mean(v, weight, lambda c: c.over(whole)))
         if "median" in labels:
             rows = _with_totals(rows.withColumn("_n", v.isNotNull().cast("long")), keys, "weight", "_n")
             simple["median"] = F.min(F.when(_reached(), v))
         wide = rows.groupBy(*keys).agg(*[simple[label].alias(label) for label in labels])
         return wide.unpivot(list(keys), list(labels), "aggregation_label", "statistic_value")
-    wanted = [label for label in labels if label != "median"]
-    parts = []
-    if wanted:
-        wide = rows.groupBy(*keys).agg(*[simple[label].alias(label) for label in wanted])
-        parts.append(wide.unpivot(list(keys), wanted, "aggregation_label", "statistic_value"))
+    source = rows
+    if "std" in labels:
+        source = rows.join(rows.groupBy(*keys).agg(_mean(v, weight).alias("_mean")), list(keys))
+    wide = source.groupBy(*keys).agg(*[simple[label].alias(label) for label in wanted or ["count"]])
     if "median" in labels:
-        median = weighted_median(rows, keys)
-        parts.append(median.unpivot(list(keys), ["median"], "aggregation_label", "statistic_value"))
-    return reduce(DataFrame.unionByName, parts)
+        wide = wide.join(weighted_median(rows, keys), list(keys), "left")
+    return wide.unpivot(list(keys), list(labels), "aggregation_label", "statistic_value")
 
 
 def event_statistics(

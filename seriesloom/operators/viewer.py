@@ -59,7 +59,7 @@ def evenly_spaced(points: DataFrame, n_out: int, grid: TimeGrid, keys: Sequence[
     """The points at ``n_out`` evenly spaced positions of each channel, ends included; shorter channels unchanged."""
     if n_out < 2:
         raise ValueError("at least the two end points")
-    rows = scan(points, keys, ("t",), grid, "t", _row=running_count(), _n=key_count(F.col("t")))
+    rows = scan(points, keys, ("t", "value"), grid, "t", _row=running_count(), _n=key_count(F.col("t")))
     i, last = F.col("_row") - 1, F.col("_n") - 1
     steps = n_out - 1
     near = F.bround(i * steps / last)

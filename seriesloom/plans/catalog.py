@@ -13,10 +13,6 @@ from seriesloom.plans.profile import Profile
 
 VEHICLE_KEY = "vehicle_key"
 
-#: Fixed value: longest recording a vehicle filter lets through when it sets no limit, in seconds (3 days).
-DEFAULT_MAX_SECONDS = 259_200
-
-
 @dataclass(frozen=True)
 class VehicleFilter:
     """Recordings of one vehicle in a time range; bounds that are None are open."""
@@ -24,7 +20,7 @@ class VehicleFilter:
     vehicle: str
     start: str | None = None
     stop: str | None = None
-    max_seconds: float = DEFAULT_MAX_SECONDS
+    max_seconds: float | None = None
 
 
 def container_filter(
@@ -39,7 +35,9 @@ def container_filter(
         raise ValueError("at least one vehicle")
     ways = []
     for v in vehicles:
-        test = (F.col(vehicle) == v.vehicle) & (F.col(seconds) <= F.lit(v.max_seconds))
+        test = F.col(vehicle) == v.vehicle
+        if v.max_seconds is not None:
+            test = test & (F.col(seconds) <= F.lit(v.max_seconds))
         if v.start:
             test = test & (F.col(start) >= F.lit(v.start).cast("timestamp"))
         if v.stop:
@@ -238,14 +236,14 @@ class MeasurementCatalog:
             .orderBy("channel_name")
         )
 
-    def alias_search(self, keyword: str, limit: int = 50) -> DataFrame:
+    def alias_search(self, keyword: str, limit: int | None = None) -> DataFrame:
         """Aliases whose alias or channel name holds the keyword. The keyword is a value, never SQL text."""
         p = self.profile
         if not p.aliases.table:
             raise ValueError("the profile has no alias table")
         a, c = p.aliases, p.channels
         alias, name = F.col(a.alias), F.col(c.name)
-        return (
+        found = (
             self.table(a.table)
             .where(alias.contains(keyword) | name.contains(keyword))
             .select(
@@ -258,8 +256,8 @@ class MeasurementCatalog:
                 (F.col(a.description) if a.description else F.lit(None).cast("string")).alias("description"),
             )
             .orderBy("channel_alias_name")
-            .limit(limit)
         )
+        return found if limit is None else found.limit(limit)
 
     def data_time_range(self, vehicles: Sequence[str] | None = None) -> DataFrame:
         rows = self.containers()

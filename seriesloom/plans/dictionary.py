@@ -2,73 +2,38 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from dataclasses import dataclass
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-@dataclass(frozen=True)
-class SignalFamily:
-    """A kind of signal: name patterns (any language), unit spellings and the plausible range."""
-
-    domain: str
-    signal: str
-    patterns: Sequence[str]
-    units: Sequence[str] = ()
-    lo: float | None = None
-    hi: float | None = None
-
-
-#: One or two well-known families per vehicle domain. Pass an own list to ``match_families`` for more.
-FAMILIES = (
-    SignalFamily("Powertrain", "Engine speed", ("nmot", "n_mot", "eng_spd", "EngSpd", "nMotor"), ("rpm", "1/min"), 0, 8000),
-    SignalFamily("Powertrain", "Accelerator pedal", ("wped", "AccPed", "APP_Pos", "FahrPed", "PedalPos"), ("%",), 0, 100),
-    SignalFamily("Thermal", "Coolant temperature", ("tKueMi", "T_cool", "CoolantTemp", "tCool", "ECT", "TWasser"), ("°C", "degC", "C"), -40, 130),
-    SignalFamily("Thermal", "Ambient temperature", ("tUmg", "T_amb", "AmbTemp", "tAussen"), ("°C", "degC", "C"), -40, 55),
-    SignalFamily("Chassis", "Vehicle speed", ("vfzg", "V_Fzg", "VehSpd", "VSS", "pveh", "v_veh"), ("km/h", "m/s", "mph"), 0, 300),
-    SignalFamily("Chassis", "Brake pressure", ("pBrake", "BrkPres", "p_brake", "pHZ"), ("bar",), 0, 200),
-    SignalFamily("Transmission", "Gear", ("Gang", "gear", "GearAct", "gear_act", "CurrGear", "GangIst"), ("-",), 0, 10),
-    SignalFamily("Electric", "State of charge", ("SOC", "BattSOC", "soc_batt", "StateOfCharge"), ("%",), 0, 100),
-    SignalFamily("Emissions", "Catalyst temperature", ("T_cat", "tKat", "CatTemp"), ("°C", "degC", "C"), 0, 1100),
-    SignalFamily("NVH", "Interior microphone", ("Mic_int", "IntNoise", "SPL_int", "dB_innen"), ("dB(A)", "Pa"), 30, 100),
-    SignalFamily("Driver assistance", "Time to collision", ("TTC", "TimeToCollision", "ttc_obj1"), ("s",), 0, 10),
-    SignalFamily("Durability", "Cumulative distance", ("s_cum", "CumDist", "odo", "Odometer"), ("km",)),
-)
+def match_families(channels: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """Channels (``channel_name, unit, min_value, max_value``) with the signals they may be.
 
-
-def match_families(channels: DataFrame, families: Sequence[SignalFamily] = FAMILIES) -> DataFrame:
-    """Channels (``channel_name, unit, min_value, max_value``) with the families they may belong to.
-
-    The dictionary is part of the expression: each name is tested against all patterns in one pass over the channels,
-    without a join. ``score`` counts the confirmations: the unit, and a value range inside the plausible one.
+    ``dictionary``, of any length: ``domain, signal, patterns, units, lo, hi``; a channel fits a signal if its name holds
+    one of the patterns, upper and lower case alike. Distinct names meet the distinct patterns once, and what fits is
+    joined back. ``score`` counts the confirmations: the unit, and a value range inside the plausible one.
     """
-    known = F.array(
-        *[
-            F.struct(
-                F.lit(f.domain).alias("domain"),
-                F.lit(f.signal).alias("signal"),
-                F.array(*[F.lit(p) for p in f.patterns]).alias("patterns"),
-                F.array(*[F.lit(u) for u in f.units]).cast("array<string>").alias("units"),
-                F.lit(None if f.lo is None else float(f.lo)).cast("double").alias("lo"),
-                F.lit(None if f.hi is None else float(f.hi)).cast("double").alias("hi"),
-            )
-            for f in families
-        ]
-    )
-    name = F.lower("channel_name")
-    fitting = F.filter(known, lambda f: F.exists(f["patterns"], lambda p: name.contains(F.lower(p))))
-    rows = channels.withColumn("_family", F.explode(fitting))
-    family = F.col("_family")
-    unit_fits = F.coalesce(F.array_contains(family["units"], F.col("unit")), F.lit(False))
-    range_fits = F.coalesce(
-        (F.col("min_value") >= family["lo"]) & (F.col("max_value") <= family["hi"]), F.lit(False)
+    pattern = dictionary.select("domain", "signal", F.explode("patterns").alias("pattern"))
+    pattern = pattern.select("domain", "signal", F.lower("pattern").alias("pattern")).where("pattern != ''").distinct()
+    names = channels.select("channel_name").where("channel_name IS NOT NULL").distinct()
+    # a pattern stands in a name only where its first two characters do, which gives the join a key
+    gram = F.array_distinct(
+        F.transform(
+            F.sequence(F.lit(1), F.greatest(F.length("channel_name"), F.lit(1))),
+            lambda i: F.lower(F.substring(F.col("channel_name"), i, F.lit(2))),
+        )
     )
+    grams = names.withColumn("gram", F.explode(F.array_union(gram, F.transform(gram, lambda g: F.left(g, F.lit(1))))))
+    keyed = pattern.withColumn("gram", F.left("pattern", F.lit(2)))
+    fits = grams.join(keyed, "gram").where(F.lower("channel_name").contains(F.col("pattern")))
+    fits = fits.select("channel_name", "domain", "signal").distinct()
+    rows = channels.join(fits, "channel_name").join(dictionary.drop("patterns"), ["domain", "signal"])
+    unit_fits = F.coalesce(F.array_contains("units", F.col("unit")), F.lit(False))
+    range_fits = F.coalesce((F.col("min_value") >= F.col("lo")) & (F.col("max_value") <= F.col("hi")), F.lit(False))
     return rows.select(
         *channels.columns,
-        family["domain"].alias("domain"),
-        family["signal"].alias("signal"),
+        "domain",
+        "signal",
         unit_fits.alias("unit_fits"),
         range_fits.alias("range_fits"),
         (unit_fits.cast("int") + range_fits.cast("int")).alias("score"),

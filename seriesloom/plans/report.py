@@ -312,6 +312,17 @@ def new_and_changed(silver: DataFrame, gold: DataFrame, changed: str) -> DataFra
     return inserted.unionByName(updated)
 
 
-def next_sessions(sessions: DataFrame, limit: int, order: Sequence[str]) -> DataFrame:
-    """The first recordings of a run that is capped at ``limit`` recordings."""
-    return sessions.orderBy(*order).limit(limit)
+def session_batches(sessions: DataFrame, limit: int, order: Sequence[str]) -> Iterator[DataFrame]:
+    """All recordings, ``limit`` at a time in order of ``order`` (which tells them apart), until none is left.
+
+    Each batch starts behind the last recording of the one before; the driver keeps that one's key.
+    """
+    place = F.struct(*order)
+    rows = sessions
+    while True:
+        batch = rows.orderBy(*order).limit(limit)
+        last = batch.agg(F.max(place)).first()[0]
+        if last is None:
+            return
+        yield batch
+        rows = sessions.where(place > F.struct(*[F.lit(v).alias(c) for c, v in zip(order, last, strict=True)]))

@@ -28,8 +28,8 @@ Decoder = Callable[[str, int, int, int, int], pd.DataFrame]
 OUTPUT_ROWS = 100_000
 
 
-def list_channels(files: DataFrame, enumerate_file: Enumerator) -> DataFrame:
-    """One row per channel of each file. Channels with at most one sample are left out."""
+def list_channels(files: DataFrame, enumerate_file: Enumerator, min_samples: int = 0) -> DataFrame:
+    """One row per channel of each file, without the channels of fewer than ``min_samples`` samples."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -37,7 +37,7 @@ def list_channels(files: DataFrame, enumerate_file: Enumerator) -> DataFrame:
             if found:
                 yield pd.DataFrame(found)
 
-    return files.select("filename").mapInPandas(read, CHANNELS).where(F.col("sample_count") > 1)
+    return files.select("filename").mapInPandas(read, CHANNELS).where(F.col("sample_count") >= min_samples)
 
 
 def number_channels(channels: DataFrame) -> DataFrame:
@@ -105,13 +105,13 @@ def attach_containers(rows: DataFrame, ledger: DataFrame) -> DataFrame:
 def wide_to_samples(
     wide: DataFrame, ids: list[str], time_of_day: str = "Time", date: str = "date", ticks_per_second: int = 1_000_000
 ) -> DataFrame:
-    """Rows of ``Time`` and one column per signal to long samples; rows with a missing value are left out whole.
+    """Rows of ``Time`` and one column per signal to long samples; rows with a missing time or signal are left out whole.
 
     The header ``Speed [km/h]`` gives name and unit.
     """
     signals = [c for c in wide.columns if c not in (*ids, time_of_day, date)]
     stamp = F.to_timestamp(F.concat_ws(" ", F.col(date), F.col(time_of_day)))
-    rows = wide.dropna().withColumn("time", ticks_of(stamp, ticks_per_second))
+    rows = wide.dropna(subset=[time_of_day, date, *signals]).withColumn("time", ticks_of(stamp, ticks_per_second))
     rows = rows.select(*ids, "time", *[F.col(f"`{c}`").cast("double").alias(c) for c in signals])
     long = rows.unpivot([*ids, "time"], [f"`{c}`" for c in signals], "header", "value")
     return long.select(

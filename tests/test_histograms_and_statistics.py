@@ -114,7 +114,7 @@ def test_statistics_per_event(spark, grid):
             total += x
             if median is None and total * 2 >= w:
                 median = v
-        std = math.sqrt(sum(v * v * x for v, x in parts) / w - mean**2)
+        std = math.sqrt(sum(x * (v - mean) ** 2 for v, x in parts) / w)
         vs = [v for v, _ in parts]
         want.append({"min": min(vs), "max": max(vs), "mean": mean, "median": median, "std": std, "count": len(vs)})
     found = sorted(got.values(), key=lambda d: -d["count"])
@@ -129,6 +129,34 @@ def test_statistics_of_zero_length_recording(spark):
     assert rows == {"min": 2.0, "max": 4.0, "mean": 3.0, "median": 2.0, "std": 1.0, "count": 2.0}
 
 
+NUMBERS = "container_id bigint, tstart bigint, tend bigint, value double"
+
+
+def test_std_of_a_large_offset(spark, grid):
+    rows = [(1, 3 * i, 3 * i + 1 + i % 3, 1e9 + i % 3) for i in range(300)]
+    s = SampleSeries(spark.createDataFrame(rows, NUMBERS), grid)
+    values, weights = [r[3] for r in rows], [r[2] - r[1] for r in rows]
+    mean = sum(v * w for v, w in zip(values, weights)) / sum(weights)
+    want = math.sqrt(sum(w * (v - mean) ** 2 for v, w in zip(values, weights)) / sum(weights))
+    got = event_statistics({"x": s}, None, ["std"]).first()["statistic_value"]
+    assert math.isclose(got, want, rel_tol=1e-9)
+
+
+def test_values_that_are_no_numbers_count_only(spark, grid):
+    nan = float("nan")
+    rows = [(1, i, i + 1, float(i + 1)) for i in range(3)] + [(1, 10, 110, nan), (2, 10, 110, None), (3, 0, 9, nan), (3, 9, 10, None)]
+    rows += [(2, i, i + 1, float(i + 1)) for i in range(3)] + [(None, 0, 1, 1.0)]
+    s = SampleSeries(spark.createDataFrame(rows, NUMBERS), grid)
+    got = {}
+    for r in event_statistics({"x": s}, None, LABELS).collect():
+        got.setdefault(r["container_id"], {})[r["aggregation_label"]] = r["statistic_value"]
+    want = {"min": 1.0, "max": 3.0, "mean": 2.0, "median": 2.0, "std": math.sqrt(2 / 3), "count": 4.0}
+    for key in (1, 2):
+        assert all(math.isclose(got[key][k], v) for k, v in want.items())
+    assert got[3] == dict.fromkeys(want) | {"count": 2.0}
+    assert set(got) == {1, 2, 3}
+
+
 def test_statistics_by_type(spark, grid):
     iv = Intervals(spark.createDataFrame([(1, 0, 3), (1, 5, 6)], "container_id bigint, tstart bigint, tend bigint"), grid)
     rows = {r["aggregation_label"]: r["statistic_value"] for r in typed_statistics(iv, ["min", "max", "mean"]).collect()}

@@ -104,3 +104,10 @@ def test_sliced_scan_shuffles_the_rows_once(spark):
     plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert plan.count("Range (0, 1000") == 1
     assert "ReusedExchange" in plan
+
+
+def test_rows_without_key_or_time_are_no_samples(spark, grid):
+    rows = [(1, 1, 0, 1.0), (1, 1, None, 1.0), (None, 1, 3, 5.0), (1, None, 4, 5.0), (1, 1, 20, 1.0), (1, 1, 40, None)]
+    samples = spark.createDataFrame(rows, "container_id bigint, channel_id int, time bigint, value double")
+    got = sorted(tuple(r) for r in encode_runs(samples, grid).select("container_id", "tstart", "tend", "value").collect())
+    assert got == [(1, 0, 40, 1.0), (1, 40, 40, None)]

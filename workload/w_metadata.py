@@ -25,7 +25,7 @@ from seriesloom.plans.catalog import (
     rename_columns,
     session_columns,
 )
-from seriesloom.plans.dictionary import SignalFamily, match_families, search_names
+from seriesloom.plans.dictionary import match_families, search_names
 from seriesloom.plans.profile import AliasMap, ChannelMap, ContainerMap, Profile, SeriesMap, TagMap, VehicleRule
 from workload.model import TICKS, alias_profile
 from workload.registry import query
@@ -245,7 +245,7 @@ def _(d):
     vehicles = [
         VehicleFilter("veh_1", "2024-01-01 12:00:00", "2024-01-30 20:00:00", 2_592_000),
         VehicleFilter("veh_2", "1980-01-01 00:00:00", None, 2_500_000),
-        VehicleFilter("veh_3"),
+        VehicleFilter("veh_3", max_seconds=259_200),  # three days, where a configuration sets no other limit
     ]
     return rows.where(container_filter(vehicles)).select("container_id", "vehicle_key")
 
@@ -272,7 +272,7 @@ def _(d):
     "p9_alias_search",
     sql(
         """SELECT channel_alias_name, channel_name, channel_name AS signal, '' AS device_name, NULL::VARCHAR AS network, unit, description
-FROM aliases WHERE channel_alias_name LIKE '%ew%' OR channel_name LIKE '%ew%' ORDER BY channel_alias_name LIMIT 50"""
+FROM aliases WHERE channel_alias_name LIKE '%ew%' OR channel_name LIKE '%ew%' ORDER BY channel_alias_name"""
     ),
 )
 def _(d):
@@ -396,11 +396,11 @@ def _(d):
 
 @query(
     "k1_newest_containers_first",
-    sql("SELECT container_id, row_number() OVER (ORDER BY lo DESC, container_id) <= 20 AS newest FROM cm QUALIFY row_number() OVER (ORDER BY lo DESC, container_id) <= 20"),
+    sql("SELECT container_id, lo AS start_us FROM cm ORDER BY lo DESC, container_id"),
 )
 def _(d):
-    rows = d.catalog().containers().orderBy(F.desc("start_dt"), "container_id").limit(20)
-    return rows.select("container_id", F.lit(True).alias("newest"))
+    rows = d.catalog().containers().orderBy(F.desc("start_dt"), "container_id")
+    return rows.select("container_id", F.unix_micros("start_dt").alias("start_us"))
 
 
 @query("k3_limited_alias_search", sql("SELECT channel_alias_name, channel_name FROM aliases WHERE channel_alias_name LIKE '%e%' OR channel_name LIKE '%e%' ORDER BY channel_alias_name LIMIT 7"))
@@ -518,30 +518,29 @@ def _(d):
 
 
 # -- dictionary ------------------------------------------------------------------------------------------------------
-FAMILIES = (
-    SignalFamily("Hardware", "Fastener", ("BOLT", "screw"), ("LARGE", "PROMO"), 0, 1000),
-    SignalFamily("Hardware", "Tool", ("Widget", "gadget"), ("ECONOMY",), 900, 950),
-    SignalFamily("Finish", "Cold", ("cold",), ()),
-)
-
-
-def _family_sql(domain, signal, patterns, units, lo, hi):
-    names = " OR ".join(f"contains(lower(p_name), '{p.lower()}')" for p in patterns)
-    unit = "unit IN (" + ", ".join(f"'{u}'" for u in units) + ")" if units else "false"
-    span = f"(lo >= {lo} AND hi <= {hi})" if lo is not None else "false"
-    return f"SELECT p_name AS channel_name, unit, '{domain}' AS domain, '{signal}' AS signal, {unit} AS unit_fits, {span} AS range_fits FROM c WHERE {names}"
-
-
 @query(
     "v4_dictionary_match",
-    "WITH c AS (SELECT p_name, p_type AS unit, min(p_retailprice) AS lo, max(p_retailprice) AS hi FROM part GROUP BY ALL), x AS ("
-    + " UNION ALL ".join(_family_sql(f.domain, f.signal, f.patterns, f.units, f.lo, f.hi) for f in FAMILIES)
-    + ") SELECT *, unit_fits::INTEGER + range_fits::INTEGER AS score FROM x",
-)
-def _(d):
+    """WITH c AS (SELECT p_name, p_type AS unit, min(p_retailprice) AS lo, max(p_retailprice) AS hi FROM part GROUP BY ALL),
+words AS (SELECT DISTINCT p_brand, unnest(string_split(p_name, ' ')) AS pattern FROM part),
+kinds AS (SELECT p_brand, list(DISTINCT p_type) AS units, min(p_retailprice) AS lo, quantile_disc(p_retailprice, 0.5) AS hi FROM part GROUP BY p_brand)
+SELECT DISTINCT p_name AS channel_name, c.unit, 'part' AS domain, p_brand AS signal, list_contains(units, c.unit) AS unit_fits,
+  c.lo >= kinds.lo AND c.hi <= kinds.hi AS range_fits, list_contains(units, c.unit)::INTEGER + (c.lo >= kinds.lo AND c.hi <= kinds.hi)::INTEGER AS score
+FROM c JOIN words ON contains(lower(p_name), lower(pattern)) JOIN kinds USING (p_brand)""",
+)
+def _(d):
+    """The dictionary is made from the parts too: a brand is a signal, the words of its part names are its patterns."""
+    part = d.table("part")
+    words = part.select("p_brand", F.explode(F.split("p_name", " ")).alias("pattern"))
+    patterns = words.groupBy("p_brand").agg(F.collect_set("pattern").alias("patterns"))
+    kinds = part.groupBy("p_brand").agg(
+        F.collect_set("p_type").alias("units"),
+        F.min("p_retailprice").alias("lo"),
+        F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY p_retailprice)").alias("hi"),
+    )
+    dictionary = patterns.join(kinds, "p_brand").withColumnRenamed("p_brand", "signal").withColumn("domain", F.lit("part"))
     channels = (
         d.table("part")
         .groupBy(F.col("p_name").alias("channel_name"), F.col("p_type").alias("unit"))
         .agg(F.min("p_retailprice").alias("min_value"), F.max("p_retailprice").alias("max_value"))
     )
-    return match_families(channels, FAMILIES).drop("min_value", "max_value")
+    return match_families(channels, dictionary).drop("min_value", "max_value")

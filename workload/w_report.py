@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ from seriesloom.plans import compare as C
 from seriesloom.plans import rollups as R
 from seriesloom.plans.charts import default_x_channel, statistics_over
 from seriesloom.plans.definitions import Event, Histogram1D, Histogram2D, ReportDefinition, Signal, Statistics, Threshold
-from seriesloom.plans.report import Report, channel_source, new_and_changed, next_sessions
+from seriesloom.plans.report import Report, channel_source, new_and_changed, session_batches
 from seriesloom.sources.scratch import scratch_folder
 from workload.model import HOUR, TICKS
 from workload.registry import query
@@ -150,17 +152,23 @@ def stats_sql(rows: str, keys: str) -> str:
     """Long statistics of rows with keys, v and w (weights)."""
     part = f"PARTITION BY {keys}"
     return f"""WITH_MARK base AS (SELECT *, sum(w) OVER ({part}) AS tw, count(*) OVER ({part}) AS tn,
-    sum(w) OVER ({part} ORDER BY v, i ROWS UNBOUNDED PRECEDING) AS cw, row_number() OVER ({part} ORDER BY v, i) AS cn
+    sum(w) OVER ({part} ORDER BY v, i ROWS UNBOUNDED PRECEDING) AS cw, row_number() OVER ({part} ORDER BY v, i) AS cn,
+    CASE WHEN sum(w) OVER ({part}) > 0 THEN sum(v * w) OVER ({part}) / sum(w) OVER ({part}) ELSE avg(v) OVER ({part}) END AS mu
   FROM (SELECT *, row_number() OVER () AS i FROM {rows})),
-agg AS (SELECT {keys}, min(v) AS "min", max(v) AS "max",
-  CASE WHEN sum(w) > 0 THEN sum(v * w) / sum(w) ELSE avg(v) END AS "mean",
+agg AS (SELECT {keys}, min(v) AS "min", max(v) AS "max", min(mu) AS "mean",
   min(v) FILTER (CASE WHEN tw > 0 THEN cw * 2 >= tw ELSE cn * 2 >= tn END) AS "median",
-  sqrt(greatest(CASE WHEN sum(w) > 0 THEN sum(v * v * w) / sum(w) - (sum(v * w) / sum(w)) ^ 2 ELSE avg(v * v) - avg(v) ^ 2 END, 0)) AS "std",
+  sqrt(CASE WHEN sum(w) > 0 THEN sum(w * (v - mu) ^ 2) / sum(w) ELSE avg((v - mu) ^ 2) END) AS "std",
   count(*)::DOUBLE AS "count" FROM base GROUP BY {keys})
 SELECT {keys}, aggregation_label, round(statistic_value, 4) AS statistic_value FROM agg
 UNPIVOT (statistic_value FOR aggregation_label IN ("min", "max", "mean", "median", "std", "count"))"""
 
 
+def stats_ctes(rows: str, keys: str) -> tuple[str, str]:
+    """The same as expressions to select from: the last is called shown."""
+    head, _, select = stats_sql(rows, keys).removeprefix("WITH_MARK ").partition("\nSELECT ")
+    return head, f"shown AS (SELECT {select})"
+
+
 def with_stats(rows: str, keys: str, *ctes: str) -> str:
     body = stats_sql(rows, keys).removeprefix("WITH_MARK ")
     head, _, select = body.partition("\nSELECT ")
@@ -245,13 +253,11 @@ def _(d):
 @query(
     "t4_statistics_by_type",
     sql(
-        """SELECT 'intervals' AS kind, container_id, 'max' AS aggregation_label, max(tend - tstart)::DOUBLE AS statistic_value FROM hot GROUP BY container_id
-UNION ALL SELECT 'intervals', container_id, 'min', min(tend - tstart)::DOUBLE FROM hot GROUP BY container_id
-UNION ALL SELECT 'points', container_id, 'count', count(*)::DOUBLE FROM p GROUP BY container_id
-UNION ALL SELECT 'point values', container_id, 'max', max(value) FROM x GROUP BY container_id
-UNION ALL SELECT 'point values', container_id, 'min', min(value) FROM x GROUP BY container_id""",
+        "SELECT kind, container_id, aggregation_label, round(statistic_value, 1) AS statistic_value FROM shown UNION ALL SELECT 'points', container_id, 'count', count(*)::DOUBLE FROM p GROUP BY container_id",
         edges("p", "s_view", "value > pv"),
         at_points("x", "p", "s_click"),
+        "r AS (SELECT 'intervals' AS kind, container_id, (tend - tstart)::DOUBLE AS v, 1 AS w FROM hot UNION ALL SELECT 'point values', container_id, value, 1 FROM x)",
+        *stats_ctes("r", "kind, container_id"),
     ),
 )
 def _(d):
@@ -259,9 +265,9 @@ def _(d):
     kinds = {"intervals": d.hot(), "points": points, "point values": d.signal("click").where(points)}
     out = None
     for kind, operand in kinds.items():
-        part = typed_statistics(operand, ["min", "max"]).withColumn("kind", F.lit(kind))
+        part = typed_statistics(operand, LABELS).withColumn("kind", F.lit(kind))
         out = part if out is None else out.unionByName(part)
-    return out
+    return out.withColumn("statistic_value", F.round("statistic_value", 1))
 
 
 # -- report ----------------------------------------------------------------------------------------------------------
@@ -619,9 +625,10 @@ def side_sql(select: str) -> str:
 @query(
     "j9_match_definitions",
     side_sql(
-        """SELECT coalesce(e.name, a.name) AS histogram_name, e.name IS NOT NULL AS in_expected, a.name IS NOT NULL AS in_actual,
-  CASE WHEN e.name IS NOT NULL THEN 'histogram_expected' END AS expected_type, CASE WHEN a.name IS NOT NULL THEN 'histogram_actual' END AS actual_type
-FROM (SELECT DISTINCT name FROM expected) e FULL JOIN (SELECT DISTINCT name FROM actual) a ON e.name = a.name"""
+        """SELECT histogram_name, bool_or(side = 0) AS in_expected, bool_or(side = 1) AS in_actual,
+  max(kind) FILTER (side = 0) AS expected_type, max(kind) FILTER (side = 1) AS actual_type
+FROM (SELECT name AS histogram_name, 0 AS side, 'histogram_expected' AS kind FROM expected UNION SELECT name, 1, 'histogram_actual' FROM actual)
+GROUP BY histogram_name"""
     ),
 )
 def _(d):
@@ -710,6 +717,13 @@ def _(d):
     return new_and_changed(silver, gold, "stop_dt")
 
 
-@query("s23_capped_run", sql("SELECT container_id, vehicle_key FROM cm ORDER BY lo, container_id LIMIT 25"))
+@query(
+    "s23_capped_run",
+    sql("SELECT container_id, vehicle_key, (row_number() OVER (ORDER BY lo, container_id) - 1)::INTEGER // 250 AS batch FROM cm"),
+)
 def _(d):
-    return next_sessions(d.container_metrics, 25, ["start_dt", "container_id"]).select("container_id", "vehicle_key")
+    """Every recording, in runs of 250."""
+    rows = d.container_metrics.select("start_dt", "container_id", "vehicle_key")
+    batches = session_batches(rows, 250, ["start_dt", "container_id"])
+    parts = [b.select("container_id", "vehicle_key", F.lit(i).alias("batch")) for i, b in enumerate(batches)]
+    return reduce(DataFrame.unionByName, parts) if parts else rows.drop("start_dt").withColumn("batch", F.lit(0))

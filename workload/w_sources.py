@@ -174,7 +174,7 @@ def recordings_of(d) -> DataFrame:
     "s7_enumerate_channels",
     sql(
         """SELECT container_id, channel_name, sample_count::BIGINT AS sample_count,
-  (row_number() OVER (PARTITION BY container_id ORDER BY channel_name))::INTEGER AS channel_id FROM chm WHERE sample_count > 1"""
+  (row_number() OVER (PARTITION BY container_id ORDER BY channel_name))::INTEGER AS channel_id FROM chm"""
     ),
 )
 def _(d):
@@ -193,12 +193,12 @@ PIECES, BIN = 8, 50
   ORDER BY container_id, channel_id, first_sample ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT // {BIN} AS bin
 FROM (SELECT container_id, channel_id, piece * {PIECES} AS first_sample, least({PIECES}, sample_count - piece * {PIECES})::BIGINT AS n_samples,
   (container_id % 4)::BIGINT AS shard
-FROM (SELECT *, unnest(range((sample_count - 1) // {PIECES} + 1)) AS piece FROM chm WHERE sample_count > 1))"""
+FROM (SELECT *, unnest(range((sample_count - 1) // {PIECES} + 1)) AS piece FROM chm))"""
     ),
 )
 def _(d):
     counts = d.samples.groupBy("container_id", "channel_id").agg(F.count(F.lit(1)).alias("sample_count"))
-    tasks = split_channels(counts.where(F.col("sample_count") > 1), PIECES)
+    tasks = split_channels(counts, PIECES)
     tasks = tasks.withColumn("filename", F.lpad(F.col("container_id").cast("string"), 20, "0"))
     bins = assign_bins(tasks, BIN, F.col("container_id") % 4)
     return bins.select("container_id", "channel_id", "first_sample", "n_samples", "shard", "bin")
@@ -206,10 +206,7 @@ def _(d):
 
 @query(
     "s9_decode_recordings",
-    sql(
-        """SELECT container_id, channel_name, unit, time, value FROM bronze
-SEMI JOIN (SELECT container_id, channel_id FROM chm WHERE sample_count > 1) USING (container_id, channel_id)"""
-    ),
+    sql("SELECT container_id, channel_name, unit, time, value FROM bronze"),
 )
 def _(d):
     files = recordings_of(d)
@@ -336,14 +333,14 @@ def _(d):
 @query(
     "s17_union_tables",
     sql(
-        """SELECT container_id, channel_id, time, value, 'veh_' || channel_id AS vehicle_key FROM bronze WHERE channel_id IN (1, 5)"""
+        """SELECT container_id, channel_id, time, value, 'veh_' || channel_id AS vehicle_key FROM bronze WHERE channel_id <> 2"""
     ),
 )
 def _(d):
     rows = d.samples.select(*COLUMNS)
-    parts = [rows.where(F.col("channel_id") == i) for i in (1, 2, 5)]
-    union = T.union_tables(parts, ["veh_1", "veh_2", "veh_5"])
-    return union.where(F.col("vehicle_key").isin("veh_1", "veh_5"))
+    parts = [rows.where(F.col("channel_id") == i) for i in range(1, 6)]
+    union = T.union_tables(parts, [f"veh_{i}" for i in range(1, 6)])
+    return union.where(F.col("vehicle_key") != "veh_2")
 
 
 @query(
@@ -360,7 +357,11 @@ def _(d):
     return T.snapshot(d.aliases, scratch_folder(d.spark, "aliases"))
 
 
-@query("s20_check_source")
+@query(
+    "s20_check_source",
+    """SELECT epoch_us(ts) * 1000 AS tstart, value, (SELECT string_agg(column_name, ',' ORDER BY column_index) FROM duckdb_columns() WHERE table_name = 'events') AS columns
+FROM events LIMIT 1""",
+)
 def _(d):
     """First row of the sample table by a candidate expression, with the columns of the table beside it."""
     first = T.check_source(d.table("events"), "unix_micros(cast(ts as timestamp)) * 1000", "value")
