@@ -22,6 +22,8 @@ from seriesloom.operators.align import KEY, locate, merge_in_slices, merge_in_wi
 from seriesloom.operators.grid import TimeGrid, spread
 from seriesloom.operators.scans import (
     following,
+    key_max,
+    key_min,
     last_known,
     next_known,
     previous,
@@ -517,33 +519,33 @@ class SampleSeries(_Series):
     def resample(self, sample_rate: int, interp_kind: str = "previous") -> SampleSeries:
         """Values on the grid start, start + rate, ... up to the end of the recording, each held until the next.
 
-        A grid point inside a gap has no value and is left out. Grid points are made in blocks, so a long recording
-        neither builds one long array nor sits in one task.
+        A grid point inside a gap has no value and is left out. Each run makes the points it holds itself, in blocks, so
+        nothing is aligned and the points of a long run are spread over many tasks.
         """
         if interp_kind != "previous":
             raise ValueError("only 'previous' interpolation is defined")
         if sample_rate <= 0:
             raise ValueError("sample_rate must be positive")
         step, block = int(sample_rate), 4096
-        span = self.frame.groupBy(ID).agg(F.min("tstart").alias("_lo"), F.max("tend").alias("_hi"))
-        last = F.call_function("div", F.col("_hi") - F.col("_lo"), F.lit(step))
-        blocks = span.withColumn("_last", last).withColumn(
-            "_block", F.explode(F.sequence(F.lit(0).cast("long"), F.call_function("div", F.col("_last"), F.lit(block))))
-        )
-        first = F.col("_block") * block
-        index = F.explode(F.sequence(first, F.least(first + block - 1, F.col("_last"))))
-        points = spread(blocks, ID, "_block").select(ID, "_lo", "_hi", index.alias("_i")).select(
-            ID, (F.col("_lo") + F.col("_i") * step).alias("t"), "_hi"
+        runs = self._scan(
+            ("tstart", "tend"),
+            _next=following(F.col("tstart")),
+            _lo=key_min(F.col("tstart")),
+            _hi=key_max(F.col("tend")),
         )
-        found = locate(points, self.frame, self.grid)
+        # a run holds its own end point when no run starts there
+        until = F.least(F.col("tend"), F.col("_next") - 1)
+        first = F.call_function("div", F.col("tstart") - F.col("_lo") + (step - 1), F.lit(step))
+        last = F.call_function("div", until - F.col("_lo"), F.lit(step))
+        runs = runs.withColumn("_first", first).withColumn("_last", last)
+        runs = runs.where((F.col("_first") <= F.col("_last")) & (F.col("tstart") <= until))
+        steps = F.sequence(F.col("_first"), F.col("_last"), F.lit(block).cast("long"))
+        blocks = runs.select(ID, "value", "_lo", "_hi", "_last", F.explode(steps).alias("_i"))
+        index = F.explode(F.sequence(F.col("_i"), F.least(F.col("_i") + block - 1, F.col("_last"))))
+        points = spread(blocks, ID, "_i").select(ID, "value", "_lo", "_hi", index.alias("_i"))
+        t = F.col("_lo") + F.col("_i") * step
         return SampleSeries(
-            found.select(
-                ID,
-                F.col("t").alias("tstart"),
-                F.least(F.col("t") + step, F.col("_hi")).alias("tend"),
-                F.col("run.value").alias("value"),
-            ),
-            self.grid,
+            points.select(ID, t.alias("tstart"), F.least(t + step, F.col("_hi")).alias("tend"), "value"), self.grid
         )
 
     # -- aggregates ----------------------------------------------------------------------------------------------

@@ -74,82 +74,109 @@ def evenly_spaced(points: DataFrame, n_out: int, grid: TimeGrid, keys: Sequence[
     return rows.where(F.when(F.col("_n") <= n_out, True).otherwise(chosen)).drop("_row", "_n")
 
 
+def bucket_edges(n: int, n_out: int) -> np.ndarray:
+    """First positions of the inner buckets of ``n`` points, and the position after the last of them."""
+    k = np.arange(n_out - 1, dtype=object)
+    return (1 + k * (n - 2) // (n_out - 2)).astype(np.int64)
+
+
+def _areas(a: np.ndarray, t: np.ndarray, v: np.ndarray, c: tuple[float, float]) -> np.ndarray:
+    """Twice the areas of the triangles from point ``a`` over the points (t, v) to ``c``."""
+    return np.abs((a[0] - c[0]) * (v - a[1]) - (a[0] - t) * (c[1] - a[1]))
+
+
 def largest_triangles(t: np.ndarray, v: np.ndarray, n_out: int) -> np.ndarray:
     """Positions of a Largest-Triangle-Three-Buckets sample (Steinarsson 2013), first and last point kept."""
     n = len(t)
     if n <= n_out:
         return np.arange(n)
-    edges = np.floor(np.linspace(1, n - 1, n_out - 1)).astype(np.int64)
-    picks = np.empty(n_out, dtype=np.int64)
-    picks[0], picks[-1] = 0, n - 1
-    at = 0
+    edges = np.append(bucket_edges(n, n_out), n)
+    picks = [0]
     for b in range(n_out - 2):
-        lo, hi = edges[b], edges[b + 1]
-        after_hi = edges[b + 2] if b + 2 < len(edges) else n
-        if after_hi <= hi:
-            hi_t, hi_v = t[-1], v[-1]
-        else:
-            hi_t, hi_v = t[hi:after_hi].mean(), v[hi:after_hi].mean()
-        area = np.abs((t[at] - hi_t) * (v[lo:hi] - v[at]) - (t[at] - t[lo:hi]) * (hi_v - v[at]))
-        at = lo + int(np.nanargmax(area)) if np.isfinite(area).any() else lo
-        picks[b + 1] = at
-    return picks
-
-
-def downsample(
-    points: DataFrame,
-    n_out: int,
-    grid: TimeGrid,
-    keys: Sequence[str] = CHANNEL,
-    ratio: int = 8,
-) -> DataFrame:
-    """At most ``n_out`` points per channel that keep the look of the line; short channels pass unchanged.
-
-    A channel of up to ``n_out * ratio`` points is sampled exactly. A longer one is first thinned inside Spark to the
-    lowest, highest, first and last point of ``n_out * ratio / 4`` time buckets (MinMax-LTTB), so the grouped Python step
-    never sees more than ``n_out * ratio`` points, however long the channel is.
+        lo, hi, after = edges[b : b + 3]
+        at = picks[-1]
+        area = _areas((t[at], v[at]), t[lo:hi], v[lo:hi], (t[hi:after].mean(), v[hi:after].mean()))
+        picks.append(lo + int(np.nanargmax(area)) if np.isfinite(area).any() else lo)
+    return np.array([*picks, n - 1])
+
+
+def _hull(t: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Positions of the corners of the convex hull of points in order of (t, v), and always the first position."""
+    known = np.flatnonzero(np.isfinite(v))
+    if len(known) > 1:
+        known = known[np.r_[True, (t[known][1:] != t[known][:-1]) | (v[known][1:] != v[known][:-1])]]
+    keep = {0}
+    points = list(zip(t[known].tolist(), v[known].tolist(), known.tolist(), strict=True))
+    for side in (1, -1):
+        chain: list[tuple[float, float, int]] = []
+        for p in points:
+            while len(chain) > 1 and side * (
+                (chain[-1][0] - chain[-2][0]) * (p[1] - chain[-2][1]) - (chain[-1][1] - chain[-2][1]) * (p[0] - chain[-2][0])
+            ) <= 0:
+                chain.pop()
+            chain.append(p)
+        keep.update(p[2] for p in chain)
+    return np.array(sorted(keep))
+
+
+#: Points whose hull one task finds at a time.
+PART = 1 << 16
+
+
+def downsample(points: DataFrame, n_out: int, grid: TimeGrid, keys: Sequence[str] = CHANNEL) -> DataFrame:
+    """Largest-Triangle-Three-Buckets sample of ``n_out`` points per channel; channels of up to so many pass unchanged.
+
+    Points are ordered by (t, value), numbered by a scan and put into buckets by number. The largest triangle over a
+    bucket always stands on a corner of the bucket's convex hull, so hulls are taken of parts of a bucket, then of whole
+    buckets, and one short pass over the corners of a channel picks the points. No task sees more than ``PART`` points of a
+    channel, or the corners; the answer is that of the plain method at every size, up to ties by rounding.
     """
     if n_out < 3:
         raise ValueError("at least three points")
-    limit = n_out * ratio
-    buckets = limit // 4
-    rows = scan(
-        points,
-        keys,
-        ("t",),
-        grid,
-        "t",
-        _n=key_count(F.col("t")),
-        _lo=key_min(F.col("t")),
-        _hi=key_max(F.col("t")),
-    )
-    short = rows.where(F.col("_n") <= n_out).select(*keys, "t", "value")
-    middle = rows.where((F.col("_n") > n_out) & (F.col("_n") <= limit)).select(*keys, "t", "value")
-    place = F.floor((F.col("t") - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + 1) * buckets)
-    thinned = (
-        rows.where(F.col("_n") > limit)
-        .groupBy(*keys, place.alias("_bucket"))
-        .agg(
-            F.min_by("t", "value").alias("t1"),
-            F.min("value").alias("v1"),
-            F.max_by("t", "value").alias("t2"),
-            F.max("value").alias("v2"),
-            F.min("t").alias("t3"),
-            F.min_by("value", "t").alias("v3"),
-            F.max("t").alias("t4"),
-            F.max_by("value", "t").alias("v4"),
-        )
+    numbered = scan(
+        points, keys, ("t", "value"), grid, "t", _i=running_count(), _n=key_count(F.col("t")), _t0=key_min(F.col("t"))
     )
-    corners = F.array_distinct(
-        F.array(*[F.struct(F.col(f"t{i}").alias("t"), F.col(f"v{i}").alias("value")) for i in (1, 2, 3, 4)])
+    numbered = numbered.select(*keys, "t", "value", (F.col("_i") - 1).alias("_i"), "_n", "_t0")
+    short = numbered.where(F.col("_n") <= n_out).select(*keys, "t", "value")
+    i, n, inner = F.col("_i"), F.col("_n"), n_out - 2
+    bucket = F.when(i == 0, -1).when(i == n - 1, inner).otherwise(F.call_function("div", i * inner - 1, n - 2))
+    rows = numbered.where(n > n_out).select(
+        *keys,
+        bucket.cast("int").alias("_bucket"),
+        F.call_function("div", i, F.lit(PART)).alias("_part"),
+        i.alias("_i"),
+        "t",
+        (F.col("t") - F.col("_t0")).cast("double").alias("_dt"),
+        F.col("value").cast("double").alias("_v"),
+        F.lit(1).cast("long").alias("_count"),
+        (F.col("t") - F.col("_t0")).cast("double").alias("_sum_t"),
+        F.col("value").cast("double").alias("_sum_v"),
+        F.coalesce(F.isnan("value"), F.lit(False)).alias("_nan"),  # pandas takes NaN and NULL for one
     )
-    thinned = thinned.select(*keys, F.explode(corners).alias("p")).select(*keys, "p.t", "p.value")
-
-    def sample(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("t", kind="stable")
-        t = group["t"].to_numpy()
-        picks = largest_triangles((t - t[0]).astype(np.float64), group["value"].to_numpy(np.float64), n_out)
-        return group.iloc[picks]
 
-    sampled = middle.unionByName(thinned).groupBy(*keys).applyInPandas(sample, short.schema)
-    return short.unionByName(sampled)
+    def corners(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("_i", kind="stable")
+        kept = group.iloc[_hull(group["_dt"].to_numpy(), group["_v"].to_numpy())].copy()
+        for c in ("_count", "_sum_t", "_sum_v"):  # the totals of the group go with its first row
+            totals = np.zeros(len(kept), group[c].dtype)
+            totals[0] = group[c].sum(skipna=False)
+            kept[c] = totals
+        return kept
+
+    def pick(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("_i", kind="stable")
+        buckets = [b for _, b in group.groupby("_bucket", sort=True)]
+        chosen = [buckets[0].iloc[0]]
+        for b, after in zip(buckets[1:-1], buckets[2:], strict=True):
+            n = after["_count"].sum()
+            at = (after["_sum_t"].sum(skipna=False) / n, after["_sum_v"].sum(skipna=False) / n)
+            area = _areas((chosen[-1]["_dt"], chosen[-1]["_v"]), b["_dt"].to_numpy(), b["_v"].to_numpy(), at)
+            chosen.append(b.iloc[int(np.nanargmax(area)) if np.isfinite(area).any() else 0])
+        out = pd.DataFrame([*chosen, buckets[-1].iloc[-1]])
+        return out[[*keys, "t", "_v", "_nan"]]
+
+    parts = rows.groupBy(*keys, "_bucket", "_part").applyInPandas(corners, rows.schema)
+    hulls = parts.groupBy(*keys, "_bucket").applyInPandas(corners, rows.schema)
+    chosen = hulls.groupBy(*keys).applyInPandas(pick, rows.select(*keys, "t", "_v", "_nan").schema)
+    value = F.when(F.col("_nan"), F.lit(float("nan"))).otherwise(F.col("_v")).alias("value")
+    return short.withColumn("value", F.col("value").cast("double")).unionByName(chosen.select(*keys, "t", value))

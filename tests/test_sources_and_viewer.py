@@ -171,6 +171,20 @@ def test_downsample_size_and_ends(spark, grid, n, n_out, want):
     assert all(math.isclose(v, math.sin(t / 50)) for t, v in rows)
 
 
+@pytest.mark.parametrize("n", [3, 20, 21, 160, 161, 1000])
+def test_downsample_is_the_plain_method_at_every_size(spark, grid, n, monkeypatch):
+    monkeypatch.setattr("seriesloom.operators.viewer.PART", 40)
+    rng = np.random.default_rng(n)
+    t = np.sort(rng.integers(0, 10 * n, n))
+    v = np.where(rng.random(n) < 0.02, np.nan, rng.normal(size=n).cumsum())
+    order = np.lexsort((v, t))
+    t, v = t[order], v[order]
+    df = spark.createDataFrame([(1, 2, int(a), float(b)) for a, b in zip(t, v)], "container_id bigint, channel_id int, t bigint, value double")
+    got = sorted((r["t"], repr(r["value"])) for r in downsample(df, 20, grid).collect())
+    picks = largest_triangles((t - t[0]).astype(float), v, 20)
+    assert got == sorted((int(t[i]), repr(float(v[i]))) for i in picks)
+
+
 def test_downsample_keeps_a_spike(spark):
     df = wave(spark, 20_000).withColumn("value", F.when(F.col("t") == 7777, 50.0).otherwise(F.col("value")))
     rows = downsample(df, 60, TimeGrid(1000)).collect()

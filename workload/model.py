@@ -41,6 +41,11 @@ class Data:
         self.folder = folder
         self.memo: dict = {}
 
+    @classmethod
+    def forget(cls) -> None:
+        """Drop what earlier calls measured and wrote, so that the next call pays for it again."""
+        cls._known.clear()
+
     @classmethod
     def of(cls, spark: SparkSession, folder: str) -> Data:
         key = (spark.sparkContext.applicationId, folder)

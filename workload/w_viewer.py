@@ -48,7 +48,7 @@ def _(d):
     by_channel = d.samples.select("channel_name", F.col("time").alias("t"), "value")
     if "channel_grid" not in d.memo:  # a channel of all recordings is longer than a recording
         d.memo["channel_grid"] = measure_grid(by_channel, TICKS, key="channel_name", time="t")
-    return downsample(by_channel, 100, d.memo["channel_grid"], keys=("channel_name",), ratio=4)
+    return downsample(by_channel, 100, d.memo["channel_grid"], keys=("channel_name",))
 
 
 @query(
