@@ -1,44 +1,29 @@
 """Putting several series of one recording on one time axis.
 
-All operators here take *disjoint* runs (``tstart``, ``tend``) per source and recording. A run is copied into every slice
-it touches, with its own bounds kept. Inside a slice the runs are walked in the order of their starts: the state of a
-source is its last started run. An overlap of several runs begins at the latest of their starts, and that instant lies
-in exactly one slice, so each overlap is emitted once, with true bounds, and nothing has to be stitched afterwards.
-This costs one shuffle for any number of sources and is linear in the number of runs; no pairs are formed and thrown away.
+All operators here take *disjoint* runs (``tstart``, ``tend``) per source and recording. The starts of all runs are walked
+in order: the state of a source is its last started run. An overlap of several runs begins at the latest of their starts,
+so each is found at one start, with its bounds. This costs one shuffle for any number of sources and is linear in the
+number of runs; no pairs are formed and thrown away. On a sliced grid no run is copied, however many slices it lasts: the
+scan passes the last run of each source on from slice to slice, one row for each slice that holds a start.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import WindowSpec
 
-from seriesloom.operators.grid import SLICE, TimeGrid
-from seriesloom.operators.scans import by_slices, stitch
+from seriesloom.operators.grid import TimeGrid
+from seriesloom.operators.scans import following, key_max, last_known, running_max_before, scan
 
 KEY = ("container_id",)
 
 
-def into_slices(runs: DataFrame, grid: TimeGrid, closed: bool = False) -> DataFrame:
-    """Copy each run into the slices it touches. ``closed`` counts the end point as part of the run."""
-    if not grid.sliced:
-        return runs.withColumn(SLICE, F.lit(0).cast("long"))
-    last = F.col("tend") if closed else F.col("tend") - 1
-    return runs.withColumn(
-        SLICE,
-        F.explode(F.sequence(grid.slice_of(F.col("tstart")), grid.slice_of(F.greatest(last, F.col("tstart"))))),
-    )
-
-
-def _partition(keys: Sequence[str], grid: TimeGrid) -> list[str]:
-    return [*keys, SLICE] if grid.sliced else list(keys)
-
-
 def _payload(df: DataFrame, keys: Sequence[str]) -> list[str]:
-    return [c for c in df.columns if c not in (*keys, SLICE)]
+    return [c for c in df.columns if c not in keys]
 
 
 def overlaps(
@@ -52,43 +37,26 @@ def overlaps(
     parts = []
     for number, name in enumerate(names):
         df = sources[name].where(F.col("tend") > F.col("tstart"))
-        cols = _payload(df, keys)
-        df = into_slices(df, grid)
-        run = F.struct(*[F.col(c) for c in cols])
+        run = F.struct(*[F.col(c) for c in _payload(df, keys)])
         parts.append(
             df.select(
                 *keys,
-                SLICE,
                 F.col("tstart").alias("_t"),
                 F.lit(number).alias("_source"),
-                *[
-                    (run if other == name else _null_like(sources[other], keys)).alias(other)
-                    for other in names
-                ],
+                *[(run if other == name else _null_like(sources[other], keys)).alias(other) for other in names],
             )
         )
-    events = parts[0]
-    for part in parts[1:]:
-        events = events.unionByName(part)
-    w = Window.partitionBy(*_partition(keys, grid)).orderBy("_t", "_source")
-    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    state = events.select(
-        *keys,
-        SLICE,
-        "_t",
-        F.lead("_t").over(w).alias("_next"),
-        *[F.last(n, ignorenulls=True).over(upto).alias(n) for n in names],
-    )
+    events = reduce(DataFrame.unionByName, parts)
+    states = {f"_run_{n}": last_known(F.col(n)) for n in names}
+    state = scan(events, keys, ("_t", "_source"), grid, "_t", _next=following(F.col("_t")), **states)
+    state = state.select(*keys, "_t", "_next", *[F.col(f"_run_{n}").alias(n) for n in names])
     end = F.least(*[F.col(f"{n}.tend") for n in names]) if len(names) > 1 else F.col(f"{names[0]}.tend")
     alive = F.lit(True)
     for n in names:
         alive = alive & F.col(n).isNotNull()
     last_of_instant = F.col("_next").isNull() | (F.col("_next") != F.col("_t"))
-    begins_here = (
-        grid.slice_of(F.col("_t")) == F.col(SLICE) if grid.sliced else F.lit(True)
-    )
     return (
-        state.where(alive & last_of_instant & begins_here)
+        state.where(alive & last_of_instant)
         .withColumn("tend", end)
         .where(F.col("tend") > F.col("_t"))
         .select(*keys, F.col("_t").alias("tstart"), "tend", *names)
@@ -113,42 +81,27 @@ def locate(
     its own end point when no other run starts there.
     """
     cols = _payload(runs, keys)
-    held = into_slices(runs, grid, closed)
     extra = [c for c in points.columns if c not in (*keys, "t")]
-    null_run = _null_like(runs, keys)
     point_type = points.select(*extra).schema if extra else None
-    rows = held.select(
+    rows = runs.select(
         *keys,
-        SLICE,
         F.col("tstart").alias("t"),
         F.lit(0).alias("_kind"),
-        F.struct(*cols).alias("run"),
+        F.struct(*cols).alias("_start"),
         *([F.lit(None).cast(_nullable(point_type)).alias("_point")] if extra else []),
     ).unionByName(
         points.select(
             *keys,
-            (grid.slice_of(F.col("t")) if grid.sliced else F.lit(0).cast("long")).alias(SLICE),
             "t",
             F.lit(1).alias("_kind"),
-            null_run.alias("run"),
+            _null_like(runs, keys).alias("_start"),
             *([F.struct(*extra).alias("_point")] if extra else []),
         )
     )
-    w = (
-        Window.partitionBy(*_partition(keys, grid))
-        .orderBy("t", "_kind")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    found = rows.select(
-        *keys,
-        "t",
-        "_kind",
-        *(["_point"] if extra else []),
-        F.last("run", ignorenulls=True).over(w).alias("run"),
-    )
-    inside = F.col("t") <= F.col("run.tend") if closed else F.col("t") < F.col("run.tend")
+    found = scan(rows, keys, ("t", "_kind"), grid, "t", _run=last_known(F.col("_start")))
+    inside = F.col("t") <= F.col("_run.tend") if closed else F.col("t") < F.col("_run.tend")
     return found.where((F.col("_kind") == 1) & inside).select(
-        *keys, "t", *[F.col(f"_point.{c}").alias(c) for c in extra], "run"
+        *keys, "t", *[F.col(f"_point.{c}").alias(c) for c in extra], F.col("_run").alias("run")
     )
 
 
@@ -156,58 +109,11 @@ def _nullable(schema: T.StructType) -> T.StructType:
     return T.StructType([T.StructField(f.name, f.dataType, True) for f in schema.fields])
 
 
-def _islands(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Unions of overlapping and touching intervals by one window: an island starts after everything before has ended."""
-    w = Window.partitionBy(*keys).orderBy("tstart", "tend")
-    reach = F.max("tend").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    marked = rows.select(
-        *keys, "tstart", reach.alias("_reach"), F.max("tend").over(Window.partitionBy(*keys)).alias("_end")
-    )
+def merge_islands(rows: DataFrame, grid: TimeGrid, keys: Sequence[str] = KEY) -> DataFrame:
+    """Unions of overlapping and touching intervals: an island starts after everything before has ended."""
+    reach = running_max_before(F.col("tend"))
+    marked = scan(rows, keys, ("tstart", "tend"), grid, "tstart", _reach=reach, _end=key_max(F.col("tend")))
+    marked = marked.select(*keys, "tstart", "_reach", "_end")
     starts = marked.where(F.col("_reach").isNull() | (F.col("tstart") > F.col("_reach")))
-    order = Window.partitionBy(*keys).orderBy("tstart")
-    return starts.select(
-        *keys, "tstart", F.coalesce(F.lead("_reach").over(order), F.col("_end")).alias("tend")
-    )
-
-
-def merge_in_window(rows: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
-    return _islands(rows, keys)
-
-
-def merge_in_slices(rows: DataFrame, grid: TimeGrid, keys: Sequence[str] = KEY) -> DataFrame:
-    """Intervals are cut at the slice bounds and merged inside each slice. Across slices only islands that end on a bound
-    and begin on the same bound belong together, so a slice's summary is its first and last island.
-    """
-    cut = into_slices(rows, grid)
-    width = grid.slice_ticks
-    # Slices are cut by whole-number division, which rounds towards 0: slice 0 reaches from -width to width.
-    lo = F.when(F.col(SLICE) > 0, F.col(SLICE) * width).otherwise((F.col(SLICE) - 1) * width + 1)
-    hi = F.when(F.col(SLICE) >= 0, (F.col(SLICE) + 1) * width).otherwise(F.col(SLICE) * width + 1)
-    cut = cut.select(
-        *keys, SLICE, F.greatest("tstart", lo).alias("tstart"), F.least("tend", hi).alias("tend")
-    )
-    cut = by_slices(cut, keys)
-    local = _islands(cut, (*keys, SLICE)).withColumn("_lo", lo).withColumn("_hi", hi)
-    summary = {
-        "_first": F.min(F.struct("tstart", "tend")),
-        "_last": F.max(F.struct("tstart", "tend")),
-        "_slice_lo": F.min("_lo"),
-        "_slice_hi": F.max("_hi"),
-    }
-
-    def carry(slices: DataFrame, over: WindowSpec) -> DataFrame:
-        goes_on = (F.col("_first.tstart") == F.col("_slice_lo")) & (F.lag("_last.tend").over(over) == F.col("_slice_lo"))
-        slices = slices.withColumn("_goes_on", F.coalesce(goes_on, F.lit(False)))
-        leaves = (F.col("_last.tend") == F.col("_slice_hi")) & F.coalesce(F.lead("_goes_on").over(over), F.lit(False))
-        slices = slices.withColumn("_leaves", leaves)
-        # Where a stretch coming from the left ends: with the first island, unless that fills the slice and leaves it.
-        through = F.col("_leaves") & (F.col("_first") == F.col("_last"))
-        slices = slices.withColumn("_stop", F.when(~through, F.col("_first.tend")))
-        after = over.rowsBetween(1, Window.unboundedFollowing)
-        return slices.withColumn("_far_end", F.first("_stop", ignorenulls=True).over(after)).drop("_stop")
-
-    stitched = stitch(local, cut.columns, keys, summary, carry)
-    is_first = F.col("tstart") == F.col("_lo")
-    kept = stitched.where(~(is_first & F.col("_goes_on")))
-    ends_on_bound = (F.col("tend") == F.col("_hi")) & F.col("_leaves")
-    return kept.select(*keys, "tstart", F.when(ends_on_bound, F.col("_far_end")).otherwise(F.col("tend")).alias("tend"))
+    starts = scan(starts, keys, ("tstart",), grid, "tstart", _next=following(F.col("_reach")))
+    return starts.select(*keys, "tstart", F.coalesce("_next", "_end").alias("tend"))

@@ -18,7 +18,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriesloom.operators.align import KEY, locate, merge_in_slices, merge_in_window, overlaps
+from seriesloom.operators.align import KEY, locate, merge_islands, overlaps
 from seriesloom.operators.grid import TimeGrid, spread
 from seriesloom.operators.scans import (
     following,
@@ -172,7 +172,7 @@ class Intervals(_Series):
         if self.disjoint:
             return self
         rows = self.frame.where(F.col("tend") > F.col("tstart"))
-        merged = merge_in_slices(rows, self.grid) if self.grid.sliced else merge_in_window(rows)
+        merged = merge_islands(rows, self.grid)
         return Intervals(merged, self.grid, disjoint=True)
 
     def __and__(self, other: Intervals) -> Intervals:

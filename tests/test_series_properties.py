@@ -7,6 +7,7 @@ import random
 
 import pytest
 
+from seriesloom.operators.grid import TimeGrid
 from seriesloom.operators.series import Intervals, PitSeries, PointsInTime, SampleSeries
 
 CASES = 120
@@ -327,3 +328,21 @@ def test_pit_series_with_sample_series(spark, make, cases, grid):
     check(mine, {i: [(t, b) for t, b, _ in w] for i, w in want.items()})
     check(other, {i: [(t, a) for t, _, a in w] for i, w in want.items()})
     assert isinstance(mine, PitSeries)
+
+
+def test_long_runs_are_not_copied(spark):
+    """A run that lasts for millions of slices is one row on the way, and gives the same answer."""
+    from seriesloom.operators.align import locate, overlaps
+
+    runs = "container_id bigint, tstart bigint, tend bigint, value double"
+    slow = spark.createDataFrame([(1, 0, 10**13, 1.0), (1, 10**13, 2 * 10**13, 2.0)], runs)
+    fast = spark.createDataFrame([(1, 10**12 + i, 10**12 + i + 1, float(i)) for i in range(200)], runs)
+    points = spark.createDataFrame([(1, 5), (1, 10**13), (1, 3 * 10**13)], "container_id bigint, t bigint")
+    plain, sliced = TimeGrid(1000), TimeGrid(1000, 7)
+    for grid in (plain, sliced):
+        met = overlaps({"a": slow, "b": fast}, grid)
+        assert met.count() == 200 and met.where("a.value = 1.0 AND tend - tstart = 1").count() == 200
+        held = {r["t"]: r["run"]["value"] for r in locate(points, slow, grid).collect()}
+        assert held == {5: 1.0, 10**13: 2.0}
+        merged = Intervals(slow.select("container_id", "tstart", "tend"), grid).merge_overlaps().frame.collect()
+        assert [(r["tstart"], r["tend"]) for r in merged] == [(0, 2 * 10**13)]
