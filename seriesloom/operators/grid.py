@@ -63,14 +63,14 @@ def measure_grid(
     key: str = "container_id",
     time: str = "time",
     target_rows: int = 4_000_000,
-    rounds: int = 12,
+    halvings: int = 12,
 ) -> TimeGrid:
     """Choose the slice width so that no (recording, slice) holds much more than ``target_rows`` rows.
 
     One aggregation counts the rows per recording, with map-side combining. Only when a recording is above the target
-    is the width searched for: the even split first, then narrower while some slice of a large recording is still over
-    twice the target, so that bursts are split too. Narrowing that no longer helps is taken back: what is left then are
-    copies of single instants. The recordings to look at are at most rows / target_rows.
+    are its rows counted by time, once, in slices ``2 ** halvings`` narrower than an even split; the counts of all wider
+    slices are sums of these. The width is the widest that keeps every slice below twice the target, so that bursts are
+    split too. Narrowing that does not help is not done: what is left then are copies of single instants.
     """
     per_key = samples.groupBy(key).agg(
         F.count(F.lit(1)).alias("n"), F.min(time).alias("lo"), F.max(time).alias("hi")
@@ -82,22 +82,22 @@ def measure_grid(
     if total is None or total["n"] is None or total["n"] <= target_rows:
         return plain
     large = per_key.where(F.col("n") > target_rows).select(key)
-    of_large = samples.select(key, time).join(large, key, "left_semi")
-
-    def worst_slice(width: int) -> int:
-        at = plain.with_slices(width).slice_of(F.col(time)).alias(SLICE)
-        return of_large.groupBy(key, at).count().agg(F.max("count")).first()[0]
-
-    width = max(1, (total["hi"] - total["lo"] + 1) // -(-total["n"] // target_rows))
-    best, worst = width, worst_slice(width)
-    for _ in range(rounds):
-        if worst <= 2 * target_rows or width == 1:
+    of_large = samples.where(F.col(time).isNotNull()).select(key, time).join(large, key, "left_semi")
+    even = max(1, (total["hi"] - total["lo"] + 1) // -(-total["n"] // target_rows))
+    finest = max(1, even >> halvings)
+    counts = of_large.groupBy(key, plain.with_slices(finest).slice_of(F.col(time)).alias(SLICE)).count()
+    widths = [finest << h for h in range(halvings, -1, -1) if finest << h <= max(even, finest)]
+    level = F.explode(F.array(*[F.lit(w // finest).cast("long") for w in widths])).alias("_wide")
+    wider = counts.select(key, SLICE, "count", level)
+    wider = wider.groupBy(key, "_wide", F.call_function("div", SLICE, F.col("_wide")).alias("_at")).agg(F.sum("count").alias("n"))
+    worst = {r["_wide"] * finest: r["n"] for r in wider.groupBy("_wide").agg(F.max("n").alias("n")).collect()}
+    best = widths[0]
+    for width in widths[1:]:
+        if worst[best] <= 2 * target_rows:
             break
-        width = max(1, width // max(2, worst // target_rows))
-        narrower = worst_slice(width)
-        if narrower < 0.9 * worst:
-            best, worst = width, narrower
-    return replace(plain, slice_ticks=best, many_copies=worst > 2 * target_rows)
+        if worst[width] < 0.9 * worst[best]:
+            best = width
+    return replace(plain, slice_ticks=best, many_copies=worst[best] > 2 * target_rows)
 
 
 def spread(df: DataFrame, *columns: str) -> DataFrame:

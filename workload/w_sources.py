@@ -30,15 +30,21 @@ COLUMNS = ["container_id", "channel_id", "time", "value"]
 
 
 # -- ledger ----------------------------------------------------------------------------------------------------------
-@query("s1_discover_files")
+@query(
+    "s1_discover_files",
+    "SELECT 'events.parquet' AS file, 'unprocessed' AS status, count(*) AS n_samples, count(DISTINCT user_id) AS n_recordings FROM events",
+)
 def _(d):
-    """Ledger of the table files of the folder, found by the bounded stream in micro-batches of four."""
+    """Ledger of the table files of the folder, found by the bounded stream in micro-batches of four, and what the sample
+    files among them hold."""
     folder = scratch_folder(d.spark, "discover")
     for _ in range(2):  # the second call finds nothing new
         discover(d.spark, d.folder, f"{folder}/ledger", f"{folder}/checkpoint", max_files=4, pattern="*.parquet")
     ledger = d.spark.read.parquet(f"{folder}/ledger")
-    per_file = ledger.groupBy("filename", "status").agg(F.count(F.lit(1)).alias("n"))
-    return per_file.select(base_name(F.col("filename")).alias("file"), "status", "n")
+    found = ledger.select(base_name(F.col("filename")).alias("file"), "status")
+    held = d.table("events").select(base_name(F.input_file_name()).alias("file"), "user_id")
+    held = held.groupBy("file").agg(F.count(F.lit(1)).alias("n_samples"), F.countDistinct("user_id").alias("n_recordings"))
+    return found.join(held, "file")
 
 
 @query(
