@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seriesloom.functions.tags import base_name
+from seriesloom.plans.ingest import IngestJob
 from seriesloom.sources import tables as T
 from seriesloom.sources.ledger import LEDGER, mark_run, next_run
 from seriesloom.sources.recordings import (
@@ -165,17 +166,40 @@ class RecordingDecoder:
         return self._channels[channel].iloc[first : first + n]
 
 
-def recordings_of(d) -> DataFrame:
-    """The samples written as one file per recording; the paths of the files with their recording."""
+def recordings_folder(d) -> str:
+    """The samples written as one file per recording."""
     if "recordings" not in d.memo:
         folder = scratch_folder(d.spark, "recordings")
         rows = d.samples.select("container_id", "channel_name", "unit", "time", "value")
         rows.repartition("container_id").write.partitionBy("container_id").option("maxRecordsPerFile", 0).csv(folder)
         d.memo["recordings"] = folder
-    files = d.spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(d.memo["recordings"])
+    return d.memo["recordings"]
+
+
+def recordings_of(d) -> DataFrame:
+    """The paths of the recording files with their recording."""
+    files = d.spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(recordings_folder(d))
     return files.select(F.regexp_replace("path", "^file:", "").alias("filename"), F.col("container_id").cast("long"))
 
 
+@query(
+    "s9_ingest_job",
+    sql("SELECT container_id, channel_name, tstart, tend, value FROM runs"),
+)
+def _(d):
+    """The recordings from discovery to runs by one job; its second call finds nothing to do."""
+    folder = recordings_folder(d)
+    job = IngestJob(
+        d.spark, scratch_folder(d.spark, "ingest"), recording_channels, RecordingDecoder(), 1_000_000, 1000, pattern="*.csv"
+    )
+    job.run(folder)
+    job.run(folder)
+    recording = F.regexp_extract("filename", "container_id=([0-9]+)", 1).cast("long").alias("recording")
+    names = job.table("channels").select("container_id", "channel_id", "channel_name", recording)
+    rows = job.table("silver").join(names, ["container_id", "channel_id"])
+    return rows.select(F.col("recording").alias("container_id"), "channel_name", "tstart", "tend", "value")
+
+
 @query(
     "s7_enumerate_channels",
     sql(
