@@ -178,8 +178,14 @@ def test_default_x(spark):
 def test_families(spark):
     rows = [("Eng_nmot_1", "rpm", 0.0, 6500.0), ("BattSOC", "%", 0.0, 400.0), ("xyz", "", 0.0, 1.0)]
     df = spark.createDataFrame(rows, "channel_name string, unit string, min_value double, max_value double")
-    got = {(r["channel_name"], r["signal"]): r["score"] for r in match_families(df).collect()}
-    assert got == {("Eng_nmot_1", "Engine speed"): 2, ("BattSOC", "State of charge"): 1}
+    known = [
+        ("drive", "speed of rotation", ["NMOT", "turns"], ["rpm"], 0.0, 8000.0),
+        ("battery", "charge", ["soc"], ["%"], 0.0, 100.0),
+        ("any", "x", ["x"], [], None, None),
+    ]
+    kind = "domain string, signal string, patterns array<string>, units array<string>, lo double, hi double"
+    got = {(r["channel_name"], r["signal"]): r["score"] for r in match_families(df, spark.createDataFrame(known, kind)).collect()}
+    assert got == {("Eng_nmot_1", "speed of rotation"): 2, ("BattSOC", "charge"): 1, ("xyz", "x"): 0}
 
 
 def test_profile_rules():
