@@ -31,9 +31,21 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents that hold ten words in a row of a benchmark item, or a shorter item whole."""
-    found = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.join(found.where("contaminated").select("doc_id"), "doc_id", "left_anti")
+    """Drop the documents that hold ten words in a row of a benchmark item, or a shorter item whole.
+
+    Documents without an id, should there be any, are told apart by a hash of their text meanwhile.
+    """
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+
+    def clean(rows: DataFrame) -> DataFrame:
+        found = contamination(rows, benchmark).where("contaminated").select("doc_id")
+        return rows.join(found, "doc_id", "left_anti").select(*docs.columns)
+
+    nameless = docs.where("doc_id IS NULL")
+    if nameless.isEmpty():
+        return clean(docs)
+    kept = clean(nameless.withColumn("doc_id", F.xxhash64("text"))).withColumn("doc_id", F.lit(None).cast("long"))
+    return clean(docs.where("doc_id IS NOT NULL")).unionByName(kept)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -464,7 +464,7 @@ def test_pipeline_stages(spark, tmp_path):
 
     base = clean(90)
     rows = [(1, base), (2, base), (3, base + " kat"), (4, clean() + " " + bench), (5, "too short"), (6, "## " * 200)]
-    rows += [(7, clean() + " write to x.y@example.org now"), (8, None), (9, " ".join(f"w{i} the" for i in range(4500))), (None, clean())]
+    rows += [(7, clean() + " write to x.y@example.org now"), (8, None), (9, " ".join(f"w{i} the" for i in range(4500))), (None, clean()), (None, clean() + " " + bench)]
     columns = ["doc_id", "text", "lang", "source", "n_chars"]
     docs_of(spark, rows).select(*columns).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, bench)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
@@ -475,6 +475,7 @@ def test_pipeline_stages(spark, tmp_path):
         assert docs.columns == columns
         left.append({r["doc_id"] for r in docs.collect()})
     assert left == [{1, 2, 3, 4, 7, 9, None}, {1, 4, 7, 9, None}, {1, 7, 9, None}, {1, 7, 9, None}]
+    assert docs.where(F.col("text").contains(bench)).count() == 0 and docs.count() == 4
     seven = docs.where("doc_id = 7").first()
     assert "<EMAIL>" in seven["text"] and "example" not in seven["text"] and seven["n_chars"] == len(seven["text"])
     pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
