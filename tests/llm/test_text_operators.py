@@ -283,6 +283,31 @@ def test_language(spark):
     assert all(0 <= r["score"] <= 1 for r in got.values())
 
 
+LABELLED = "doc_id long, text string, lang string"
+
+
+def words_of_language(rng, letters: str, n: int) -> str:
+    """Many distinct words of one language's letters, which all languages mix with common ones."""
+    return " ".join("".join(rng.choices(letters + "aeiou", k=rng.randint(2, 9))) for _ in range(n))
+
+
+def test_language_of_long_texts_of_many_words(spark):
+    rng = random.Random(8)
+    letters = {"aa": "bcdfghtt", "bb": "cdfghkll", "cc": "dfghmnrs"}
+    rows = [(i, words_of_language(rng, letters[k], 60), k) for i, k in enumerate(["aa", "bb", "cc"] * 40)]
+    model = language.fit(spark.createDataFrame(rows, LABELLED))
+    long = [(1000 + i, words_of_language(rng, letters[k], 160_000), k) for i, k in enumerate(letters)]
+    long.append((1010, long[0][1][:300_000] + long[1][1], "bb"))  # nearly all of it is bb, the first third is not
+    assert all(len(r[1]) > 900_000 for r in long)
+    got = {r["doc_id"]: r["lang_pred"] for r in language.identify(spark.createDataFrame(long, LABELLED), model).collect()}
+    assert got == {i: k for i, _, k in long}
+    text = long[0][1][:5001]
+    parts = language.pieces(text)
+    assert len(parts) == 3 and max(map(len, parts)) < language.PIECE
+    grams = lambda t: {t[i : i + 5] for i in range(len(t) - 4)}
+    assert set().union(*map(grams, parts)) == grams(text)
+
+
 # -- quality classifier ------------------------------------------------------------------------------------------------
 def test_quality_classifier(spark):
     rng = random.Random(6)
