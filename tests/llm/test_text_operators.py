@@ -308,6 +308,16 @@ def test_language_of_long_texts_of_many_words(spark):
     assert set().union(*map(grams, parts)) == grams(text)
 
 
+def test_every_language_is_learned(spark):
+    rng = random.Random(9)
+    own = {f"l{i:02d}": [chr(0x4E00 + 8 * i + j) for j in range(8)] for i in range(70)}
+    rows = [(100 * i + n, "".join(rng.choices(own[k], k=200)), k) for i, k in enumerate(own) for n in range(7 if i < 64 else 5)]
+    model = language.fit(spark.createDataFrame([r for r in rows if r[0] % 100], LABELLED))
+    new = [r for r in rows if not r[0] % 100]
+    got = {r["doc_id"]: r["lang_pred"] for r in language.identify(spark.createDataFrame(new, LABELLED), model).collect()}
+    assert got == {i: k for i, _, k in new}
+
+
 # -- quality classifier ------------------------------------------------------------------------------------------------
 def test_quality_classifier(spark):
     rng = random.Random(6)
