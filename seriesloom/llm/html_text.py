@@ -3,14 +3,17 @@
 1. A page's html becomes blocks of words, each with a place: inside an article or main element (``body``), inside a part
    that markup names as something else - menu, header, footer, sidebar, advert, notice, form, comments - (``aside``), or
    neither (``open``).
-2. The token streams of the pages of a host are concatenated and their suffixes sorted (prefix doubling). Substrings of at
-   least ``REPEAT`` tokens that stand on two distinct pages or more cover tokens.
+2. Substrings of at least ``REPEAT`` tokens that stand on two distinct pages of a host or more cover tokens. The token
+   streams of up to about ``CHUNK`` pages are concatenated and their suffixes sorted (prefix doubling). A host of more pages
+   is cut into such chunks by a hash of the page; what its chunks share is found by 64-bit hashes of all windows of
+   ``REPEAT`` tokens, which meet by host and hash and are sent back to the chunks that hold them. So repeats count over the
+   whole host at every size.
 3. Of aside blocks nothing is kept, of body blocks everything: an article that two pages carry is still their text. Of
    open blocks the covered tokens go and the unique runs stay.
 
-Hosts of more than ``CHUNK`` pages are cut into chunks of about so many pages by a hash of the page, and each chunk has a
-suffix array of its own, so no host gathers in one task; boilerplate stands on most pages of a host and is found in every
-chunk. Blocks travel to their host without markup.
+Pages travel to their host without markup, and only if some page of the host has open text: repeats decide nothing elsewhere.
+A window that stands on every page of a large host is one row a chunk before it is gathered, so no host or passage gathers in
+one task. A host is what ``host_of`` says, for counting as for grouping, the empty host included.
 
 Null and empty html and pages without main text give an empty text. Repeated rows (equal page_id, url, html) are one page
 for step 2, and each gets the same text. A url without a host belongs to the empty host. Other columns are not read. An
@@ -28,9 +31,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seriesloom.llm.shingles import hash_words, shingle_hashes
+from seriesloom.llm.tables import stored
+
 REPEAT = 8
 CHUNK = 256
-#: Hot hosts up to this number are sent to all tasks; beyond, Spark joins them.
+#: Hosts up to this number are sent to all tasks; beyond, Spark joins them.
 BROADCAST_HOSTS = 10_000
 
 #: Elements whose text is never shown or never prose (fixed values of the HTML standard and of the contract).
@@ -190,27 +196,41 @@ def repeated(pages: list[int], tokens: np.ndarray, length: int = REPEAT) -> np.n
     whole = np.zeros(n, bool)
     whole[: max(0, n - length + 1)] = page[length - 1 :] == page[: max(0, n - length + 1)]
     start &= whole
+    return _cover(np.flatnonzero(start), n, length)
+
+
+def _cover(at: np.ndarray, n: int, length: int) -> np.ndarray:
+    """Which of ``n`` tokens the substrings of ``length`` tokens that start at ``at`` cover."""
     edge = np.zeros(n + 1, np.int64)
-    at = np.flatnonzero(start)
     np.add.at(edge, at, 1)
     np.add.at(edge, at + length, -1)
     return np.cumsum(edge[:n]) > 0
 
 
-_BLOCKS = "page_id long, url string, host string, page binary, places array<string>, texts array<string>"
+def window_hashes(tokens: list[str]) -> np.ndarray:
+    """Hashes of the windows of ``REPEAT`` tokens, by position."""
+    return shingle_hashes(hash_words([t.encode("utf-8", "surrogatepass") for t in tokens]), REPEAT)
+
+
+def host_of(url: str | None) -> str:
+    from urllib.parse import urlsplit
+
+    try:
+        return urlsplit(url or "").hostname or ""
+    except ValueError:
+        return ""
+
+
+_BLOCKS = "page_id long, url string, host string, page binary, undecided boolean, places array<string>, texts array<string>"
 
 
 def _parse(batches):
     from hashlib import blake2b
-    from urllib.parse import urlsplit
 
     for batch in batches:
         hosts, keys, places, texts = [], [], [], []
         for i, (url, html) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
-            try:
-                hosts.append(urlsplit(url or "").hostname or "")
-            except ValueError:
-                hosts.append("")
+            hosts.append(host_of(url))
             name = f"{batch.column(0)[i].as_py()} {url} {html}".encode("utf-8", "surrogatepass")
             keys.append(blake2b(name, digest_size=8).digest())
             found = blocks(html or "")
@@ -222,15 +242,44 @@ def _parse(batches):
                 batch.column(1),
                 pa.array(hosts, pa.string()),
                 pa.array(keys, pa.binary()),
+                pa.array(["open" in p for p in places], pa.bool_()),
                 pa.array(places, pa.list_(pa.string())),
                 pa.array(texts, pa.list_(pa.string())),
             ],
-            names=["page_id", "url", "host", "page", "places", "texts"],
+            names=["page_id", "url", "host", "page", "undecided", "places", "texts"],
         )
 
 
-def _unique_runs(rows: pd.DataFrame) -> pd.DataFrame:
-    """One chunk of a host: cover repeated tokens, keep the rest of open blocks and all of body blocks."""
+def _windows(batches):
+    """The distinct windows of each page, and whether an open token stands in them."""
+    for batch in batches:
+        host, chunk, places, texts = (batch.column(i).to_pylist() for i in range(4))
+        for i in range(batch.num_rows):
+            tokens, is_open = [], []
+            for place, text in zip(places[i], texts[i], strict=True):
+                words = text.split(" ")
+                tokens += words
+                is_open += [place == "open"] * len(words)
+            h = window_hashes(tokens)
+            if not len(h):
+                continue
+            upto = np.r_[0, np.cumsum(is_open)]
+            some_open = upto[REPEAT:] > upto[:-REPEAT]
+            order = np.lexsort((~some_open, h))
+            h, some_open = h[order], some_open[order]
+            first = np.r_[True, h[1:] != h[:-1]]
+            h, some_open = h[first].view(np.int64), some_open[first]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([host[i]] * len(h), pa.string()), pa.array(np.full(len(h), chunk[i])), pa.array(h), pa.array(some_open)],
+                names=["host", "chunk", "hash", "undecided"],
+            )
+
+
+def _unique_runs(rows: pd.DataFrame, elsewhere: pd.DataFrame) -> pd.DataFrame:
+    """One chunk of a host: cover repeated tokens, keep the rest of open blocks and all of body blocks.
+
+    ``elsewhere`` has the hashes of windows that other chunks of the host hold too.
+    """
     number = {}
     pages, tokens, spans = [], [], []
     for i in rows.sort_values("page").index:
@@ -242,6 +291,11 @@ def _unique_runs(rows: pd.DataFrame) -> pd.DataFrame:
             pages += [page] * len(words)
     codes, _ = pd.factorize(np.array(tokens, dtype=object)) if tokens else (np.zeros(0, np.int64), None)
     covered = repeated(pages, codes)
+    if len(elsewhere) and len(tokens) >= REPEAT:
+        page = np.asarray(pages)
+        whole = page[REPEAT - 1 :] == page[: len(page) - REPEAT + 1]
+        shared = np.isin(window_hashes(tokens).view(np.int64), elsewhere["hash"].to_numpy(np.int64))
+        covered |= _cover(np.flatnonzero(whole & shared), len(tokens), REPEAT)
     kept: dict = {i: [] for i in rows.index}
     for i, b, at, words in spans:
         if rows.at[i, "places"][b] == "open":
@@ -253,19 +307,40 @@ def _unique_runs(rows: pd.DataFrame) -> pd.DataFrame:
     return out
 
 
+def _small_host(rows: pd.DataFrame) -> pd.DataFrame:
+    return _unique_runs(rows, rows.iloc[:0])
+
+
+def _few(hosts: DataFrame) -> DataFrame:
+    return F.broadcast(hosts) if hosts.count() <= BROADCAST_HOSTS else hosts
+
+
+def by_size(parsed: DataFrame, chunk: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The parsed pages of large hosts with their ``chunk``, those of other hosts with open text, and the rest."""
+    hosts = parsed.groupBy("host").agg(F.max("undecided").alias("repeats"), F.ceil(F.count("*") / chunk).alias("chunks"))
+    hosts = stored(hosts, "html-hosts")
+    marked = parsed.join(_few(hosts.where("chunks > 1")), "host", "left")
+    part = F.pmod(F.xxhash64("page"), F.col("chunks"))
+    large = marked.where("chunks > 1 AND repeats").withColumn("chunk", part)
+    small = marked.where("chunks IS NULL").select(*parsed.columns)
+    open_hosts = _few(hosts.where("chunks = 1 AND repeats").select("host"))
+    plain = marked.where("NOT repeats").select(*parsed.columns).unionByName(small.join(open_hosts, "host", "left_anti"))
+    return large, small.join(open_hosts, "host", "left_semi"), plain
+
+
 def main_text(pages: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """``page_id, url, text`` for every row of ``pages`` (``page_id``, ``url``, ``html``)."""
-    parsed = pages.select("page_id", "url", "html").mapInArrow(_parse, _BLOCKS)
-    # the number of chunks of each large host; only urls are read for it
-    hot = (
-        pages.select(F.lower(F.try_parse_url(F.col("url"), F.lit("HOST"))).alias("host"))
-        .groupBy("host")
-        .count()
-        .where((F.col("count") > chunk) & F.col("host").isNotNull())
-        .select("host", F.ceil(F.col("count") / chunk).alias("chunks"))
+    parsed = stored(pages.select("page_id", "url", "html").mapInArrow(_parse, _BLOCKS), "html-blocks")
+    large, small, plain = by_size(parsed, chunk)
+    windows = large.select("host", "chunk", "places", "texts").mapInArrow(_windows, "host string, chunk long, hash long, undecided boolean")
+    shared = (
+        windows.groupBy("host", "hash")
+        .agg(F.min("chunk").alias("low"), F.max("chunk").alias("high"), F.max("undecided").alias("decides"))
+        .where("low < high AND decides")
+        .select("host", "hash")
     )
-    if hot.count() <= BROADCAST_HOSTS:
-        hot = F.broadcast(hot)
-    part = F.pmod(F.xxhash64("page"), F.coalesce("chunks", F.lit(1)))
-    rows = parsed.join(hot, "host", "left").withColumn("chunk", part)
-    return rows.groupBy("host", "chunk").applyInPandas(_unique_runs, "page_id long, url string, text string")
+    back = windows.where("undecided").select("host", "chunk", "hash").distinct().join(shared, ["host", "hash"], "left_semi")
+    kind = "page_id long, url string, text string"
+    of_large = large.groupBy("host", "chunk").cogroup(back.groupBy("host", "chunk")).applyInPandas(_unique_runs, kind)
+    of_small = small.groupBy("host").applyInPandas(_small_host, kind)
+    return plain.select("page_id", "url", F.array_join("texts", "\n\n").alias("text")).unionByName(of_small).unionByName(of_large)

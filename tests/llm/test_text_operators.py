@@ -361,6 +361,27 @@ def test_html_main_text(spark):
     assert [whole[10 + i] for i in range(4)] == [f"n{i} n{i}a n{i}b" for i in range(4)]
 
 
+PAGES = "page_id long, url string, html string"
+
+
+def test_html_repeats_count_over_a_large_host(spark):
+    """More pages than a chunk takes: a passage on two of them goes as it does on a small host."""
+    n = 2 * html_text.CHUNK + 8
+    own = [f"n{i} n{i}a n{i}b" for i in range(n)]
+    every = "<div>this very same sentence stands on every page of the host</div>"
+    twice = {p: f"<p>passage {p} k{p} l{p} m{p} o{p} p{p} q{p} r{p}</p>" for p in range(20)}  # on pages 2p and 100 + p
+    article = "<article>passage 0 k0 l0 m0 o0 p0 q0 r0</article>"  # stays, as it is named an article
+    rows = []
+    for i in range(n):
+        parts = [p for p, at in enumerate(zip(range(0, 40, 2), range(100, 120))) if i in at]
+        rows.append((i, f"http://h.example/{i}", f"<p>{own[i]}</p>" + "".join(twice[p] for p in parts) + every + (article if i == 300 else "")))
+    got = {r["page_id"]: r["text"] for r in html_text.main_text(spark.createDataFrame(rows, PAGES)).collect()}
+    assert got == {i: own[i] + ("\n\npassage 0 k0 l0 m0 o0 p0 q0 r0" if i == 300 else "") for i in range(n)}
+    some = spark.createDataFrame(rows[:130], PAGES)
+    whole = {r["page_id"]: r["text"] for r in html_text.main_text(some).collect()}
+    assert {r["page_id"]: r["text"] for r in html_text.main_text(some, chunk=7).collect()} == whole
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_repeated_substrings(seed):
     rng = random.Random(seed)
