@@ -382,6 +382,18 @@ def test_html_repeats_count_over_a_large_host(spark):
     assert {r["page_id"]: r["text"] for r in html_text.main_text(some, chunk=7).collect()} == whole
 
 
+@pytest.mark.parametrize("url", [None, "no host", "http://my_blog.example.com/a", "http://h.example/a b|c", "http://[bad/"])
+def test_html_hosts_of_odd_urls_are_split(spark, url):
+    rows = [(i, url, f"<p>n{i} n{i}a</p>this very same sentence stands on every page here") for i in range(60)]
+    parsed = spark.createDataFrame(rows, PAGES).mapInArrow(html_text._parse, html_text._BLOCKS)
+    large, small, plain = html_text.by_size(parsed, 10)
+    chunks = [r["count"] for r in large.groupBy("host", "chunk").count().collect()]
+    assert sum(chunks) == 60 and len(chunks) > 3 and max(chunks) < 30
+    assert small.count() == plain.count() == 0
+    got = {r["page_id"]: r["text"] for r in html_text.main_text(spark.createDataFrame(rows, PAGES), chunk=10).collect()}
+    assert got == {i: f"n{i} n{i}a" for i in range(60)}
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_repeated_substrings(seed):
     rng = random.Random(seed)
