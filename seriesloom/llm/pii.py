@@ -1,11 +1,17 @@
 """Personal data in texts: rules for certain spans, boosted trees over candidates for more.
 
 Base spans are fixed by patterns and checks. Generators of high recall propose further, overlapping spans. Their format
-and context are described by a few small numbers; a candidate is an example of its kind if it touches a base span of that
-kind. Candidates are counted by description (``cells``), so the trees are fitted on exact counts over all documents while
-the driver sees one row per description, of which there are at most the product of the feature ranges. The trees are
-compiled into CASE expressions. Per kind, the threshold is the lowest score from which on the share of examples among
-held-out candidates is at least ``precision``; candidates that touch no base span and score as high are added.
+and context are described by a few small numbers. A candidate is an example of its kind if it touches a base span of that
+kind. One that touches no base span is an example if there is other evidence for it, so that what the base rules miss is
+not held against itself: an e-mail address once ``[at]`` and ``[dot]`` are written out; an ip of four parts beside a word
+like host; a card number in groups that passes the check sum; a phone number after a word like tel, or one of the shape that
+base phone numbers have without their plus sign (at least two separators, ``SHARED`` base spans, and base spans a tenth of
+all numbers of that shape). Anything else counts against.
+
+Candidates are counted by description (``cells``), so the trees are fitted on exact counts over all documents while the
+driver sees one row per description, of which there are at most the product of the feature ranges. The trees are compiled
+into CASE expressions. Per kind, the threshold is the lowest score from which on the share of examples among held-out
+candidates is at least ``precision``; candidates that touch no base span and score as high are added.
 
 Everything is built-in functions over whole texts; patterns use possessive parts, so no text makes them slow or deep.
 Null text counts as empty. Repeated rows get equal results. An empty table gives no rows and a model that adds nothing.
@@ -20,7 +26,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seriesloom.llm.tables import let
+from seriesloom.llm.tables import let, stored
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = r"[A-Za-z0-9._%+-]"
@@ -50,6 +56,8 @@ CONTEXT = {
 RANGES = {"kind": 4, "digits": 6, "marks": 4, "paren": 2, "luhn": 2, "before": 3, "after": 3, "context": 2, "dots": 5, "small": 2}
 _SPAN = "struct<start:int,end:int,value:string,before:string,after:string>"
 CONTEXT_CHARS = 24
+#: A shape of phone numbers counts as evidence from so many base spans on.
+SHARED = 5
 
 
 def found(text: Column, pattern: str) -> Column:
@@ -164,9 +172,9 @@ def _features(kind: str, s: Column) -> Column:
 
 
 def candidates(text: Column, base: Column) -> Column:
-    """array<start, kind, end, same, any, f>: proposed spans, whether they touch a base span of their or any kind."""
+    """array<start, kind, end, same, any, value, before, f>: proposed spans; do they touch a base span of their or any kind."""
     features = ",".join(f"{f}:int" for f in RANGES)
-    kind_of = f"struct<start:int,kind:int,end:int,same:boolean,any:boolean,f:struct<{features}>>"
+    kind_of = f"struct<start:int,kind:int,end:int,same:boolean,any:boolean,value:string,before:string,f:struct<{features}>>"
 
     def row(kind: str):
         n = KINDS.index(kind)
@@ -181,6 +189,8 @@ def candidates(text: Column, base: Column) -> Column:
                 s["end"].alias("end"),
                 F.exists(base, lambda b: touches(b) & (b["kind"] == n)).alias("same"),
                 F.exists(base, touches).alias("any"),
+                s["value"].alias("value"),
+                s["before"].alias("before"),
                 _features(kind, s).alias("f"),
             )
 
@@ -197,6 +207,31 @@ def candidates(text: Column, base: Column) -> Column:
     return F.concat(*out)
 
 
+def evidence(c: Column) -> Column:
+    """Whether a candidate's own text and context, without any base span, say that it is of its kind."""
+    value, f = c["value"], c["f"]
+    plain = F.regexp_replace(F.regexp_replace(value, r"\x20?[(\[]at[)\]]\x20?", "@"), r"\x20?[(\[]dot[)\]]\x20?", ".")
+    mail = plain.rlike(rf"^{LOCAL}++@(?:[A-Za-z0-9-]++\.)++[A-Za-z]{{2,}}+$")
+    ip = value.rlike(r"^[0-9]++(?:[.,][0-9]++){3}+$") & (f["small"] == 1) & (f["context"] == 1)
+    card = value.rlike(r"^[0-9]{4}(?:[^0-9]{1,2}[0-9]{4}){3}$|^[0-9]{4}[^0-9]{1,2}[0-9]{6}[^0-9]{1,2}[0-9]{5}$") & (f["luhn"] == 1)
+    phone = _phone_long(value) & c["before"].rlike(r"(?i)\b(?:tel|telephone|phone|call|mobile|cell|fax)\b[^A-Za-z0-9]*$")
+    out = F.lit(False)
+    for kind, is_kind in zip(KINDS, (mail, ip, card, phone), strict=True):
+        out = F.when(c["kind"] == KINDS.index(kind), is_kind).otherwise(out)
+    return out
+
+
+def _phone_long(value: Column) -> Column:
+    return F.length(digits(value)).between(10, 15)
+
+
+def phone_shape(c: Column) -> Column:
+    """A phone candidate's value with all digits 0 and no plus sign; null with fewer than two separators or other kinds."""
+    shape = F.regexp_replace(F.regexp_replace(c["value"], r"^\+", ""), "[0-9]", "0")
+    may = (c["kind"] == KINDS.index("phone")) & _phone_long(c["value"])
+    return F.when(may & shape.rlike(r"0[^0]+0+[^0]+0"), shape)
+
+
 def _proposed(docs: DataFrame, text: str) -> DataFrame:
     """``docs`` with a column ``pii``: base spans and candidates."""
     whole = F.coalesce(F.col(text), F.lit(""))
@@ -302,9 +337,18 @@ def fit(docs: DataFrame, text: str = "text", rounds: int = 24, rate: float = 0.3
     """
     held = F.pmod(F.crc32(F.coalesce(F.col(text), F.lit(""))), F.lit(4)) == 0
     rows = _proposed(docs.select(text), text).select(held.alias("held"), F.explode("pii.more").alias("c"))
-    counted = rows.groupBy("held", *[F.col(f"c.f.{f}").alias(f) for f in RANGES]).agg(
-        F.sum(F.col("c.same").cast("long")).alias("good"), F.count("*").alias("n")
+    c = F.col("c")
+    own = rows.groupBy("held", phone_shape(c).alias("shape"), *[F.col(f"c.f.{f}").alias(f) for f in RANGES]).agg(
+        F.sum(c["same"].cast("long")).alias("base"),
+        F.sum((~c["any"] & evidence(c)).cast("long")).alias("evident"),
+        F.sum((~c["any"]).cast("long")).alias("free"),
+        F.count("*").alias("n"),
     )
+    own = stored(own, "pii-cells")
+    shapes = own.where("shape IS NOT NULL").groupBy("shape").agg(F.sum("base").alias("b"), F.sum("n").alias("all"))
+    shapes = shapes.where((F.col("b") >= SHARED) & (10 * F.col("b") >= F.col("all"))).select("shape", F.lit(True).alias("shared"))
+    more = F.when(F.coalesce("shared", F.lit(False)), F.col("free")).otherwise(F.col("evident"))
+    counted = own.join(shapes, "shape", "left").groupBy("held", *RANGES).agg(F.sum(F.col("base") + more).alias("good"), F.sum("n").alias("n"))
     train, test = [], []
     for r in counted.orderBy("held", *RANGES).collect():  # at most 2 * product of RANGES rows
         (test if r["held"] else train).append(({f: r[f] for f in RANGES}, r["good"], r["n"] - r["good"]))

@@ -233,6 +233,21 @@ def test_pii_model_and_redaction(spark):
     assert all(np.isfinite(s) for s in scores)
 
 
+@pytest.mark.parametrize("missed", [100, 800])
+def test_pii_finds_what_the_base_rules_often_miss(spark, missed):
+    good = [f"write to +1 (319) 555-{n:04d} today" for n in range(400)]
+    good += [f"write to someone{n}@site.org today" for n in range(400)]
+    near = [f"write to 1 (319) 556-{n:04d} today" for n in range(missed)]
+    veiled = [f"write to ann{n} [at] site [dot] org today" for n in range(missed)]
+    other = [f"see 12 34 56 {n:04d} of volume" for n in range(200)] + [f"see number {10**12 + n} there" for n in range(200)]
+    docs = docs_of(spark, list(enumerate([*good, *near, *veiled, *other])))
+    rows = pii.spans(docs, pii.fit(docs)).select("text", pii.redacted(F.col("text"), F.col("pii.all")).alias("red")).collect()
+    red = {r["text"]: r["red"] for r in rows}
+    assert {red[t] for t in near} == {"write to <PHONE> today"}
+    assert {red[t] for t in veiled} == {"write to <EMAIL> today"}
+    assert all(red[t] == t for t in other)
+
+
 # -- chats -------------------------------------------------------------------------------------------------------------
 EVENT = "conv_id long, seq long, kind string, target long, role string, text string, extra int"
 
