@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriesloom.llm import chat, html_text, language, packing, pii, quality_classifier, warc
+from seriesloom.llm import chat, fill_in_middle, html_text, language, packing, pii, quality_classifier, warc
 from seriesloom.llm.decontaminate import contamination
+from seriesloom.llm.lexical_search import search
 from seriesloom.llm.near_dedup import near_components
+from seriesloom.llm.neighbours import nearest
 from seriesloom.llm.quality_rules import STOP_WORDS, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -225,6 +227,77 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.join(primary.select("file", "offset", "page_id"), ["file", "offset"]).select("page_id", "status")
 
 
+OP11_SQL = r"""
+WITH d AS (
+    SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS units,
+           sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+r AS (
+    SELECT *, len(units) AS n, ('0x' || substr(h, 1, 8))::BIGINT % (len(units) + 1) AS a,
+           ('0x' || substr(h, 9, 8))::BIGINT % (len(units) + 1) AS b FROM d),
+cut AS (
+    SELECT *, CASE WHEN text = '' OR regexp_matches(text, '<P>|<S>|<M>') OR ('0x' || substr(h, 17, 8))::BIGINT % 100 >= 90
+                   THEN 'plain' WHEN ('0x' || substr(h, 25, 8))::BIGINT % 100 < 20 THEN 'spm' ELSE 'psm' END AS form,
+           array_to_string(units[1 : least(a, b)], '') AS prefix,
+           array_to_string(units[least(a, b) + 1 : greatest(a, b)], '') AS middle,
+           array_to_string(units[greatest(a, b) + 1 :], '') AS suffix FROM r)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(prefix) END::BIGINT AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(middle) END::BIGINT AS middle_chars,
+       sha256(CASE form WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                        WHEN 'spm' THEN '<S>' || suffix || '<P>' || prefix || '<M>' || middle ELSE text END) AS output_sha256,
+       sha256(text) AS restored_sha256 FROM cut
+"""
+
+
+@query("op11_fill_in_middle", OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle.fill_in_middle(table(spark, sf_dir, "documents"))
+    text = fill_in_middle.restored(F.col("output"), F.col("form"))
+    return made.select(
+        "doc_id",
+        "n",
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(text, 256).alias("restored_sha256"),
+    )
+
+
+@query("op12_nearest_neighbours")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+    return found.withColumnRenamed("id", "vec_id")
+
+
+OP13_SQL = r"""
+WITH d AS (
+    SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
+           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda w: w <> '') AS w
+    FROM documents),
+b AS (
+    SELECT row_number() OVER () AS item, item_id, unnest(list_distinct(list_filter(regexp_split_to_array(translate(coalesce(text, ''),
+           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda w: w <> ''))) AS term
+    FROM benchmark),
+size AS (SELECT r, doc_id, len(w) AS n FROM d WHERE len(w) > 0),
+total AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM size),
+tf AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM d) GROUP BY r, term),
+weight AS (
+    SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w
+    FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), total),
+part AS (
+    SELECT r, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // terms))) AS part
+    FROM tf JOIN size USING (r) JOIN weight USING (term), total),
+score AS (SELECT item, item_id, doc_id, sum(part)::BIGINT AS score FROM part JOIN b USING (term) GROUP BY item, item_id, r, doc_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM score WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
+
+@query("op13_lexical_search", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
