@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -35,6 +35,20 @@ def bin_index(value: Column, edges: Sequence[float]) -> Column:
     return F.when(inside, descend(0, len(edges) - 2))
 
 
+def with_bin(rows: DataFrame, out: str, value: Column, edges: str, most: int) -> DataFrame:
+    """``rows`` with the index of the bin holding ``value`` among the edges in the row itself, by the rule of ``bin_index``.
+
+    ``most`` is the largest number of edges of a row. One projection for each halving of the edges, all in generated code.
+    """
+    rows = rows.withColumn(out, F.lit(-1))
+    for bit in reversed(range(most.bit_length())):
+        ahead = F.col(out) + (1 << bit)
+        rows = rows.withColumn(out, F.when(F.get(edges, ahead) <= value, ahead).otherwise(F.col(out)))
+    last = F.size(edges) - 1
+    inside = (value >= F.get(edges, F.lit(0))) & (value <= F.get(edges, last)) & ~F.isnan(value)
+    return rows.withColumn(out, F.when(inside, F.least(out, last - 1)))
+
+
 def edge_label(edge: float) -> str:
     return f"{edge:g}"
 

@@ -91,6 +91,12 @@ def duration_histogram(
     return binned(rows, _length(max_duration), {"": (F.col("value"), bins)})
 
 
+def increments(weight: SampleSeries) -> DataFrame:
+    """Growth of a cumulative signal: ``t`` when it is reached, and the ``step``."""
+    _expect(weight, SampleSeries)
+    return weight.diff().frame.select(ID, F.col("tstart").alias("t"), F.col("value").alias("step"))
+
+
 def distance_histogram(
     series: SampleSeries,
     weight: SampleSeries,
@@ -106,11 +112,7 @@ def distance_histogram(
     _expect(series, SampleSeries)
     if weight is None:
         raise TypeError("a distance histogram needs a cumulative weight signal")
-    _expect(weight, SampleSeries)
-    steps = weight.diff()
-    at = steps.frame.select(ID, F.col("tstart").alias("t"), F.col("value").alias("step"))
-    base = _masked(series, event)
-    rows = locate(at, base.frame, series.grid)
+    rows = locate(increments(weight), _masked(series, event).frame, series.grid)
     amount = F.col("step") if weight_const is None else F.lit(float(weight_const))
     return binned(rows, amount, {"": (F.col("run.value"), bins)})
 

@@ -151,8 +151,7 @@ def known_rows(df: DataFrame, keys: Sequence[str], time: str) -> DataFrame:
 
 def in_slices(df: DataFrame, keys: Sequence[str], grid: TimeGrid, time: str) -> DataFrame:
     """Rows shuffled by (key, slice)."""
-    rows = df.withColumn(SLICE, grid.slice_of(F.col(time)))
-    return by_slices(rows, keys)
+    return by_slices(grid.with_slice(df, time), keys)
 
 
 def by_slices(rows: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -102,8 +103,13 @@ def event_rows(
     for s in series.values():
         if not isinstance(s, SampleSeries):
             raise TypeError(f"expected SampleSeries, got {type(s).__name__}")
-    rows = _long(series)
-    grid = next(iter(series.values())).grid
+    return rows_in_events(_long(series), list(series), event, next(iter(series.values())).grid)
+
+
+def rows_in_events(
+    rows: DataFrame, channels: Sequence[str], event: Intervals | PointsInTime | None, grid: TimeGrid
+) -> DataFrame:
+    """``event_rows`` of runs that carry their ``channel_name`` (one of ``channels``) already."""
     if event is None:
         return rows.select(
             ID,
@@ -113,7 +119,7 @@ def event_rows(
             (F.col("tend") - F.col("tstart")).alias("weight"),
         )
     keys = (ID, "channel_name")
-    names = F.explode(F.array(*[F.lit(n) for n in series])).alias("channel_name")
+    names = F.explode(F.array(*[F.lit(n) for n in channels])).alias("channel_name")
     if isinstance(event, Intervals):
         found = event.merge_overlaps().instances()
         found = found.select(ID, "tstart", "tend", "event_instance_id", names)
@@ -166,24 +172,38 @@ def summarise(rows: DataFrame, labels: Sequence[str], grid: TimeGrid, keys: Sequ
         "std": F.sqrt(_mean(around, weight)),
         "count": F.count(F.lit(1)).cast("double"),
     }
-    wanted = [label for label in labels if label != "median"]
-    if not grid.sliced:
-        # Groups fit into a task: mean and median come from windows over the same groups, all in one shuffle.
-        if "std" in labels:
-            whole = Window.partitionBy(*keys)
-            rows = rows.withColumn("_mean", _mean(v, weight, lambda c: c.over(whole)))
-        if "median" in labels:
-            rows = _with_totals(rows.withColumn("_n", v.isNotNull().cast("long")), keys, "weight", "_n")
-            simple["median"] = F.min(F.when(_reached(), v))
-        wide = rows.groupBy(*keys).agg(*[simple[label].alias(label) for label in labels])
-        return wide.unpivot(list(keys), list(labels), "aggregation_label", "statistic_value")
+    small, large = grid.parts(rows)
+    parts = []
+    if small is not None:
+        parts.append(_in_windows(small, labels, keys, simple))
+    if large is not None:
+        parts.append(_in_pieces(large, labels, keys, simple))
+    wide = reduce(DataFrame.unionByName, parts)
+    return wide.unpivot(list(keys), list(labels), "aggregation_label", "statistic_value")
+
+
+def _in_windows(rows: DataFrame, labels: Sequence[str], keys: Sequence[str], simple: Mapping[str, Column]) -> DataFrame:
+    """Groups fit into a task: mean and median come from windows over the same groups, all in one shuffle."""
+    v, weight, columns = F.col("value"), F.col("weight"), dict(simple)
+    if "std" in labels:
+        whole = Window.partitionBy(*keys)
+        rows = rows.withColumn("_mean", _mean(v, weight, lambda c: c.over(whole)))
+    if "median" in labels:
+        rows = _with_totals(rows.withColumn("_n", v.isNotNull().cast("long")), keys, "weight", "_n")
+        columns["median"] = F.min(F.when(_reached(), v))
+    return rows.groupBy(*keys).agg(*[columns[label].alias(label) for label in labels])
+
+
+def _in_pieces(rows: DataFrame, labels: Sequence[str], keys: Sequence[str], simple: Mapping[str, Column]) -> DataFrame:
+    """Groups of large recordings: nothing but sums reaches one task."""
     source = rows
     if "std" in labels:
-        source = rows.join(rows.groupBy(*keys).agg(_mean(v, weight).alias("_mean")), list(keys))
+        source = rows.join(rows.groupBy(*keys).agg(_mean(F.col("value"), F.col("weight")).alias("_mean")), list(keys))
+    wanted = [label for label in labels if label != "median"]
     wide = source.groupBy(*keys).agg(*[simple[label].alias(label) for label in wanted or ["count"]])
     if "median" in labels:
         wide = wide.join(weighted_median(rows, keys), list(keys), "left")
-    return wide.unpivot(list(keys), list(labels), "aggregation_label", "statistic_value")
+    return wide.select(*keys, *labels)
 
 
 def event_statistics(

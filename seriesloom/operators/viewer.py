@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -80,103 +81,139 @@ def bucket_edges(n: int, n_out: int) -> np.ndarray:
     return (1 + k * (n - 2) // (n_out - 2)).astype(np.int64)
 
 
-def _areas(a: np.ndarray, t: np.ndarray, v: np.ndarray, c: tuple[float, float]) -> np.ndarray:
-    """Twice the areas of the triangles from point ``a`` over the points (t, v) to ``c``."""
-    return np.abs((a[0] - c[0]) * (v - a[1]) - (a[0] - t) * (c[1] - a[1]))
+def _areas(a: tuple[float, float], t: np.ndarray, v: np.ndarray, c: tuple[float, float]) -> np.ndarray:
+    """Twice the areas of the triangles from point ``a`` over the points (t, v) to ``c``; -1 where there is none."""
+    area = np.abs((a[0] - c[0]) * (v - a[1]) - (a[0] - t) * (c[1] - a[1]))
+    return np.where(np.isfinite(area), area, -1.0)
 
 
 def largest_triangles(t: np.ndarray, v: np.ndarray, n_out: int) -> np.ndarray:
-    """Positions of a Largest-Triangle-Three-Buckets sample (Steinarsson 2013), first and last point kept."""
+    """Positions of a Largest-Triangle-Three-Buckets sample (Steinarsson 2013), first and last point kept.
+
+    Of equal areas the first point counts; where no area is finite, the first point of the bucket.
+    """
     n = len(t)
     if n <= n_out:
         return np.arange(n)
     edges = np.append(bucket_edges(n, n_out), n)
     picks = [0]
-    for b in range(n_out - 2):
-        lo, hi, after = edges[b : b + 3]
-        at = picks[-1]
-        area = _areas((t[at], v[at]), t[lo:hi], v[lo:hi], (t[hi:after].mean(), v[hi:after].mean()))
-        picks.append(lo + int(np.nanargmax(area)) if np.isfinite(area).any() else lo)
+    with np.errstate(invalid="ignore"):
+        for b in range(n_out - 2):
+            lo, hi, after = edges[b : b + 3]
+            at = picks[-1]
+            area = _areas((t[at], v[at]), t[lo:hi], v[lo:hi], (t[hi:after].mean(), v[hi:after].mean()))
+            picks.append(lo + int(np.argmax(area)))
     return np.array([*picks, n - 1])
 
 
-def _hull(t: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Positions of the corners of the convex hull of points in order of (t, v), and always the first position."""
-    known = np.flatnonzero(np.isfinite(v))
-    if len(known) > 1:
-        known = known[np.r_[True, (t[known][1:] != t[known][:-1]) | (v[known][1:] != v[known][:-1])]]
-    keep = {0}
-    points = list(zip(t[known].tolist(), v[known].tolist(), known.tolist(), strict=True))
-    for side in (1, -1):
-        chain: list[tuple[float, float, int]] = []
-        for p in points:
-            while len(chain) > 1 and side * (
-                (chain[-1][0] - chain[-2][0]) * (p[1] - chain[-2][1]) - (chain[-1][1] - chain[-2][1]) * (p[0] - chain[-2][0])
-            ) <= 0:
-                chain.pop()
-            chain.append(p)
-        keep.update(p[2] for p in chain)
-    return np.array(sorted(keep))
+#: Rounds of removing points below chords; what is left after them is kept, a corner or not.
+ROUNDS = 32
 
 
-#: Points whose hull one task finds at a time.
-PART = 1 << 16
+def _outer(group: np.ndarray, t: np.ndarray, v: np.ndarray, side: int) -> np.ndarray:
+    """Positions that hold all corners of the upper (side 1) or lower (side -1) hull of each group of points.
+
+    The points are sorted by (group, t, v) and finite. Of equal times the outermost point stays; then, round by round and for
+    all groups at once, every point goes that is not beyond the chord of its neighbours. Points are the proof that others
+    are no corners, and stay so when they go themselves.
+    """
+    other = (group[1:] != group[:-1]) | (t[1:] != t[:-1])
+    at = np.flatnonzero(np.r_[other, True] if side == 1 else np.r_[True, other])
+    for _ in range(ROUNDS):
+        if len(at) < 3:
+            break
+        a, b, c = at[:-2], at[1:-1], at[2:]
+        turn = (t[b] - t[a]) * (v[c] - v[a]) - (t[c] - t[a]) * (v[b] - v[a])
+        inner = (group[a] == group[c]) & (side * turn >= 0)
+        if not inner.any():
+            break
+        at = at[np.r_[True, ~inner, True]]
+    return at
+
+
+def _reduce(keys: Sequence[str]):
+    """Points of any number of buckets, in any order, to the possible corners of each bucket's hull.
+
+    A bucket's first point always stays, and carries the totals of the points that it stands for.
+    """
+
+    def run(batches):
+        for batch in batches:
+            rows = batch.to_pandas()
+            if rows.empty:
+                continue
+            code = rows.groupby([*keys, "_bucket"], sort=False, dropna=False).ngroup().to_numpy()
+            order = np.lexsort((rows["_i"].to_numpy(), code))
+            rows, code = rows.iloc[order], code[order]
+            first = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
+            t, v = rows["_dt"].to_numpy(), rows["_v"].to_numpy()
+            known = np.flatnonzero(np.isfinite(v))
+            corners = [known[_outer(code[known], t[known], v[known], side)] for side in (1, -1)]
+            at = np.unique(np.concatenate([first, *corners]))
+            kept = rows.iloc[at].copy()
+            heads = np.searchsorted(at, first)
+            with np.errstate(invalid="ignore"):
+                for c in ("_count", "_sum_t", "_sum_v"):
+                    totals = np.zeros(len(at), rows[c].dtype)
+                    totals[heads] = np.add.reduceat(rows[c].to_numpy(), first)
+                    kept[c] = totals
+            yield pa.RecordBatch.from_pandas(kept, schema=batch.schema, preserve_index=False)
+
+    return run
 
 
 def downsample(points: DataFrame, n_out: int, grid: TimeGrid, keys: Sequence[str] = CHANNEL) -> DataFrame:
     """Largest-Triangle-Three-Buckets sample of ``n_out`` points per channel; channels of up to so many pass unchanged.
 
     Points are ordered by (t, value), numbered by a scan and put into buckets by number. The largest triangle over a
-    bucket always stands on a corner of the bucket's convex hull, so hulls are taken of parts of a bucket, then of whole
-    buckets, and one short pass over the corners of a channel picks the points. No task sees more than ``PART`` points of a
-    channel, or the corners; the answer is that of the plain method at every size, up to ties by rounding.
+    bucket always stands on a corner of the bucket's convex hull, and a corner of the whole is a corner of any part: so
+    the points are reduced batch by batch where the scan leaves them, and again by bucket where recordings are sliced.
+    One short pass over the few corners of a channel picks the points. The answer is that of the plain method at every
+    size, up to ties by rounding. Values that are NaN, NULL or infinite make no triangle.
     """
     if n_out < 3:
         raise ValueError("at least three points")
     numbered = scan(
         points, keys, ("t", "value"), grid, "t", _i=running_count(), _n=key_count(F.col("t")), _t0=key_min(F.col("t"))
     )
-    numbered = numbered.select(*keys, "t", "value", (F.col("_i") - 1).alias("_i"), "_n", "_t0")
-    short = numbered.where(F.col("_n") <= n_out).select(*keys, "t", "value")
-    i, n, inner = F.col("_i"), F.col("_n"), n_out - 2
+    i, n, inner = F.col("_i") - 1, F.col("_n"), n_out - 2
     bucket = F.when(i == 0, -1).when(i == n - 1, inner).otherwise(F.call_function("div", i * inner - 1, n - 2))
-    rows = numbered.where(n > n_out).select(
+    since = (F.col("t") - F.col("_t0")).cast("double")
+    value = F.col("value").cast("double")
+    rows = numbered.select(
         *keys,
-        bucket.cast("int").alias("_bucket"),
-        F.call_function("div", i, F.lit(PART)).alias("_part"),
+        F.when(n <= n_out, i).otherwise(bucket).cast("int").alias("_bucket"),
         i.alias("_i"),
+        "_n",
         "t",
-        (F.col("t") - F.col("_t0")).cast("double").alias("_dt"),
-        F.col("value").cast("double").alias("_v"),
+        since.alias("_dt"),
+        value.alias("_v"),
         F.lit(1).cast("long").alias("_count"),
-        (F.col("t") - F.col("_t0")).cast("double").alias("_sum_t"),
-        F.col("value").cast("double").alias("_sum_v"),
+        since.alias("_sum_t"),
+        value.alias("_sum_v"),
         F.coalesce(F.isnan("value"), F.lit(False)).alias("_nan"),  # pandas takes NaN and NULL for one
     )
 
-    def corners(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("_i", kind="stable")
-        kept = group.iloc[_hull(group["_dt"].to_numpy(), group["_v"].to_numpy())].copy()
-        for c in ("_count", "_sum_t", "_sum_v"):  # the totals of the group go with its first row
-            totals = np.zeros(len(kept), group[c].dtype)
-            totals[0] = group[c].sum(skipna=False)
-            kept[c] = totals
-        return kept
-
     def pick(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("_i", kind="stable")
-        buckets = [b for _, b in group.groupby("_bucket", sort=True)]
-        chosen = [buckets[0].iloc[0]]
-        for b, after in zip(buckets[1:-1], buckets[2:], strict=True):
-            n = after["_count"].sum()
-            at = (after["_sum_t"].sum(skipna=False) / n, after["_sum_v"].sum(skipna=False) / n)
-            area = _areas((chosen[-1]["_dt"], chosen[-1]["_v"]), b["_dt"].to_numpy(), b["_v"].to_numpy(), at)
-            chosen.append(b.iloc[int(np.nanargmax(area)) if np.isfinite(area).any() else 0])
-        out = pd.DataFrame([*chosen, buckets[-1].iloc[-1]])
-        return out[[*keys, "t", "_v", "_nan"]]
-
-    parts = rows.groupBy(*keys, "_bucket", "_part").applyInPandas(corners, rows.schema)
-    hulls = parts.groupBy(*keys, "_bucket").applyInPandas(corners, rows.schema)
-    chosen = hulls.groupBy(*keys).applyInPandas(pick, rows.select(*keys, "t", "_v", "_nan").schema)
+        group = group.sort_values(["_bucket", "_i"], kind="stable")
+        columns = [*keys, "t", "_v", "_nan"]
+        if group["_n"].iat[0] <= n_out:
+            return group[columns]
+        b, t, v = group["_bucket"].to_numpy(), group["_dt"].to_numpy(), group["_v"].to_numpy()
+        start = np.append(np.flatnonzero(np.r_[True, b[1:] != b[:-1]]), len(b))
+        with np.errstate(invalid="ignore"):
+            count, sum_t, sum_v = (np.add.reduceat(group[c].to_numpy(), start[:-1]) for c in ("_count", "_sum_t", "_sum_v"))
+            chosen = [0]
+            for k in range(1, len(start) - 2):
+                at, lo, hi = chosen[-1], start[k], start[k + 1]
+                mean = (sum_t[k + 1] / count[k + 1], sum_v[k + 1] / count[k + 1])
+                chosen.append(lo + int(np.argmax(_areas((t[at], v[at]), t[lo:hi], v[lo:hi], mean))))
+        return group.iloc[[*chosen, len(b) - 1]][columns]
+
+    reduce = _reduce(keys)
+    corners = rows.mapInArrow(reduce, rows.schema)
+    if grid.sliced:
+        corners = corners.repartition(*keys, "_bucket").mapInArrow(reduce, rows.schema)
+    chosen = corners.groupBy(*keys).applyInPandas(pick, rows.select(*keys, "t", "_v", "_nan").schema)
     value = F.when(F.col("_nan"), F.lit(float("nan"))).otherwise(F.col("_v")).alias("value")
-    return short.withColumn("value", F.col("value").cast("double")).unionByName(chosen.select(*keys, "t", value))
+    return chosen.select(*keys, "t", value)

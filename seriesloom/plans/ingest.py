@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriesloom.operators.grid import measure_grid
+from seriesloom.operators.grid import TimeGrid, grid_of_bounds, slice_bounds
 from seriesloom.operators.runs import encode_runs
 from seriesloom.plans.metadata import channel_metrics, container_metrics
 from seriesloom.sources.ledger import FAILED, IN_PROGRESS, LEDGER, NOOP, SUCCEEDED, choose_run, mark_run
@@ -29,7 +29,8 @@ from seriesloom.sources.recordings import (
 from seriesloom.sources.tables import VersionedTable, clustered
 from seriesloom.streaming.discover import discover
 
-TABLES = ("channels", "bronze", "silver", "channel_metrics", "container_metrics")
+TABLES = ("channels", "bronze", "slices", "silver", "channel_metrics", "container_metrics")
+NO_SLICES = "container_id bigint, starts array<bigint>, copies boolean"
 
 
 @dataclass(frozen=True)
@@ -57,6 +58,10 @@ class IngestJob:
         done = self.ledger.read().where(F.col("status") == SUCCEEDED).select("run_id").distinct()
         return self.spark.read.parquet(f"{self.root}/{name}").join(done, "run_id", "left_semi")
 
+    def grid(self) -> TimeGrid:
+        """The time grid of all recordings, as the runs measured it when they wrote them."""
+        return grid_of_bounds(self.spark, f"{self.root}/slices", "container_id", self.ticks_per_second)
+
     def find(self, folder: str) -> None:
         """Enter the files that are new since the last call; one run for each ``max_files`` of them."""
         found = f"{self.root}/found"
@@ -114,7 +119,9 @@ class IngestJob:
         shard = F.pmod(F.xxhash64("filename"), F.lit(self.shards))
         bins = assign_bins(split_channels(channels, self.max_samples), self.max_samples, shard)
         bronze = self._write(read_bins(bins, self.decode), "bronze", run)
-        grid = measure_grid(bronze, self.ticks_per_second)
+        found = slice_bounds(bronze)
+        self._write(self.spark.createDataFrame([], NO_SLICES) if found is None else found, "slices", run)
+        grid = grid_of_bounds(self.spark, self._part("slices", run), "container_id", self.ticks_per_second)
         runs = clustered(encode_runs(bronze, grid), ["container_id", "channel_id", "tstart"])
         self._write(runs, "silver", run)
         self._write(channel_metrics(bronze, self.ticks_per_second), "channel_metrics", run)

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from seriesloom.operators.grid import SLICE, TimeGrid, measure_grid
+from seriesloom.operators.grid import SLICE, SliceBounds, TimeGrid, grid_of_bounds, measure_grid
 from seriesloom.operators.runs import encode_runs, polyline
 
 SCHEMA = "container_id bigint, channel_id int, time bigint, value double"
@@ -71,8 +71,54 @@ def test_a_large_recording_and_a_burst_are_split(spark):
     both = even.unionByName(burst)
     grid = measure_grid(both, 1000, target_rows=1000)
     assert grid.sliced and not grid.many_copies
-    sizes = both.groupBy("container_id", grid.slice_of(F.col("time")).alias(SLICE)).count()
-    assert sizes.agg(F.max("count")).first()[0] <= 2000
+    assert max(slice_sizes(both, grid).values()) <= 2000
+
+
+def slice_sizes(rows, grid):
+    sliced = grid.with_slice(rows, "time").groupBy("container_id", SLICE).count().collect()
+    return {(r["container_id"], r[SLICE]): r["count"] for r in sliced}
+
+
+def test_recordings_years_apart_are_cut_by_their_own_rows(spark):
+    """Ten dense minutes, five years away from everything else, and a short recording that needs no slices."""
+    year = 365 * 86_400_000
+    dense = spark.range(40_000).select(F.lit(1).alias("container_id"), (F.col("id") * 15).alias("time"))
+    far = spark.range(3_000).select(F.lit(2).alias("container_id"), (F.col("id") * 1_000 + 5 * year).alias("time"))
+    short = spark.range(900).select(F.lit(3).alias("container_id"), (F.col("id") * 60_000 - year).alias("time"))
+    alone = measure_grid(dense, 1000, target_rows=1000)
+    grid = measure_grid(dense.unionByName(far).unionByName(short), 1000, target_rows=1000)
+    for g in (alone, grid):
+        sizes = [n for (c, _), n in slice_sizes(dense, g).items() if c == 1]
+        assert len(sizes) == 40 and 700 <= min(sizes) and max(sizes) <= 1300 and not g.many_copies
+    assert sorted(slice_sizes(far, grid)) == [(2, 0), (2, 1), (2, 2)]
+    assert list(slice_sizes(short, grid)) == [(3, 0)]
+
+
+def test_slices_do_not_fall_and_match_a_plain_search(spark):
+    from bisect import bisect_right
+
+    rng = random.Random(8)
+    rows = [(c, int(rng.gauss(c * 10_000, 300 ** (1 + c % 3)))) for c in range(4) for _ in range(2500)]
+    samples = spark.createDataFrame(rows, "container_id bigint, time bigint")
+    grid = measure_grid(samples, 1000, target_rows=100)
+    starts = {r["container_id"]: r["starts"] for r in spark.read.parquet(grid.bounds.path).collect()}
+    got = grid.with_slice(samples, "time").collect()
+    assert len(got) == len(rows) and len(starts) == 4
+    assert all(r[SLICE] == bisect_right(starts[r["container_id"]], r["time"]) for r in got)
+
+
+def test_a_grid_is_read_back_without_measuring(spark, tmp_path):
+    samples = spark.range(5000).select(F.lit(4).cast("long").alias("container_id"), F.col("id").alias("time"))
+    grid = measure_grid(samples, 1000, target_rows=1000, folder=str(tmp_path / "slices"))
+    assert grid_of_bounds(spark, str(tmp_path / "slices"), "container_id", 1000) == grid
+    assert grid_of_bounds(spark, str(tmp_path / "slices"), "container_id", 7).ticks_per_second == 7
+
+
+@pytest.mark.parametrize("slice_ticks", [1, 7, 40])
+def test_equal_slices_change_no_run(spark, slice_ticks):
+    rng = random.Random(slice_ticks)
+    rows = [(c, 1, t, float(rng.randint(0, 1))) for c in range(8) for t in sorted(rng.sample(range(-50, 150), 40))]
+    assert encoded(spark, rows, TimeGrid(1000, slice_ticks)) == encoded(spark, rows, TimeGrid(1000))
 
 
 def test_copies_of_one_instant_are_noticed(spark):
@@ -88,18 +134,22 @@ def test_grid_arguments():
         TimeGrid(0)
     with pytest.raises(ValueError):
         TimeGrid(10, 0)
+    with pytest.raises(ValueError):
+        TimeGrid(10, 5, bounds=SliceBounds("x", "container_id", 1, 1))
     assert TimeGrid(1_000_000).ticks(1.5) == 1_500_000
 
 
-def test_sliced_scan_shuffles_the_rows_once(spark):
+@pytest.mark.parametrize("kind", ["one width", "bounds"])
+def test_sliced_scan_shuffles_the_rows_once(spark, bounds, kind):
     """Both branches of a sliced scan must read one shuffle of the rows."""
+    grid = TimeGrid(1000, 100) if kind == "one width" else grid_of_bounds(spark, bounds, "container_id", 1000)
     df = spark.range(1000).select(
         F.lit(1).cast("long").alias("container_id"),
         F.lit(1).alias("channel_id"),
         F.col("id").alias("time"),
         (F.col("id") % 3).cast("double").alias("value"),
     )
-    out = encode_runs(df, TimeGrid(1000, 100))
+    out = encode_runs(df, grid)
     out.collect()
     plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert plan.count("Range (0, 1000") == 1

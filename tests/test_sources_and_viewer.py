@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from seriesloom.functions.tags import comment_tags, dir_name, filename_tags, signal_name, signal_unit
 from seriesloom.functions.times import parse_timestamp
 from seriesloom.operators.grid import TimeGrid
-from seriesloom.operators.viewer import downsample, evenly_spaced, largest_triangles, normalise, window_points
+from seriesloom.operators.viewer import _outer, downsample, evenly_spaced, largest_triangles, normalise, window_points
 from seriesloom.plans.catalog import MeasurementCatalog
 from seriesloom.plans.profile import AliasMap, Profile
 from seriesloom.sources import tables as T
@@ -75,11 +75,14 @@ def test_versioned_table(spark, tmp_path):
 
 def test_scratch_follows_the_cluster():
     class Session:
-        def __init__(self, folder):
-            self.conf = {"spark.checkpoint.dir": folder} if folder else {}
+        def __init__(self, master, folder=None):
+            self.conf = {"spark.master": master} | ({"spark.checkpoint.dir": folder} if folder else {})
 
-    assert scratch_folder(Session("/shared/folder/"), "x").startswith("/shared/folder/x-")
-    assert "/seriesloom-" in scratch_folder(Session(None), "x")
+    assert scratch_folder(Session("yarn", "/shared/folder/"), "x").startswith("/shared/folder/x-")
+    assert "/seriesloom-" in scratch_folder(Session("local[4]"), "x")
+    for master in ("yarn", "spark://host:7077", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError):
+            scratch_folder(Session(master), "x")
 
 
 def test_discover_sees_each_file_once(spark, tmp_path):
@@ -114,13 +117,13 @@ def test_recordings_end_to_end(spark, tmp_path):
         return pd.DataFrame({"time": np.arange(first, first + len(v)), "value": v})
 
     found = number_channels(list_channels(files, channels))
-    assert found.count() == 6 and found.agg(F.max("channel_id")).first()[0] == 2
+    assert found.count() == 9 and found.agg(F.max("channel_id")).first()[0] == 3
     found = found.withColumn("container_id", F.xxhash64("filename"))
     tasks = assign_bins(split_channels(found, 8), 20, F.lit(0))
     load = tasks.groupBy("shard", "bin").agg(F.sum("n_samples").alias("n"))
-    assert load.agg(F.max("n")).first()[0] <= 28 and load.agg(F.sum("n")).first()[0] == 105
+    assert load.agg(F.max("n")).first()[0] <= 28 and load.agg(F.sum("n")).first()[0] == 108
     rows = read_bins(tasks, decode)
-    assert rows.count() == 105
+    assert rows.count() == 108
     per = rows.groupBy("filename", "channel_name").agg(F.countDistinct("time").alias("n"), F.sum("value").alias("s"))
     assert {(r["filename"][-6:-4], r["channel_name"]): (r["n"], r["s"]) for r in per.collect()}[("r2", "temp")] == (25, 600.0)
 
@@ -172,8 +175,9 @@ def test_downsample_size_and_ends(spark, grid, n, n_out, want):
 
 
 @pytest.mark.parametrize("n", [3, 20, 21, 160, 161, 1000])
-def test_downsample_is_the_plain_method_at_every_size(spark, grid, n, monkeypatch):
-    monkeypatch.setattr("seriesloom.operators.viewer.PART", 40)
+def test_downsample_is_the_plain_method_at_every_size(spark, grid, n):
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 40)  # parts of buckets
     rng = np.random.default_rng(n)
     t = np.sort(rng.integers(0, 10 * n, n))
     v = np.where(rng.random(n) < 0.02, np.nan, rng.normal(size=n).cumsum())
@@ -181,6 +185,7 @@ def test_downsample_is_the_plain_method_at_every_size(spark, grid, n, monkeypatc
     t, v = t[order], v[order]
     df = spark.createDataFrame([(1, 2, int(a), float(b)) for a, b in zip(t, v)], "container_id bigint, channel_id int, t bigint, value double")
     got = sorted((r["t"], repr(r["value"])) for r in downsample(df, 20, grid).collect())
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
     picks = largest_triangles((t - t[0]).astype(float), v, 20)
     assert got == sorted((int(t[i]), repr(float(v[i]))) for i in picks)
 
@@ -191,6 +196,52 @@ def test_downsample_keeps_a_spike(spark):
     assert len(rows) == 60 and 7777 in {r["t"] for r in rows}
 
 
+def brute_corners(points):
+    """Points that are the only farthest one in some direction, by trying many directions."""
+    out = set()
+    for angle in np.linspace(0, 2 * np.pi, 3001):
+        far = [round(x * math.cos(angle) + y * math.sin(angle), 9) for x, y in points]
+        best = max(far)
+        if far.count(best) == 1:
+            out.add(far.index(best))
+    return out
+
+
+@pytest.mark.parametrize("shape", ["noise", "steps", "bow", "line", "one time"])
+def test_no_corner_is_lost(shape):
+    rng = np.random.default_rng(len(shape))
+    t = np.sort(rng.integers(0, 60, 80)).astype(float)
+    v = {
+        "noise": rng.normal(size=80),
+        "steps": rng.integers(0, 3, 80).astype(float),
+        "bow": -((t - 30) ** 2),
+        "line": 2 * t,
+        "one time": rng.normal(size=80),
+    }[shape]
+    if shape == "one time":
+        t[:] = 5
+    order = np.lexsort((v, t))
+    t, v = t[order], v[order]
+    points = list(dict.fromkeys(zip(t, v)))
+    both = np.r_[t, t], np.r_[v, v], np.repeat([0, 1], 80)  # two groups at once
+    kept = {int(i) for side in (1, -1) for i in _outer(both[2], both[0], both[1], side)}
+    for shift in (0, 80):
+        there = {(t[i - shift], v[i - shift]) for i in kept if shift <= i < shift + 80}
+        assert {points[i] for i in brute_corners(points)} <= there
+    if shape in ("noise", "line"):
+        assert len(kept) < 60
+
+
+def test_downsample_of_values_without_triangles(spark, grid):
+    nan, inf = float("nan"), float("inf")
+    values = [1.0, nan, None, inf, 5.0, None, nan, nan, 2.0, -inf, 3.0, None] * 4
+    df = spark.createDataFrame([(1, 2, 3 * i, v) for i, v in enumerate(values)], "container_id bigint, channel_id int, t bigint, value double")
+    got = {r["t"]: r["value"] for r in downsample(df, 9, grid).collect()}
+    v = np.array([nan if x is None else x for x in values])
+    assert sorted(got) == [3 * int(i) for i in largest_triangles(3.0 * np.arange(len(v)), v, 9)]
+    assert all((got[t] is None) == (values[t // 3] is None) for t in got)
+
+
 def test_triangles_are_chosen_in_order():
     t = np.arange(500, dtype=float)
     picks = largest_triangles(t, np.sin(t / 9), 40)

@@ -35,6 +35,8 @@ class Data:
     _known: dict[tuple[str, str], Data] = {}
     #: Set by tests to force a slice width.
     grid_override: TimeGrid | None = None
+    #: Rows of a slice; set by tests to force slices of large recordings.
+    target_rows = 4_000_000
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark = spark
@@ -80,7 +82,7 @@ class Data:
         if self.grid_override is not None:
             return self.grid_override
         if "grid" not in self.memo:
-            self.memo["grid"] = measure_grid(self.samples, TICKS)
+            self.memo["grid"] = measure_grid(self.samples, TICKS, target_rows=self.target_rows)
         return self.memo["grid"]
 
     def channel_samples(self, name: str) -> DataFrame:

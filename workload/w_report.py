@@ -15,6 +15,7 @@ from seriesloom.plans import rollups as R
 from seriesloom.plans.charts import default_x_channel, statistics_over
 from seriesloom.plans.definitions import Event, Histogram1D, Histogram2D, ReportDefinition, Signal, Statistics, Threshold
 from seriesloom.plans.report import Report, channel_source, new_and_changed, session_batches
+from seriesloom.plans.report_run import ReportRun
 from seriesloom.sources.scratch import scratch_folder
 from workload.model import HOUR, TICKS
 from workload.registry import query
@@ -724,6 +725,48 @@ def _(d):
 def _(d):
     """Every recording, in runs of 250."""
     rows = d.container_metrics.select("start_dt", "container_id", "vehicle_key")
-    batches = session_batches(rows, 250, ["start_dt", "container_id"])
-    parts = [b.select("container_id", "vehicle_key", F.lit(i).alias("batch")) for i, b in enumerate(batches)]
-    return reduce(DataFrame.unionByName, parts) if parts else rows.drop("start_dt").withColumn("batch", F.lit(0))
+    return session_batches(rows, 250, ["start_dt", "container_id"]).drop("start_dt")
+
+
+@query("s23_incremental_report", sql(FACT_SELECT, *REPORT_CTES))
+def _(d):
+    """The report in two runs of several batches: some recordings come late, some have changed in between."""
+    known = d.container_metrics.select("container_id", F.unix_micros("stop_dt").alias("stop_dt"))
+    early = known.where(F.col("container_id") % 3 != 0).withColumn(
+        "stop_dt", F.col("stop_dt") - F.when(F.col("container_id") % 4 == 0, 1).otherwise(0)
+    )
+    folder, channel = scratch_folder(d.spark, "incremental"), channel_source(d.silver, d.catalog().channels_matching, d.grid)
+    size = max(1, -(-known.count() // 2))
+    for sessions in (early, known):
+        run = ReportRun(d.spark, definition(), channel, sessions, folder, max_sessions=size)
+        run.run()
+    no_hours = F.when(F.col("visual_id") == 3, F.lit("")).otherwise(F.col("bin_name"))
+    return run.table("histogram_fact").withColumn("bin_name", no_hours)
+
+
+@query(
+    "s21_event_dimensions",
+    """SELECT * FROM (VALUES (1, 'busy', 'interval', 'view > 30', 'interval_event'),
+  (2, 'hot_and_busy', 'interval', 'click > 40 AND view > 30', 'interval_event'), (3, 'rise', 'rising_edges', 'view > 30', 'point_event'))
+  AS t(event_id, event_name, kind, conditions, tbl)""",
+)
+def _(d):
+    t = tables_of(d)
+    parts = [t[f"{n}_dimension"].withColumn("tbl", F.lit(n)) for n in ("interval_event", "point_event")]
+    return reduce(DataFrame.unionByName, parts).select("event_id", "event_name", "kind", "conditions", "tbl")
+
+
+@query(
+    "s21_report_summary",
+    sql(
+        """SELECT 'drive' AS report, 'histogram_fact' AS table_name, count(*) AS rows, count(DISTINCT container_id) AS recordings FROM fact
+UNION ALL SELECT 'drive', 'histogram2d_fact', count(*), count(DISTINCT container_id) FROM fact2
+UNION ALL SELECT 'drive', 'stats_aggregator_fact', 4 * count(*), count(DISTINCT container_id) FROM stat
+UNION ALL SELECT 'drive', 'measurement_dimension', count(*), count(*) FROM cm
+UNION ALL SELECT 'drive', 'histogram_dimension', 5, NULL""",
+        *REPORT_CTES,
+    ),
+)
+def _(d):
+    wanted = ("histogram_fact", "histogram2d_fact", "stats_aggregator_fact", "measurement_dimension", "histogram_dimension")
+    return tables_of(d)["report_summary"].where(F.col("table_name").isin(*wanted))

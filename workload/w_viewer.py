@@ -42,7 +42,22 @@ def _(d):
     return d.catalog().fetch_channel(3, 5)
 
 
-@query("k4_downsample")
+#: The plain method: one bucket after another, each choosing beside the point chosen before and the mean of the next bucket.
+LTTB = sql(
+    "SELECT channel_name, p.t AS t, p.v AS value FROM pick UNION ALL SELECT channel_name, t, v FROM b WHERE i = n - 1",
+    """numbered AS (SELECT channel_name, time AS t, value AS v, time - min(time) OVER w AS dt, row_number() OVER (w ORDER BY time, value) - 1 AS i,
+  count(*) OVER w AS n FROM bronze WINDOW w AS (PARTITION BY channel_name))""",
+    "b AS (SELECT *, CASE WHEN i = 0 THEN -1 WHEN i = n - 1 THEN 98 ELSE (i * 98 - 1) // (n - 2) END AS k FROM numbered)",
+    "m AS (SELECT channel_name, k, avg(dt) AS t, avg(v) AS v FROM b GROUP BY channel_name, k)",
+    """pick AS (SELECT channel_name, k, {'t': t, 'dt': dt, 'v': v} AS p FROM b WHERE i = 0
+  UNION ALL SELECT a.channel_name, a.k + 1, arg_max({'t': b.t, 'dt': b.dt, 'v': b.v},
+    abs((a.p.dt - m.t) * (b.v - a.p.v) - (a.p.dt - b.dt) * (m.v - a.p.v)))
+  FROM pick a JOIN b ON b.channel_name = a.channel_name AND b.k = a.k + 1 JOIN m ON m.channel_name = a.channel_name AND m.k = a.k + 2
+  WHERE a.k + 1 < 98 GROUP BY a.channel_name, a.k)""",
+).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("k4_downsample", LTTB)
 def _(d):
     """Whole channels over all recordings: enough points for the sampling to have something to do."""
     by_channel = d.samples.select("channel_name", F.col("time").alias("t"), "value")
