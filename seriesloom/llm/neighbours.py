@@ -7,7 +7,8 @@ a bounded sample of nodes (``SAMPLE`` rows, ``SAMPLE_FLOATS`` numbers); every no
 A query walks all trees from one queue, ordered by the distance to the nearest way it did not take: the next leaf is the
 most promising one of any tree. It visits ``leaves`` leaves. Members and visitors of a leaf meet in one task, where a matrix
 product gives the cosines; leaves with many of either are dealt into cells, so a task holds ``CELL`` members and ``CELL``
-visitors at most. The best of each cell are scored again in double precision, in one order of summation.
+visitors at most. The best of each cell are scored again in double precision, in one order of summation, so
+a vector has one score wherever it is met.
 
 How many leaves are enough depends on the vectors. ``fit`` searches the neighbours of at most ``PROBES`` queries in all nodes
 by brute force, and asks at which turn of the queue each true neighbour's leaf would come. The budget is the turn by which the
@@ -103,8 +104,8 @@ def grow(sample: np.ndarray, nodes: int, trees: int = TREES, leaf: int = LEAF) -
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    """Rows of a list column whose lists are equally long."""
-    flat = column.flatten().to_numpy(zero_copy_only=False)
+    """Rows of a list column whose lists are equally long, in double precision."""
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
@@ -129,10 +130,12 @@ class Nodes:
     """The distinct vectors of a table: ``node`` (a 128-bit name), ``first`` id, ``ids`` (at most k + 1), ``v``."""
 
     def __init__(self, vectors: DataFrame, k: int, id_column: str, vector_column: str) -> None:
-        v = F.col(vector_column).cast("array<double>")
+        single = dict(vectors.dtypes)[vector_column] == "array<float>"
+        self.type = "array<float>" if single else "array<double>"
+        v = F.col(vector_column).cast(self.type)
         rows = vectors.select(F.col(id_column).cast("long").alias("id"), v.alias("v"))
         finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-        square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
+        square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
         rows = rows.where(F.col("id").isNotNull() & F.col("v").isNotNull()).where((F.size("v") > 0) & finite)
         rows = rows.where((square > 0) & (square < float("inf")))
         sizes = rows.groupBy(F.size("v").alias("size")).count().orderBy(F.desc("count"), "size").first()
@@ -258,24 +261,25 @@ def _visits(forest: Forest) -> Callable:
     return run
 
 
+_BEST = "asked string, best array<struct<far: double, first: long, node: string>>"
+
+
 def _cell(k: int) -> Callable:
-    """The best members of one cell for each of its visitors."""
+    """The best members of one cell, one row for each of its visitors."""
+    kind = pa.list_(pa.struct([("far", pa.float64()), ("first", pa.int64()), ("node", pa.string())]))
 
     def run(members: pa.Table, visitors: pa.Table) -> pa.Table:
-        asked, node, score = [], [], []
+        asked, found = [], []
         if members.num_rows and visitors.num_rows:
             x = _matrix(members.column("v").combine_chunks())
-            first = members.column("first").to_numpy()
+            first, node = members.column("first").to_numpy(), members.column("node").to_pylist()
             for at in range(0, visitors.num_rows, 512):
                 part = visitors.slice(at, 512)
-                names = part.column("node").to_pylist()
-                for row, best, exact in _best(_matrix(part.column("v").combine_chunks()), x, first, k):
-                    asked += [names[row]] * len(best)
-                    node += best.tolist()
-                    score += exact.tolist()
-        name = members.column("node").take(pa.array(node, pa.int64()))
-        columns = {"asked": pa.array(asked, pa.string()), "node": name.combine_chunks() if name.num_chunks != 1 else name.chunk(0)}
-        return pa.table({**columns, "score": pa.array(score, pa.float64())})
+                asked += part.column("node").to_pylist()
+                for _, best, score in _best(_matrix(part.column("v").combine_chunks()), x, first, k):
+                    rows = zip((-score).tolist(), first[best].tolist(), best.tolist(), strict=True)
+                    found.append([{"far": f, "first": i, "node": node[b]} for f, i, b in rows])
+        return pa.table({"asked": pa.array(asked, pa.string()), "best": pa.array(found, kind)})
 
     return run
 
@@ -307,10 +311,10 @@ def nearest(
     queries = nodes.of(is_query)
     forest = fit(nodes, queries, k, trees, leaf, recall)
     asked = nodes.frame.select("node", "v").join(queries.select("node").distinct(), "node", "left_semi")
-    path = asked.mapInArrow(_visits(forest), "node string, v array<double>, path array<struct<tree: int, leaf: long>>")
+    path = asked.mapInArrow(_visits(forest), f"node string, v {nodes.type}, path array<struct<tree: int, leaf: long>>")
     visits = stored(path.select("node", "v", F.explode("path").alias("at")).select("at.*", "node", "v"), "visits")
     leaves = nodes.frame.select("node", "first", "v").mapInArrow(
-        _leaves(forest), "tree int, leaf long, node string, first long, v array<double>"
+        _leaves(forest), f"tree int, leaf long, node string, first long, v {nodes.type}"
     )
     index = stored(leaves, "leaves")
     # at most trees * SAMPLE / 8 rows, as a leaf holds eight rows of the sample
@@ -320,11 +324,12 @@ def nearest(
     cell = ["tree", "leaf", "members_cell", "visitors_cell"]
     here = _dealt(index, "members", "visitors", counts).groupBy(*cell)
     there = _dealt(visits, "visitors", "members", counts).groupBy(*cell)
-    met = here.cogroup(there).applyInArrow(_cell(k + 1), "asked string, node string, score double")
-    best = met.groupBy("asked", "node").agg(F.max("score").alias("score"))
-    best = best.join(nodes.frame.select("node", "ids", "first"), "node")
-    place = F.row_number().over(Window.partitionBy("asked").orderBy(F.desc("score"), "first"))
-    best = best.withColumn("place", place).where(F.col("place") <= k + 1)
+    met = here.cogroup(there).applyInArrow(_cell(k + 1), _BEST)
+    # a query's leaves are as many as the forest says, with k + 1 nodes each; trees find the same nodes again
+    best = F.array_sort(F.array_distinct(F.flatten(F.collect_list("best"))))
+    best = met.groupBy("asked").agg(F.slice(best, 1, k + 1).alias("best"))
+    best = best.select("asked", F.explode("best").alias("b")).select("asked", (-F.col("b.far")).alias("score"), "b.node")
+    best = best.join(nodes.frame.select("node", "ids"), "node")
     # at most (k + 1) ** 2 pairs for each node that asks; its k + 1 best ids serve all rows that are copies of it
     pairs = best.select("asked", "score", F.explode("ids").alias("id"))
     place = F.row_number().over(Window.partitionBy("asked").orderBy(F.desc("score"), "id"))
