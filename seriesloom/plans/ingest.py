@@ -12,10 +12,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seriesloom.functions.tags import COMMENT_KEYS, MISSING
 from seriesloom.operators.grid import TimeGrid, grid_of_bounds, slice_bounds
 from seriesloom.operators.runs import encode_runs
-from seriesloom.plans.metadata import channel_metrics, container_metrics
-from seriesloom.sources.ledger import FAILED, IN_PROGRESS, LEDGER, NOOP, SUCCEEDED, choose_run, mark_run
+from seriesloom.plans.metadata import channel_metrics, channel_tags, container_metrics, path_tags
+from seriesloom.sources.ledger import FAILED, IN_PROGRESS, LEDGER, NOOP, SUCCEEDED, choose_run, files_with_status, mark_run
 from seriesloom.sources.recordings import (
     Decoder,
     Enumerator,
@@ -29,7 +30,12 @@ from seriesloom.sources.recordings import (
 from seriesloom.sources.tables import VersionedTable, clustered
 from seriesloom.streaming.discover import discover
 
-TABLES = ("channels", "bronze", "slices", "silver", "channel_metrics", "container_metrics")
+TABLES = ("channels", "bronze", "slices", "silver", "channel_metrics", "container_metrics", "channel_tags", "container_tags")
+#: The keys of a channel's tags.
+CHANNEL_TAGS = (
+    "group_idx", "channel_idx", "channel_name", "unit", "brand", "model", "from_city", "to_city", "condition", "experiment_id"
+)
+PIECES_PER_SHARD = 10_000
 NO_SLICES = "container_id bigint, starts array<bigint>, copies boolean"
 
 
@@ -45,7 +51,7 @@ class IngestJob:
     max_files: int = 100
     max_samples: int = 1_000_000
     min_samples: int = 0
-    shards: int = 64
+    shards: int | None = None  # by the number of pieces
     pattern: str | None = None
     vehicle: Callable[[Column], Column] = lambda filename: F.lit("NA")  # the vehicle that a file name tells
 
@@ -64,14 +70,15 @@ class IngestJob:
 
     def find(self, folder: str) -> None:
         """Enter the files that are new since the last call; one run for each ``max_files`` of them."""
-        found = f"{self.root}/found"
-        discover(self.spark, folder, found, f"{self.root}/checkpoint", self.max_files, self.pattern)
         self.ledger.create(LEDGER)
-        known = self.ledger.read()
-        rows = self.spark.read.schema(LEDGER).parquet(found)
-        new = rows.join(known.select("filename"), "filename", "left_anti").select(*known.columns)
-        if not new.isEmpty():
-            self.ledger.write(known.unionByName(new))
+
+        def enter(rows: DataFrame, number: int) -> None:
+            known = self.ledger.read()
+            new = rows.select(*known.columns).join(known.select("filename"), "filename", "left_anti").select(*known.columns)
+            if not new.isEmpty():
+                self.ledger.write(known.unionByName(new))
+
+        discover(self.spark, folder, enter, f"{self.root}/checkpoint", self.max_files, self.pattern)
 
     def next(self, redo_active: bool = True, redo_failed: bool = True) -> str:
         """Process one run and return its id; ``noop`` if none is open. A run that fails is rolled back and marked."""
@@ -79,6 +86,9 @@ class IngestJob:
         if run == NOOP:
             return run
         self._mark(run, IN_PROGRESS)
+        active = files_with_status(self.ledger.read(), IN_PROGRESS).select("run_id").distinct().count()
+        if active != 1:
+            raise RuntimeError(f"{active} runs are active; one must be")
         try:
             self._process(run)
         except Exception:
@@ -116,14 +126,20 @@ class IngestJob:
         files = self.ledger.read().where(F.col("run_id") == run).select("filename", "container_id")
         found = number_channels(list_channels(files, self.enumerate_file, self.min_samples))
         channels = self._write(attach_containers(found, files), "channels", run)
-        shard = F.pmod(F.xxhash64("filename"), F.lit(self.shards))
-        bins = assign_bins(split_channels(channels, self.max_samples), self.max_samples, shard)
+        pieces = split_channels(channels, self.max_samples)
+        # the pieces of a shard are put in order by one task
+        shards = self.shards or 1 + pieces.count() // PIECES_PER_SHARD
+        bins = assign_bins(pieces, self.max_samples, F.pmod(F.xxhash64("filename"), F.lit(shards)))
         bronze = self._write(read_bins(bins, self.decode), "bronze", run)
-        found = slice_bounds(bronze)
-        self._write(self.spark.createDataFrame([], NO_SLICES) if found is None else found, "slices", run)
+        cuts = slice_bounds(bronze)
+        self._write(self.spark.createDataFrame([], NO_SLICES) if cuts is None else cuts, "slices", run)
         grid = grid_of_bounds(self.spark, self._part("slices", run), "container_id", self.ticks_per_second)
         runs = clustered(encode_runs(bronze, grid), ["container_id", "channel_id", "tstart"])
         self._write(runs, "silver", run)
         self._write(channel_metrics(bronze, self.ticks_per_second), "channel_metrics", run)
-        named = bronze.withColumn("vehicle_key", self.vehicle(F.col("filename")))
-        self._write(container_metrics(named, self.ticks_per_second), "container_metrics", run)
+        told = F.when(F.col("vehicle_key") != MISSING, F.col("vehicle_key")).otherwise(self.vehicle(F.col("filename")))
+        self._write(container_metrics(bronze.withColumn("vehicle_key", told), self.ticks_per_second), "container_metrics", run)
+        self._write(channel_tags(channels, CHANNEL_TAGS), "channel_tags", run)
+        tags = channels.groupBy("container_id", "filename").agg(*[F.min(F.when(F.col(k) != MISSING, F.col(k))).alias(k) for k in COMMENT_KEYS])
+        named = tags.na.fill(MISSING, list(COMMENT_KEYS)).unpivot(["container_id"], list(COMMENT_KEYS), "key", "value")
+        self._write(path_tags(files).unionByName(named), "container_tags", run)

@@ -8,36 +8,35 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seriesloom.functions.tags import signal_name, signal_unit
+from seriesloom.functions.tags import COMMENT_KEYS, comment_tags, signal_name, signal_unit
 from seriesloom.functions.times import ticks_of
 from seriesloom.operators.grid import TimeGrid, spread
 from seriesloom.operators.scans import key_max, scan
+from seriesloom.sources.recording_source import ORDER, Decoder, read_tasks
 
-CHANNELS = "filename string, group_idx int, channel_idx int, channel_name string, unit string, sample_count bigint"
-SAMPLES = "container_id bigint, filename string, channel_id int, channel_name string, unit string, time bigint, value double"
+CHANNELS = "filename string, group_idx int, channel_idx int, channel_name string, unit string, sample_count bigint, comment string"
 
-#: A file reader gives the channels of a file, one dict per channel with the columns of ``CHANNELS`` but the file name.
+#: A file reader gives the channels of a file, one dict per channel with the columns of ``CHANNELS`` but the file name;
+#: ``comment`` (a dict as text) may be left out. It should read no more of the file than it must: headers, not samples.
 Enumerator = Callable[[str], Iterable[dict]]
 
-#: A decoder reads one piece of one channel: (filename, group_idx, channel_idx, first_sample, n_samples) -> frame with
-#: ``time`` and ``value``. Pieces of one file come one after another, so a decoder may keep its last file open.
-Decoder = Callable[[str, int, int, int, int], pd.DataFrame]
-
-
-#: Small pieces are gathered up to this many samples before they go back to Spark.
-OUTPUT_ROWS = 100_000
-
 
 def list_channels(files: DataFrame, enumerate_file: Enumerator, min_samples: int = 0) -> DataFrame:
-    """One row per channel of each file, without the channels of fewer than ``min_samples`` samples."""
+    """One row per channel of each file, without the channels of fewer than ``min_samples`` samples.
+
+    The tags in a channel's comment become columns, ``NA`` where there are none.
+    """
+    names = [c.split(" ")[0] for c in CHANNELS.split(", ")]
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [{"filename": name, **c} for name in batch["filename"] for c in enumerate_file(name)]
+            found = [{"comment": None, "filename": name, **c} for name in batch["filename"] for c in enumerate_file(name)]
             if found:
-                yield pd.DataFrame(found)
+                yield pd.DataFrame(found)[names]
 
-    return files.select("filename").mapInPandas(read, CHANNELS).where(F.col("sample_count") >= min_samples)
+    found = spread(files.select("filename"), "filename").mapInPandas(read, CHANNELS)
+    found = found.where(F.col("sample_count") >= min_samples).withColumn("_tags", comment_tags(F.col("comment")))
+    return found.select(*names[:-1], *[F.col(f"_tags.{key}").alias(key) for key in COMMENT_KEYS])
 
 
 def number_channels(channels: DataFrame) -> DataFrame:
@@ -70,31 +69,13 @@ def assign_bins(tasks: DataFrame, max_samples: int, shard: Column, size: str = "
 
 
 def read_bins(tasks: DataFrame, decode: Decoder) -> DataFrame:
-    """Read all pieces. The tasks bring the recording id, so that no join has to move samples.
+    """Read all pieces: container, file, channel, tags, ``time`` and ``value`` of every sample.
 
-    Tasks of a bin share a partition and come sorted by file; samples leave in batches.
+    The tasks bring the recording id, so that no join has to move samples. Tasks of a bin share a partition, sorted by
+    file. Channels whose values are no numbers give no rows; invalid samples are NaN.
     """
     by = ["shard", "bin"]
-    columns = ["container_id", "filename", "channel_id", "channel_name", "unit"]
-
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts, size = [], 0
-        for batch in batches:
-            for task in batch.itertuples(index=False):
-                part = decode(task.filename, task.group_idx, task.channel_idx, task.first_sample, task.n_samples)
-                if len(part) == 0:
-                    continue
-                named = {c: getattr(task, c) for c in columns}
-                parts.append(pd.DataFrame({**named, "time": part["time"].to_numpy(), "value": part["value"].to_numpy()}))
-                size += len(part)
-                if size >= OUTPUT_ROWS:
-                    yield pd.concat(parts, ignore_index=True)
-                    parts, size = [], 0
-        if parts:
-            yield pd.concat(parts, ignore_index=True)
-
-    ordered = spread(tasks, *by).sortWithinPartitions(*by, "filename", "group_idx", "channel_idx", "first_sample")
-    return ordered.mapInPandas(read, SAMPLES)
+    return read_tasks(spread(tasks, *by).sortWithinPartitions(*by, *ORDER), decode)
 
 
 def attach_containers(rows: DataFrame, ledger: DataFrame) -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seriesloom.functions.tags import without_scheme
-from seriesloom.sources.ledger import UNPROCESSED, container_id_of, run_id_of
+from seriesloom.sources.ledger import UNPROCESSED, container_id_of
 
 #: The columns of Spark's binary file source.
 BINARY_FILES = "path string, modificationTime timestamp, length bigint, content binary"
@@ -21,28 +23,38 @@ def new_files(spark: SparkSession, folder: str, max_files: int = 100, pattern: s
 
 
 def discover(
-    spark: SparkSession, folder: str, ledger: str, checkpoint: str, max_files: int = 100, pattern: str | None = None
+    spark: SparkSession,
+    folder: str,
+    ledger: str | Callable[[DataFrame, int], None],
+    checkpoint: str,
+    max_files: int = 100,
+    pattern: str | None = None,
 ) -> None:
-    """Append the files that are new since the last call to the ledger, one run per micro-batch, then return.
+    """Enter the files that are new since the last call into the ledger, one run per micro-batch, then return.
 
-    Checkpoint and file sink together write each file exactly once, also after a crash. The load time is the same for
-    all files of a micro-batch, and so is the run id made of it.
+    ``ledger`` is a folder, in which each micro-batch is a partition of its own, or a function of (rows, number) that
+    enters a micro-batch. The number of a micro-batch and the files in it stay the same when it is repeated after a crash,
+    and the run id is made of the number; so what enters rows by file or by number enters each file exactly once.
     """
-    rows = new_files(spark, folder, max_files, pattern).withColumn("_load_ts", F.current_timestamp())
-    query = (
-        rows.select(
-            container_id_of(F.col("filename")).alias("container_id"),
-            run_id_of(F.col("_load_ts")).alias("run_id"),
-            "filename",
-            F.lit(UNPROCESSED).alias("status"),
-            "_load_ts",
-            F.lit(None).cast("timestamp").alias("_processing_done_ts"),
+
+    def into_folder(rows: DataFrame, number: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{ledger}/batch={number}")
+
+    enter = ledger if callable(ledger) else into_folder
+
+    def each(batch: DataFrame, number: int) -> None:
+        run = F.sha2(F.lit(f"{checkpoint}:{number}"), 256)
+        enter(
+            batch.select(
+                container_id_of(F.col("filename")).alias("container_id"),
+                run.alias("run_id"),
+                "filename",
+                F.lit(UNPROCESSED).alias("status"),
+                F.current_timestamp().alias("_load_ts"),
+                F.lit(None).cast("timestamp").alias("_processing_done_ts"),
+            ),
+            number,
         )
-        .writeStream.format("parquet")
-        .option("path", ledger)
-        .option("checkpointLocation", checkpoint)
-        .outputMode("append")
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
+
+    stream = new_files(spark, folder, max_files, pattern).writeStream.foreachBatch(each)
+    stream.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

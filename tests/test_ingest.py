@@ -32,6 +32,9 @@ def test_runs_are_processed_once_and_rolled_back(spark, tmp_path):
         (files / f"{i}.csv").write_text("0,1\n1,1\n2,5\n3,5\n")
     job = IngestJob(spark, str(tmp_path / "job"), names, read, 1000, max_samples=3, pattern="*.csv")
     assert len(job.run(str(files))) == 1 and job.run(str(files)) == []
+    assert not job.grid().sliced
+    keys = {r["key"] for r in job.table("channel_tags").collect()}, {r["key"] for r in job.table("container_tags").collect()}
+    assert {"channel_name", "unit", "brand", "group_idx"} <= keys[0] and {"file_uri", "filename", "vehicle_key"} <= keys[1]
     assert sorted((r["tstart"], r["tend"], r["value"]) for r in job.table("silver").collect()) == [(0, 2, 1.0), (0, 2, 1.0), (2, 3, 5.0), (2, 3, 5.0)]
 
     (files / "2.csv").write_text("0,1\n1,1\n2,5\n3,5\n")

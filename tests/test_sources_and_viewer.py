@@ -17,7 +17,7 @@ from seriesloom.plans.catalog import MeasurementCatalog
 from seriesloom.plans.profile import AliasMap, Profile
 from seriesloom.sources import tables as T
 from seriesloom.sources.ledger import LEDGER, choose_run, mark_run, next_run
-from seriesloom.sources.recordings import assign_bins, list_channels, number_channels, read_bins, replicate, split_channels
+from seriesloom.sources.recordings import assign_bins, attach_containers, list_channels, number_channels, read_bins, replicate, split_channels
 from seriesloom.sources.scratch import scratch_folder
 from seriesloom.streaming.discover import discover
 
@@ -101,6 +101,36 @@ def test_discover_sees_each_file_once(spark, tmp_path):
     assert again.where(F.col("filename").startswith("/")).count() == 6
 
 
+def test_discovery_survives_a_crash(spark, tmp_path):
+    """A micro-batch that is repeated after its rows were entered, and one that died before, lose and double nothing."""
+    src = tmp_path / "in"
+    src.mkdir()
+    for i in range(4):
+        (src / f"r{i}.dat").write_text("x")
+    table = T.VersionedTable(spark, str(tmp_path / "t"))
+    table.create(spark.createDataFrame([], "filename string, run_id string").schema)
+    fail = {"before": True, "after": True}
+
+    def enter(rows, number):
+        rows = rows.select("filename", "run_id")
+        if fail["before"]:
+            fail["before"] = False
+            raise OSError("before the ledger")
+        known = table.read()
+        table.write(known.unionByName(rows.join(known, "filename", "left_anti")))
+        if fail["after"]:
+            fail["after"] = False
+            raise OSError("after the ledger")
+
+    args = (spark, str(src), enter, str(tmp_path / "check"))
+    for _ in range(2):
+        with pytest.raises(Exception, match="the ledger"):
+            discover(*args, max_files=3)
+    discover(*args, max_files=3)
+    rows = table.read().collect()
+    assert len(rows) == len({r["filename"] for r in rows}) == 4 and len({r["run_id"] for r in rows}) == 2
+
+
 def test_recordings_end_to_end(spark, tmp_path):
     for f in range(3):
         np.savez(tmp_path / f"r{f}.npz", speed=np.arange(10.0) + f, temp=np.arange(25.0) * f, lone=np.array([1.0]))
@@ -124,10 +154,68 @@ def test_recordings_end_to_end(spark, tmp_path):
     assert load.agg(F.max("n")).first()[0] <= 28 and load.agg(F.sum("n")).first()[0] == 108
     rows = read_bins(tasks, decode)
     assert rows.count() == 108
+    assert rows.where("brand = 'NA' AND group_idx = 0 AND channel_idx = channel_id - 1").count() == 108
     per = rows.groupBy("filename", "channel_name").agg(F.countDistinct("time").alias("n"), F.sum("value").alias("s"))
     assert {(r["filename"][-6:-4], r["channel_name"]): (r["n"], r["s"]) for r in per.collect()}[("r2", "temp")] == (25, 600.0)
 
 
+def test_recording_pieces(spark, tmp_path):
+    """Tags, invalid samples, channels that are no numbers, pieces beyond a block; only asked channels are read."""
+    from seriesloom.sources import recording_source
+
+    long = recording_source.BLOCK + 5
+    opened = tmp_path / "opened"
+    opened.mkdir()
+
+    def channels(path):
+        comment = "{'brand': 'vw', 'vehicle_key': 'v1'}"
+        yield {"group_idx": 2, "channel_idx": 0, "channel_name": "speed", "unit": "km/h", "sample_count": 4, "comment": comment}
+        yield {"group_idx": 2, "channel_idx": 1, "channel_name": "name", "unit": "", "sample_count": 3}
+        yield {"group_idx": 3, "channel_idx": 0, "channel_name": "long", "unit": "", "sample_count": long}
+
+    def decode(path, group, channel, first, n):
+        (opened / f"{group}-{channel}-{first}").touch()
+        if (group, channel) == (2, 1):
+            return pd.DataFrame({"time": [1, 2, 3], "value": ["a", "b", "c"]})
+        if group == 3:
+            at = np.arange(first, first + n)
+            return pd.DataFrame({"time": at, "value": at % 7})
+        frame = pd.DataFrame({"time": [1, 2, 3, 4], "value": [1, 2, 3, 4], "invalid": [False, True, False, False]})
+        return frame.iloc[first : first + n]
+
+    files = spark.createDataFrame([(7, "/nowhere/a")], "container_id bigint, filename string")
+    found = attach_containers(number_channels(list_channels(files, channels)), files)
+    tasks = assign_bins(split_channels(found, 3), 5, F.lit(0)).where("channel_name != 'long'")
+    whole = assign_bins(split_channels(found, 10**6), 10**6, F.lit(0)).where("channel_name = 'long'")
+    rows = read_bins(tasks.unionByName(whole), decode)
+    speed = sorted((r["time"], r["value"], r["brand"], r["vehicle_key"], r["model"]) for r in rows.where("group_idx = 2").collect())
+    assert [r[0] for r in speed] == [1, 2, 3, 4] and [r[1] for r in speed if r[0] != 2] == [1.0, 3.0, 4.0] and math.isnan(speed[1][1])
+    assert {r[2:] for r in speed} == {("vw", "v1", "NA")}
+    assert rows.where("group_idx = 3").agg(F.count("*"), F.sum("value"), F.max("time")).first()[:] == (
+        long, float(sum(i % 7 for i in range(long))), long - 1,
+    )
+    for f in opened.iterdir():
+        f.unlink()
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        asked = read_bins(tasks.unionByName(whole), decode).where("channel_name = 'speed'")
+        assert asked.count() == 4 and sorted(f.name for f in opened.iterdir()) == ["2-0-0", "2-0-3"]
+    finally:
+        spark.conf.set("spark.sql.python.filterPushdown.enabled", "false")
+
+
+def test_the_recording_file_is_read_by_place(tmp_path):
+    from workload.recording_file import RecordingDecoder, recording_channels, write_recording
+
+    path = str(tmp_path / "a.rec")
+    a = {"name": "a", "unit": "u", "comment": "{}", "time": [1, 2, 3], "value": [5.0, 6.0, 7.0]}
+    write_recording(path, [a, {**a, "name": "b", "time": [4, 5], "value": [1.5, 2.5], "invalid": [0, 1]}])
+    assert [(c["channel_name"], c["sample_count"]) for c in recording_channels(path)] == [("a", 3), ("b", 2)]
+    read = RecordingDecoder()
+    assert read(path, 0, 0, 1, 9).to_dict("list") == {"time": [2, 3], "value": [6.0, 7.0]}
+    assert read(path, 0, 1, 0, 2).to_dict("list") == {"time": [4, 5], "value": [1.5, 2.5], "invalid": [False, True]}
+
+
 @pytest.mark.parametrize("times,want", [(0, [0, 10, 20]), (1, [0, 10, 20, 20, 30, 40])])
 def test_replicate(spark, grid, times, want):
     df = spark.createDataFrame([(1, 0, 1.0), (1, 10, 2.0), (1, 20, 3.0)], "container_id int, time bigint, value double")

@@ -22,6 +22,7 @@ from seriesloom.sources.recordings import (
 )
 from seriesloom.sources.scratch import scratch_folder
 from seriesloom.streaming.discover import discover
+from workload.recording_file import RecordingDecoder, recording_channels, write_recording
 from workload.registry import query
 from workload.sql import sql
 from workload.w_metadata import ledger_of, times_as_micros
@@ -131,55 +132,45 @@ def _(d):
 
 
 # -- recordings ------------------------------------------------------------------------------------------------------
-def _open(path: str):
-    """The file behind a path or URI, on whatever storage it is."""
-    from pyarrow import fs
-
-    store, name = fs.FileSystem.from_uri(path) if ":" in path else (fs.LocalFileSystem(), path)
-    return store.open_input_stream(name)
-
-
-def read_recording(path: str) -> pd.DataFrame:
-    with _open(path) as f:
-        return pd.read_csv(f, names=["channel_name", "unit", "time", "value"], keep_default_na=False)
-
-
-def recording_channels(path: str):
-    frame = read_recording(path)
-    sizes = frame.groupby(["channel_name", "unit"], sort=True).size()
-    for i, ((name, unit), n) in enumerate(sizes.items()):
-        yield {"group_idx": 0, "channel_idx": i, "channel_name": name, "unit": unit, "sample_count": n}
-
-
-class RecordingDecoder:
-    """Reads pieces of channels; the last file stays open, as neighbouring pieces come from the same file."""
-
-    def __init__(self) -> None:
-        self._path: str | None = None
-        self._channels: list[pd.DataFrame] = []
-
-    def __call__(self, path: str, group: int, channel: int, first: int, n: int) -> pd.DataFrame:
-        if path != self._path:
-            frame = read_recording(path).sort_values("time", kind="stable")
-            self._channels = [part for _, part in frame.groupby("channel_name", sort=True)]
-            self._path = path
-        return self._channels[channel].iloc[first : first + n]
-
-
 def recordings_folder(d) -> str:
     """The samples written as one file per recording."""
     if "recordings" not in d.memo:
         folder = scratch_folder(d.spark, "recordings")
-        rows = d.samples.select("container_id", "channel_name", "unit", "time", "value")
-        rows.repartition("container_id").write.partitionBy("container_id").option("maxRecordsPerFile", 0).csv(folder)
+        d.spark.range(0).write.parquet(folder)  # makes the folder, wherever it is
+
+        def write(rows: pd.DataFrame) -> pd.DataFrame:
+            container = int(rows["container_id"].iat[0])
+            tags = f"{{'brand': 'brand{container % 3}', 'vehicle_key': '{rows['vehicle_key'].iat[0]}'}}"
+            channels = [
+                {"name": name, "unit": part["unit"].iat[0], "comment": tags, "time": part["time"], "value": part["value"]}
+                for name, part in rows.sort_values("time", kind="stable").groupby("channel_name", sort=True)
+            ]
+            path = f"{folder}/{container}.rec"
+            write_recording(path, channels)
+            return pd.DataFrame({"container_id": [container], "filename": [path]})
+
+        rows = d.samples.select("container_id", "channel_name", "unit", "vehicle_key", "time", "value")
+        files = rows.groupBy("container_id").applyInPandas(write, "container_id bigint, filename string")
+        d.memo["recording files"] = scratch_folder(d.spark, "recording-files")
+        files.write.parquet(d.memo["recording files"])
         d.memo["recordings"] = folder
     return d.memo["recordings"]
 
 
 def recordings_of(d) -> DataFrame:
     """The paths of the recording files with their recording."""
-    files = d.spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(recordings_folder(d))
-    return files.select(F.regexp_replace("path", "^file:", "").alias("filename"), F.col("container_id").cast("long"))
+    recordings_folder(d)
+    return d.spark.read.parquet(d.memo["recording files"])
+
+
+def ingest_job(d) -> IngestJob:
+    """The job over all recordings, done."""
+    if "ingest" not in d.memo:
+        folder = scratch_folder(d.spark, "ingest")
+        job = IngestJob(d.spark, folder, recording_channels, RecordingDecoder(), 1_000_000, 1000, pattern="*.rec")
+        job.run(recordings_folder(d))
+        d.memo["ingest"] = job
+    return d.memo["ingest"]
 
 
 @query(
@@ -188,13 +179,9 @@ def recordings_of(d) -> DataFrame:
 )
 def _(d):
     """The recordings from discovery to runs by one job; its second call finds nothing to do."""
-    folder = recordings_folder(d)
-    job = IngestJob(
-        d.spark, scratch_folder(d.spark, "ingest"), recording_channels, RecordingDecoder(), 1_000_000, 1000, pattern="*.csv"
-    )
-    job.run(folder)
-    job.run(folder)
-    recording = F.regexp_extract("filename", "container_id=([0-9]+)", 1).cast("long").alias("recording")
+    job = ingest_job(d)
+    job.run(recordings_folder(d))
+    recording = F.regexp_extract("filename", "([0-9]+)[.]rec$", 1).cast("long").alias("recording")
     names = job.table("channels").select("container_id", "channel_id", "channel_name", recording)
     rows = job.table("silver").join(names, ["container_id", "channel_id"])
     return rows.select(F.col("recording").alias("container_id"), "channel_name", "tstart", "tend", "value")
@@ -236,13 +223,44 @@ def _(d):
 
 @query(
     "s9_decode_recordings",
-    sql("SELECT container_id, channel_name, unit, time, value FROM bronze"),
+    sql(
+        """SELECT container_id, chm.channel_id, 0 AS group_idx, chm.channel_id - 1 AS channel_idx, bronze.channel_name, bronze.unit, vehicle_key,
+  'brand' || (container_id % 3) AS brand, 'NA' AS from_city, time, value
+FROM bronze JOIN (SELECT container_id, channel_name, (row_number() OVER (PARTITION BY container_id ORDER BY channel_name))::INTEGER AS channel_id
+  FROM chm) AS chm USING (container_id, channel_name)"""
+    ),
 )
 def _(d):
     files = recordings_of(d)
     channels = attach_containers(number_channels(list_channels(files, recording_channels)), files)
     bins = assign_bins(split_channels(channels, 1_000_000), 1_000_000, F.pmod(F.xxhash64("filename"), F.lit(64)))
-    return read_bins(bins, RecordingDecoder()).select("container_id", "channel_name", "unit", "time", "value")
+    return read_bins(bins, RecordingDecoder()).select(
+        "container_id", "channel_id", "group_idx", "channel_idx", "channel_name", "unit", "vehicle_key", "brand", "from_city", "time", "value"
+    )
+
+
+@query(
+    "s9_ingest_tags",
+    sql(
+        """SELECT 'channel' AS kind, container_id, key, value, count(*) AS n FROM (SELECT container_id, unnest([
+    {'key': 'unit', 'value': unit}, {'key': 'channel_name', 'value': channel_name}, {'key': 'brand', 'value': 'brand' || (container_id % 3)},
+    {'key': 'condition', 'value': 'NA'}], recursive := true) FROM chm) GROUP BY ALL
+UNION ALL SELECT 'container', container_id, key, value, 1 FROM (SELECT container_id, unnest([
+    {'key': 'filename', 'value': container_id || '.rec'}, {'key': 'vehicle_key', 'value': vehicle_key}, {'key': 'model', 'value': 'NA'}], recursive := true) FROM cm)"""
+    ),
+)
+def _(d):
+    """What the ingest job says about channels and recordings."""
+    job = ingest_job(d)
+    name = job.table("container_tags").where("key = 'filename'")
+    name = name.select("container_id", F.regexp_extract("value", "([0-9]+)[.]rec$", 1).cast("long").alias("recording"))
+    wanted = {"channel": ("unit", "channel_name", "brand", "condition"), "container": ("filename", "vehicle_key", "model")}
+    parts = [
+        job.table(f"{kind}_tags").where(F.col("key").isin(*keys)).select(F.lit(kind).alias("kind"), "container_id", "key", "value")
+        for kind, keys in wanted.items()
+    ]
+    rows = parts[0].unionByName(parts[1]).join(name, "container_id")
+    return rows.groupBy("kind", F.col("recording").alias("container_id"), "key", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
