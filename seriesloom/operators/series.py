@@ -13,7 +13,7 @@ All times and widths are ticks. Results are per recording: a "scalar" is a DataF
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -410,6 +410,17 @@ class SampleSeries(_Series):
 
     __hash__ = object.__hash__
 
+    def meeting(self, conditions: Mapping[str, Callable[[Column], Column]]) -> DataFrame:
+        """``condition, container_id, tstart, tend``: the merged intervals of many named conditions on the value, in one pass.
+
+        As for the comparison operators, NaN and NULL meet no condition.
+        """
+        v = F.col("value")
+        held = [F.when(test(v) & ~F.isnan(v), F.lit(name)) for name, test in conditions.items()]
+        rows = self.frame.select(ID, "tstart", "tend", F.explode(F.array_compact(F.array(*held))).alias("condition"))
+        rows = rows.where(F.col("tend") > F.col("tstart"))
+        return merge_islands(rows, self.grid, (ID, "condition")).select("condition", ID, "tstart", "tend")
+
     # -- alignment -----------------------------------------------------------------------------------------------
     def aligned(self, others: dict[str, SampleSeries], own: str = "value") -> DataFrame:
         """All series cut at each other's bounds, where all of them exist: one value column per series."""
@@ -601,6 +612,18 @@ class SampleSeries(_Series):
         )
         return SampleSeries(rows, self.grid)
 
+    def within_intervals(self, intervals: Intervals) -> DataFrame:
+        """Largest, smallest and mean value (weighted by length) in each interval, from one alignment."""
+        _need(intervals, Intervals)
+        self._check_grid(intervals)
+        met = overlaps({"a": self.frame, "b": intervals.merge_overlaps().frame}, self.grid)
+        v = _number(F.col("a.value"))
+        return met.groupBy(ID, "b.tstart", "b.tend").agg(
+            _nan_if_empty(F.max(v)).alias("max"),
+            _nan_if_empty(F.min(v)).alias("min"),
+            _nan_if_empty(_weighted_mean(v, _length())).alias("mean"),
+        )
+
     def max_within_intervals(self, intervals: Intervals) -> SampleSeries:
         return self._within(intervals, lambda v, d: F.max(v))
 

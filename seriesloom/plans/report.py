@@ -232,33 +232,34 @@ class Report:
             names = tuple(sorted({n for v in values for n in v.names}))
             cut = len(names) == 1 and (len(values) > 1 or values[0].cut)
             groups.setdefault((kind, names, cut, a.event, weight), []).append((number, a, values))
-        parts = []
+        parts, wanted, most = [], [], [0, 0]
         for (kind, _, _, event, weight), members in groups.items():
             columns = [F.col("_length")] if kind == "duration_count" else []
-            rows = self._rows_of(kind, [v for v in members[0][2]], event, weight)
             place: dict[str, int] = {}
-            wanted = []
+            defined = []
             for number, a, values in members:
-                at = [0] if not values else []
                 for v in values:
                     if str(v.value) not in place:
                         place[str(v.value)] = len(columns)
                         columns.append(v.value)
-                    at.append(place[str(v.value)])
                 two = isinstance(a, Histogram2D)
-                wanted.append(
+                edges = [check_edges(e) for e in ([a.x_bins, a.y_bins] if two else [a.bins])]
+                most = [max(m, len(e)) for m, e in zip(most, [*edges, []])]
+                at = [place[str(v.value)] for v in values] or [0]
+                defined.append(
                     {
                         "visual_id": number,
-                        "x": at[0],
-                        "y": at[1] if two else None,
-                        "x_edges": check_edges(a.x_bins if two else a.bins),
-                        "y_edges": check_edges(a.y_bins) if two else None,
+                        **dict(zip("xy", at)),
+                        **dict(zip(("x_edges", "y_edges"), edges)),
                         "weight": None if two or kind == "duration" else a.weight_const,
                         "longest": a.max_duration if kind == "duration" else None,
                     }
                 )
-            parts.append(_counted(rows, columns, wanted))
-        cells = reduce(DataFrame.unionByName, parts)
+            rows = self._rows_of(kind, members[0][2], event, weight)
+            values = F.array(*[c.cast("double") for c in columns]).alias("_v")
+            parts.append(rows.select(ID, F.lit(len(wanted)).alias("_group"), values, "_w"))
+            wanted.append(defined)
+        cells = _counted(reduce(DataFrame.unionByName, parts), wanted, most)
         return cells.groupBy(ID, "visual_id", "cell").agg(F.sum("weight").alias("weight"))
 
     def _histograms(self, numbered: Sequence[tuple[int, object]], axes: Sequence[str]) -> DataFrame:
@@ -450,19 +451,19 @@ class Report:
         return paths
 
 
-def _counted(rows: DataFrame, columns: Sequence[Column], wanted: Sequence[dict]) -> DataFrame:
-    """``rows`` counted into the cells of all ``wanted`` histograms: ID, visual_id, cell (NULL: outside), weight.
+def _counted(rows: DataFrame, wanted: Sequence[Sequence[dict]], most: Sequence[int]) -> DataFrame:
+    """Rows (ID, _group, values _v, weight _w) counted into the cells of the histograms ``wanted`` of their group:
+    ID, visual_id, cell (NULL: outside), weight. ``most``: the largest numbers of edges along x and y.
 
     The definitions are one literal, whatever their number.
     """
-    defined = F.explode(F.from_json(F.lit(json.dumps(wanted)), _WANTED))
-    rows = rows.select(ID, F.array(*[c.cast("double") for c in columns]).alias("_v"), "_w", defined.alias("_d"))
-    rows = rows.select(ID, "_d.*", "_v", F.col("_w"))
+    defined = F.get(F.from_json(F.lit(json.dumps(wanted)), f"array<{_WANTED}>"), F.col("_group"))
+    rows = rows.select(ID, "_v", "_w", F.explode(defined).alias("_d")).select(ID, "_d.*", "_v", "_w")
+    rows = with_bin(rows, "_x", F.get("_v", F.col("x")), "x_edges", most[0])
     cell = F.col("_x")
-    rows = with_bin(rows, "_x", F.get("_v", F.col("x")), "x_edges", max(len(d["x_edges"]) for d in wanted))
-    if wanted[0]["y"] is not None:
-        rows = with_bin(rows, "_y", F.get("_v", F.col("y")), "y_edges", max(len(d["y_edges"]) for d in wanted))
-        cell = cell * (F.size("y_edges") - 1) + F.col("_y")
+    if most[1]:
+        rows = with_bin(rows, "_y", F.get("_v", F.col("y")), "y_edges", most[1])
+        cell = F.when(F.col("y_edges").isNull(), cell).otherwise(cell * (F.size("y_edges") - 1) + F.col("_y"))
     weight = F.coalesce("weight", F.least("_w", F.col("longest").cast("double")))
     return rows.select(ID, "visual_id", cell.alias("cell"), weight.alias("weight"))
 
@@ -509,8 +510,10 @@ def channel_source(runs: DataFrame, find: Callable[..., DataFrame], grid: TimeGr
     """A channel lookup for ``Report``: the runs of the channels that ``find`` gives for the tags."""
 
     def channel(tags: Mapping[str, str]) -> SampleSeries:
-        ids = find(**tags)
-        return SampleSeries(runs.join(ids, ["container_id", "channel_id"], "left_semi"), grid)
+        # by recording alone, so that runs that lie by recording stay where they are
+        ids = find(**tags).groupBy(ID).agg(F.collect_set("channel_id").alias("_channels"))
+        found = runs.join(ids, ID).where(F.array_contains("_channels", F.col("channel_id")))
+        return SampleSeries(found, grid)
 
     return channel
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -130,6 +131,41 @@ class VersionedTable:
         self.write(clustered(df, keys, files))
 
 
+class BucketedTable:
+    """A parquet table dealt into buckets by ``key`` and sorted in them: what is grouped, ordered or joined by the key over
+    it needs no shuffle. For keys of which none holds much more than a bucket's share; very large recordings are better
+    ``clustered``.
+
+    The files lie in ``path``; ``read`` enters the table into the session's catalog where it is not known yet.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, key: str, sort: Sequence[str], buckets: int) -> None:
+        self.spark = spark
+        self.path = path.rstrip("/")
+        self.key, self.sort, self.buckets = key, list(sort), buckets
+        self.name = f"bucketed_{hashlib.sha256(self.path.encode()).hexdigest()[:24]}"
+
+    def deal(self, df: DataFrame) -> DataFrame:
+        """Rows in one task per bucket, as the table has them."""
+        return df.repartition(self.buckets, self.key)
+
+    def write(self, df: DataFrame, dealt: bool = False) -> None:
+        """Replace the table. ``dealt`` says that the rows lie as ``deal`` puts them; then there is one file per bucket."""
+        rows = df if dealt else self.deal(df)
+        writer = rows.write.mode("overwrite").format("parquet").option("path", self.path)
+        writer.bucketBy(self.buckets, self.key).sortBy(self.key, *self.sort).saveAsTable(self.name)
+
+    def read(self) -> DataFrame:
+        if not self.spark.catalog.tableExists(self.name):
+            columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in self.spark.read.parquet(self.path).schema.fields)
+            order = ", ".join(f"`{c}`" for c in (self.key, *self.sort))
+            self.spark.sql(
+                f"CREATE TABLE {self.name} ({columns}) USING parquet CLUSTERED BY (`{self.key}`) SORTED BY ({order}) "
+                f"INTO {self.buckets} BUCKETS LOCATION '{self.path}'"
+            )
+        return self.spark.table(self.name)
+
+
 def clustered(df: DataFrame, keys: Sequence[str], files: int | None = None) -> DataFrame:
     """Range-partitioned and sorted by the keys, so that file statistics let scans skip by recording and channel.
 

@@ -302,6 +302,23 @@ def test_within_intervals(make, cases):
         mean[i] = [(*y, sum(v * w for v, w in m) / sum(w for _, w in m)) for y, m in per.items()]
     check(a.max_within_intervals(iv), top)
     check(a.mean_within_intervals(iv), mean)
+    all_three = {}
+    for r in a.within_intervals(iv).collect():
+        all_three.setdefault(r["container_id"], []).append((r["tstart"], r["tend"], r["max"], r["mean"]))
+    for i in cases:
+        want = sorted((*t, m[2]) for t, m in zip(sorted(top[i]), sorted(mean[i])))
+        found = sorted(all_three.get(i, []))
+        assert len(found) == len(want) and all(f[:3] == w[:3] and math.isclose(f[3], w[3]) for f, w in zip(found, want))
+
+
+def test_many_conditions_in_one_pass(make, cases):
+    tests = {"gt": lambda v: v > 1, "eq": lambda v: v == 2, "ne": lambda v: v != 0, "never": lambda v: v > 9}
+    found = {}
+    for r in make("a").meeting(tests).collect():
+        found.setdefault((r["condition"], r["container_id"]), []).append((r["tstart"], r["tend"]))
+    for name, test in tests.items():
+        for i, c in cases.items():
+            assert sorted(found.get((name, i), [])) == merge([(s, e) for s, e, v in c["a"] if test(v)]), (name, i)
 
 
 def test_instances_are_numbered(make, cases):

@@ -16,10 +16,10 @@ from seriesloom.operators.runs import encode_runs
 from seriesloom.operators.scans import running_sum, scan
 from seriesloom.operators.series import Intervals, SampleSeries
 from seriesloom.plans.catalog import MeasurementCatalog
-from seriesloom.plans.metadata import channel_metrics, container_metrics
+from seriesloom.plans.metadata import channel_metrics, channel_tags, container_metrics
 from seriesloom.plans.profile import AliasMap, ChannelMap, Profile
 from seriesloom.sources.scratch import scratch_folder
-from seriesloom.sources.tables import clustered
+from seriesloom.sources.tables import BucketedTable, clustered
 
 TICKS = 1_000_000
 HOUR = 3600 * TICKS
@@ -97,12 +97,27 @@ class Data:
 
     @property
     def silver(self) -> DataFrame:
-        """The runs of all channels as the ingest job leaves them for reports: a written table, sorted by channel."""
+        """The runs of all channels as the ingest job leaves them for reports: a written table, by recording."""
         if ("silver", self.grid) not in self.memo:
             folder = scratch_folder(self.spark, "silver")
-            clustered(self.runs, ["container_id", "channel_id", "tstart"]).write.parquet(folder)
-            self.memo["silver", self.grid] = folder
-        return self.spark.read.parquet(self.memo["silver", self.grid])
+            if self.grid.sliced:
+                clustered(self.runs, ["container_id", "channel_id", "tstart"]).write.parquet(folder)
+                self.memo["silver", self.grid] = lambda: self.spark.read.parquet(folder)
+            else:
+                buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+                table = BucketedTable(self.spark, folder, "container_id", ["channel_id", "tstart"], buckets)
+                table.write(encode_runs(table.deal(self.samples), self.grid), dealt=True)
+                self.memo["silver", self.grid] = table.read
+        return self.memo["silver", self.grid]()
+
+    @property
+    def silver_tags(self) -> DataFrame:
+        """The tags of all channels as the ingest job leaves them."""
+        if "tags" not in self.memo:
+            folder = scratch_folder(self.spark, "tags")
+            channel_tags(self.samples, ["channel_name", "unit"]).write.parquet(folder)
+            self.memo["tags"] = folder
+        return self.spark.read.parquet(self.memo["tags"])
 
     def _encoded(self, name: str, samples: DataFrame) -> DataFrame:
         """The runs of one channel. On a sliced grid they are written once and read back, as the silver table would be.

@@ -12,8 +12,10 @@ from seriesloom.operators import histograms as H
 from seriesloom.operators.statistics import LABELS, event_statistics, typed_statistics
 from seriesloom.plans import compare as C
 from seriesloom.plans import rollups as R
+from seriesloom.plans.catalog import MeasurementCatalog
 from seriesloom.plans.charts import default_x_channel, statistics_over
 from seriesloom.plans.definitions import Event, Histogram1D, Histogram2D, ReportDefinition, Signal, Statistics, Threshold
+from seriesloom.plans.profile import Profile
 from seriesloom.plans.report import Report, channel_source, new_and_changed, session_batches
 from seriesloom.plans.report_run import ReportRun
 from seriesloom.sources.scratch import scratch_folder
@@ -298,10 +300,15 @@ def definition() -> ReportDefinition:
     )
 
 
+def channels_of(d):
+    """The channels of the written runs, found by their written tags."""
+    catalog = MeasurementCatalog({"channel_tags": d.silver_tags}, Profile(ticks_per_second=TICKS))
+    return channel_source(d.silver, catalog.channels_matching, d.grid)
+
+
 def report_of(d) -> Report:
     if "report" not in d.memo:
-        find = d.catalog().channels_matching
-        d.memo["report"] = Report(d.spark, definition(), channel_source(d.silver, find, d.grid), d.container_metrics)
+        d.memo["report"] = Report(d.spark, definition(), channels_of(d), d.container_metrics)
     return d.memo["report"]
 
 
@@ -735,7 +742,7 @@ def _(d):
     early = known.where(F.col("container_id") % 3 != 0).withColumn(
         "stop_dt", F.col("stop_dt") - F.when(F.col("container_id") % 4 == 0, 1).otherwise(0)
     )
-    folder, channel = scratch_folder(d.spark, "incremental"), channel_source(d.silver, d.catalog().channels_matching, d.grid)
+    folder, channel = scratch_folder(d.spark, "incremental"), channels_of(d)
     size = max(1, -(-known.count() // 2))
     for sessions in (early, known):
         run = ReportRun(d.spark, definition(), channel, sessions, folder, max_sessions=size)

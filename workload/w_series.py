@@ -207,11 +207,8 @@ P19 = {
     ),
 )
 def _(d):
-    s, out = d.level("click"), None
-    for name, (_, op) in P19.items():
-        part = op(s).frame.select(F.lit(name).alias("op"), "container_id", "tstart", "tend")
-        out = part if out is None else out.unionByName(part)
-    return out
+    found = d.level("click").meeting({name: op for name, (_, op) in P19.items()})
+    return found.withColumnRenamed("condition", "op")
 
 
 @query(
@@ -354,12 +351,7 @@ FROM x GROUP BY container_id, tstart, tend""",
     ),
 )
 def _(d):
-    s, iv = d.signal("click"), d.busy()
-    keys = ["container_id", "tstart", "tend"]
-    top = s.max_within_intervals(iv).frame.withColumnRenamed("value", "max")
-    low = s.min_within_intervals(iv).frame.withColumnRenamed("value", "min")
-    mid = s.mean_within_intervals(iv).frame.select(*keys, F.round("value", 4).alias("mean"))
-    return top.join(low, keys).join(mid, keys)
+    return d.signal("click").within_intervals(d.busy()).withColumn("mean", F.round("mean", 4))
 
 
 @query(

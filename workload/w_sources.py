@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seriesloom.functions.tags import base_name
+from seriesloom.operators.grid import spread
 from seriesloom.plans.ingest import IngestJob
 from seriesloom.sources import tables as T
 from seriesloom.sources.ledger import LEDGER, mark_run, next_run
@@ -138,19 +139,20 @@ def recordings_folder(d) -> str:
         folder = scratch_folder(d.spark, "recordings")
         d.spark.range(0).write.parquet(folder)  # makes the folder, wherever it is
 
-        def write(rows: pd.DataFrame) -> pd.DataFrame:
-            container = int(rows["container_id"].iat[0])
-            tags = f"{{'brand': 'brand{container % 3}', 'vehicle_key': '{rows['vehicle_key'].iat[0]}'}}"
-            channels = [
-                {"name": name, "unit": part["unit"].iat[0], "comment": tags, "time": part["time"], "value": part["value"]}
-                for name, part in rows.sort_values("time", kind="stable").groupby("channel_name", sort=True)
-            ]
-            path = f"{folder}/{container}.rec"
-            write_recording(path, channels)
-            return pd.DataFrame({"container_id": [container], "filename": [path]})
-
-        rows = d.samples.select("container_id", "channel_name", "unit", "vehicle_key", "time", "value")
-        files = rows.groupBy("container_id").applyInPandas(write, "container_id bigint, filename string")
+        def write(batches):
+            for batch in batches:
+                paths = [f"{folder}/{c}.rec" for c in batch["container_id"]]
+                for path, channels in zip(paths, batch["channels"], strict=True):
+                    write_recording(path, list(channels))
+                yield pd.DataFrame({"container_id": batch["container_id"], "filename": paths})
+
+        tags = F.format_string("{'brand': 'brand%d', 'vehicle_key': '%s'}", F.col("container_id") % 3, F.min("vehicle_key"))
+        samples = F.array_sort(F.collect_list(F.struct("time", "value")))
+        rows = spread(d.samples, "container_id").groupBy("container_id", "channel_name")
+        rows = rows.agg(F.min("unit").alias("unit"), tags.alias("comment"), samples.alias("s"))
+        channel = F.struct(F.col("channel_name").alias("name"), "unit", "comment", F.col("s.time").alias("time"), F.col("s.value").alias("value"))
+        rows = rows.groupBy("container_id").agg(F.array_sort(F.collect_list(channel)).alias("channels"))
+        files = rows.mapInPandas(write, "container_id bigint, filename string")
         d.memo["recording files"] = scratch_folder(d.spark, "recording-files")
         files.write.parquet(d.memo["recording files"])
         d.memo["recordings"] = folder
