@@ -25,9 +25,19 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each group of near-duplicates (words by five, similarity 0.8)."""
-    kept = near_components(docs, width=5).where("kept").select("doc_id").where("doc_id IS NOT NULL").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id IS NULL"))
+    """Keep one document of each group of near-duplicates (words by five, similarity 0.8), one with the smallest id.
+
+    Documents without words or without an id stay. Rows are told apart by id and text.
+    """
+    found = near_components(docs, width=5)
+    alone = found.where("group IS NULL OR doc_id IS NULL").select("doc_id", "text_key")
+    first = found.where("group IS NOT NULL AND kept AND doc_id IS NOT NULL").groupBy("group").agg(F.min(F.struct("doc_id", "text_key")).alias("row"))
+    rows = docs.withColumn("_key", F.xxhash64("text"))
+    kept = first.select(F.col("row.doc_id").alias("_id"), F.col("row.text_key").alias("_text"))
+    one = rows.join(kept, (F.col("doc_id") == F.col("_id")) & (F.col("_key") == F.col("_text")), "left_semi")
+    alone = alone.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_text")).distinct()
+    rest = rows.join(alone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_text")), "left_semi")
+    return one.dropDuplicates(["doc_id", "_key"]).unionByName(rest).select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

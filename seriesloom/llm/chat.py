@@ -75,20 +75,16 @@ def render(messages: DataFrame, trained: str = "assistant") -> DataFrame:
         F.concat(F.lit(START), F.url_encode("role"), F.lit("\n")).alias("head"),
         escape(F.col("text")).alias("body"),
     )
-    turn = F.struct("number", "loss", "head", "body")
-    turns = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
     tail = F.lit(f"{END}\n")
+    before = Window.partitionBy("conv_id").orderBy("number").rowsBetween(Window.unboundedPreceding, -1)
+    size = F.length("head") + F.length("body") + len(END) + 1
+    start = (F.coalesce(F.sum(size).over(before), F.lit(0)) + F.length("head")).cast("int")
+    rows = rows.withColumn("start", start).withColumn("end", F.col("start") + F.length("body"))
+    turn = F.struct("number", "loss", "head", "body", "start", "end")
+    turns = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
     formatted = F.array_join(F.transform("turns", lambda t: F.concat(t["head"], t["body"], tail)), "")
-
-    def step(acc: Column, t: Column) -> Column:
-        start = acc["at"] + F.length(t["head"])
-        end = start + F.length(t["body"])
-        spans = F.concat(acc["spans"], F.array(F.struct(start.alias("start"), end.alias("end"))))
-        at = end + len(END) + 1
-        return F.struct(at.alias("at"), F.when(t["loss"], spans).otherwise(acc["spans"]).alias("spans"))
-
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
-    spans = F.aggregate("turns", zero, step, lambda acc: acc["spans"])
+    masked = F.filter("turns", lambda t: t["loss"])
+    spans = F.transform(masked, lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end")))
     return turns.select("conv_id", formatted.alias("formatted"), spans.alias("loss_spans"))
 
 
@@ -104,9 +100,53 @@ def read_back(formatted: Column) -> Column:
     return F.transform(turns, turn)
 
 
-def under_mask(formatted: Column, spans: Column) -> Column:
-    """array of the texts under the loss mask, unescaped."""
-    return F.transform(spans, lambda s: unescape(F.substring(formatted, s["start"] + 1, s["end"] - s["start"])))
+def under_mask(chats: DataFrame) -> DataFrame:
+    """``conv_id, loss``: the texts under the loss mask, unescaped, in order, for ``conv_id, formatted, loss_spans``.
+
+    The rendered text is cut into turns once. A turn's place is the running sum of the lengths before it, and spans meet the
+    turns at their places, so the work grows with the text, however many turns it has.
+    """
+    pieces = chats.select("conv_id", F.posexplode(F.split("formatted", r"<\|im_start\|>")).alias("at", "piece")).where("at > 0")
+    before = Window.partitionBy("conv_id").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    begin = F.coalesce(F.sum(F.length("piece") + len(START)).over(before), F.lit(0))
+    head = F.locate("\n", F.col("piece"))
+    pieces = pieces.select("conv_id", "piece", head.alias("head"), (begin + len(START) + head).cast("int").alias("start"))
+    spans = chats.select(F.col("conv_id").alias("_conv"), F.explode("loss_spans").alias("s")).select("_conv", "s.start", "s.end")
+    met = pieces.join(
+        spans.withColumnRenamed("start", "_start"), F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("start") == F.col("_start"))
+    )
+    text = unescape(F.substring(F.col("piece"), F.col("head") + 1, F.col("end") - F.col("start")))
+    found = met.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("start", text.alias("text")))).alias("found"))
+    found = found.select(F.col("conv_id").alias("_conv"), F.transform("found", lambda f: f["text"]).alias("loss"))
+    rows = chats.select("conv_id").join(found, F.col("conv_id").eqNullSafe(F.col("_conv")), "left")
+    return rows.select("conv_id", F.coalesce("loss", F.array().cast("array<string>")).alias("loss"))
+
+
+def streamed(messages: DataFrame, trained: str = "assistant") -> DataFrame:
+    """A log of events that ends as ``messages`` (conv_id, turn, role, text; turn, role and text give the order).
+
+    What ``trained`` says comes as a streaming service tells it, by a hash of the message: whole, in three deltas, as a draft
+    that is thrown away and generated anew, or with a slip that an edit corrects two messages later.
+    """
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    rows = messages.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"), F.row_number().over(order).alias("n"))
+    text, n = F.col("text"), F.col("n").cast("long")
+    way = F.when(F.col("role") == trained, F.pmod(F.xxhash64("conv_id", "n", "text"), F.lit(4))).otherwise(0)
+
+    def event(step: int, kind: str, said: Column, later: int = 0) -> Column:
+        target = n - 1 if later else F.lit(None).cast("long")
+        seq = (n + later) * 8 + step
+        return F.struct(seq.alias("seq"), F.lit(kind).alias("kind"), target.alias("target"), said.alias("text"))
+
+    third = F.call_function("div", F.length(text), F.lit(3)).cast("int")
+    parts = [F.substring(text, F.lit(1), third), F.substring(text, third + 1, third), F.substring(text, 2 * third + 1, F.length(text))]
+    deltas = [event(3 + i, "delta", part) for i, part in enumerate(parts)]
+    whole = F.array(event(0, "message", text))
+    streams = F.array(event(0, "message", F.lit("")), *deltas)
+    anew = F.array(event(0, "message", F.lit("a draft that nobody wanted")), event(1, "delta", text), event(2, "regenerate", F.lit("")), *deltas)
+    slip = F.array(event(0, "message", F.concat(text, F.lit(" sic"))), event(7, "edit", text, later=2))
+    events = F.when(way == 1, streams).when(way == 2, anew).when(way == 3, slip).otherwise(whole)
+    return rows.select("conv_id", "role", F.explode(events).alias("e")).select("conv_id", "e.seq", "e.kind", "e.target", "role", "e.text")
 
 
 def format_chats(events: DataFrame) -> DataFrame:

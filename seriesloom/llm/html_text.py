@@ -60,6 +60,13 @@ WORDS = frozenset(
     "replies disqus respond share sharing social related recommended recommendations widget toolbar pagination pager "
     "copyright disclaimer hidden skip form".split()
 )
+#: Words that say where or how large such a part is, and nothing about what it is.
+QUALIFIERS = frozenset(
+    "site page global top bottom left right primary secondary box bar area container wrapper wrap list section block inner outer "
+    "item items link links posts articles stories".split()
+)
+#: Elements that stay beside the article even if they hold one: cards in a sidebar are not the page's text.
+ALWAYS_ASIDE = frozenset("nav footer aside dialog".split())
 _TAG = re.compile(r"<(?:!--|[!?]|(/?)([A-Za-z][A-Za-z0-9:-]*))")
 _ATTRIBUTE = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HIDDEN = re.compile(r"""\s(?:hidden(?=[\s/>=])|aria-hidden\s*=\s*["']?true)""", re.I)
@@ -72,42 +79,55 @@ def _names_aside(tag: str, attributes: str, in_body: bool) -> bool:
     if tag in ("html", "body"):
         return False
     for match in _ATTRIBUTE.finditer(attributes):
-        for word in re.split(r"[^a-z0-9]+", (match[1] or match[2] or match[3] or "").lower()):
-            if word in WORDS and not (word == "header" and in_body):
+        for name in (match[1] or match[2] or match[3] or "").lower().split():
+            parts = [w for w in re.split(r"[^a-z0-9]+", name) if w]
+            named = [w for w in parts if w in WORDS and not (w == "header" and in_body)]
+            # the whole name must say so: an article may be comments-open, a page may have has-sidebar
+            if named and all(w in WORDS or w in QUALIFIERS for w in parts):
                 return True
     return bool(_HIDDEN.search(attributes))
 
 
 def blocks(page: str) -> list[tuple[str, str]]:
-    """(place, text) of the blocks of a page in order; place is ``body``, ``aside`` or ``open``."""
-    out: list[tuple[str, str]] = []
-    words: list[str] = []
-    stack: list[tuple[str, str | None]] = []  # element, the place it opens
-    place = "open"
+    """(place, text) of the blocks of a page in order; place is ``body``, ``aside`` or ``open``.
+
+    An element that names itself as something beside the article but holds the first article is not beside it. Inline
+    elements beside the article leave the block around them whole.
+    """
+    out: list[tuple[str, frozenset[int], str]] = []
+    words: list[tuple[frozenset[int], str]] = []  # with the open elements that are beside the article
+    stack: list[tuple[str, str | None, int]] = []  # element, the place it opens, its number
+    where: tuple[bool, bool, frozenset[int]] = (False, False, frozenset())  # silent, in a body, beside which elements
+    holds_article: set[int] = set()
+    seen_body, number = False, 0
 
     def flush() -> None:
-        text = " ".join(entities.unescape("".join(words)).split())
+        by: dict[frozenset[int], list[str]] = {}
+        for ids, text in words:
+            by.setdefault(ids, []).append(text)
         words.clear()
-        if text:
-            out.append((place, text))
+        for ids, parts in by.items():
+            text = " ".join(entities.unescape("".join(parts)).split())
+            if text:
+                out.append(("body" if where[1] else "open", ids, text))
 
-    def now() -> str:
-        kinds = [k for _, k in stack if k]
-        return "silent" if "silent" in kinds else "aside" if "aside" in kinds else "body" if "body" in kinds else "open"
+    def now() -> tuple[bool, bool, frozenset[int]]:
+        kinds = {k for _, k, _ in stack}
+        return "silent" in kinds, "body" in kinds, frozenset(i for _, k, i in stack if k == "aside")
 
     def close(name: str) -> None:
-        nonlocal place
+        nonlocal where
         for i in range(len(stack) - 1, -1, -1):
             if stack[i][0] == name:
                 del stack[i:]
-                place = now()
+                where = now()
                 return
 
     at = 0
     while True:
         match = _TAG.search(page, at)
-        if place != "silent":
-            words.append(page[at : match.start() if match else len(page)])
+        if not where[0]:
+            words.append((where[2], page[at : match.start() if match else len(page)]))
         if not match:
             break
         if match[0] == "<!--":
@@ -125,37 +145,40 @@ def blocks(page: str) -> list[tuple[str, str]]:
             close(name)
             continue
         if name == "br" or name == "wbr":
-            words.append(" " if name == "br" else "")
+            words.append((where[2], " " if name == "br" else ""))
             continue
         if name in BLOCK:
             flush()
             for open_name, ends in ENDS.items():
                 if name in ends:
                     _end_implied(stack, open_name)
-            place = now()
+            where = now()
         if name in VOID or attributes.endswith("/>") and name not in BLOCK:
             continue
         if name in RAW:
             end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
             at = end.end() if end else len(page)
             continue
-        in_body = any(k == "body" for _, k in stack)
-        kind = (
-            "silent" if name in SILENT else "aside" if _names_aside(name, attributes, in_body) else "body" if name in BODY or _is_main(attributes) else None
-        )
-        if kind and name not in BLOCK:
-            flush()
-        stack.append((name, kind))
-        place = now()
+        is_body = name in BODY or _is_main(attributes)
+        names_aside = _names_aside(name, attributes, where[1])
+        if is_body and names_aside and seen_body:
+            is_body = False  # a comment or an advert that is marked up as an article
+        if is_body and not seen_body and not where[0]:
+            holds_article.update(i for n, k, i in stack if k == "aside" and n not in ALWAYS_ASIDE)
+            seen_body = where[2] <= holds_article
+        kind = "silent" if name in SILENT else "body" if is_body else "aside" if names_aside else None
+        number += 1
+        stack.append((name, kind, number))
+        where = now()
     flush()
-    return out
+    return [("aside" if ids - holds_article else place, text) for place, ids, text in out]
 
 
 def _is_main(attributes: str) -> bool:
     return bool(re.search(r"""\brole\s*=\s*["']?(?:main|article)\b""", attributes, re.I))
 
 
-def _end_implied(stack: list[tuple[str, str | None]], open_name: str) -> None:
+def _end_implied(stack: list[tuple[str, str | None, int]], open_name: str) -> None:
     """End the nearest open element of ``open_name``, unless another block stands between."""
     for i in range(len(stack) - 1, -1, -1):
         if stack[i][0] == open_name:

@@ -13,8 +13,9 @@ confirmed on the full shingle sets; equal sets are one node throughout.
 Two documents of similarity s share no bucket with a chance of (1 - s**ROWS)**(BINS/ROWS), 4e-7 at 0.8.
 
 Nulls, empty texts and texts without words have no shingles and are linked with nothing. A null id takes no part and
-stays (component null, kept true). Repeated rows get the same component. Rows of one id with different texts are one
-node, compared by the smallest of them. Other columns of the input are not read. An empty table gives no rows.
+stays (component null, kept true). Nodes are sets, not ids: rows of one id with different texts are compared each by its own
+text and may be in different groups, and repeated rows get the same component. A group is named by the smallest id of its
+rows. Other columns of the input are not read. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ from seriesloom.llm.tables import stored
 
 ROWS = 8
 BINS = 640
+#: Shingles of more nodes than this are brought to the nodes, if there are no more of them than that (16 bytes each).
+HOT, MOST_HOT = 256, 500_000
 _ORDER: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -98,25 +101,26 @@ def _sets(texts: list[str | None], width: int):
             at += len(ws)
 
 
-_SKETCH = "doc_id long, n_shingles long, set_hash binary, bands array<long>"
+_SKETCH = "doc_id long, text_key long, n_shingles long, set_hash binary, bands array<long>"
 
 
 def _sketch(width: int, bins: int, rows: int) -> Callable:
     def run(batches):
         for batch in batches:
             sizes, hashes, bands = [], [], []
-            for s in _sets(batch.column(1).to_pylist(), width):
+            for s in _sets(batch.column(2).to_pylist(), width):
                 sizes.append(len(s))
                 hashes.append(blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 bands.append(band_keys(signature(s, bins), rows).view(np.int64) if len(s) else None)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
+                    batch.column(1),
                     pa.array(sizes, pa.int64()),
                     pa.array(hashes, pa.binary()),
                     pa.array(bands, pa.list_(pa.int64())),
                 ],
-                names=["doc_id", "n_shingles", "set_hash", "bands"],
+                names=["doc_id", "text_key", "n_shingles", "set_hash", "bands"],
             )
 
     return run
@@ -172,18 +176,22 @@ class _Search:
     def __init__(self, docs: DataFrame, sketch: DataFrame, width: int, percent: int) -> None:
         self.width, self.percent = width, percent
         nodes = sketch.where("doc_id IS NOT NULL AND set_hash IS NOT NULL")
-        self.sets = stored(nodes.groupBy("set_hash").agg(F.min("doc_id").alias("node")), "sets")
-        one = nodes.join(self.sets.withColumnRenamed("node", "doc_id"), ["set_hash", "doc_id"], "left_semi")
-        one = one.dropDuplicates(["set_hash", "doc_id"])
-        keys = one.select(F.explode("bands").alias("key"), F.col("doc_id").alias("node"), "n_shingles")
+        # one row stands for each set; the number it gets is written, so it stays the same
+        one = nodes.groupBy("set_hash").agg(F.min(F.struct("doc_id", "text_key")).alias("row"))
+        one = one.select("set_hash", "row.doc_id", "row.text_key", F.monotonically_increasing_id().alias("node"))
+        self.sets = stored(one, "sets")
+        row = ["set_hash", "doc_id", "text_key"]
+        one = nodes.join(self.sets, row).dropDuplicates(["set_hash"])
+        keys = one.select(F.explode("bands").alias("key"), "node", "n_shingles")
         shared = (
             keys.groupBy("key")
             .agg(F.min("node").alias("first"), F.max("node").alias("last"), F.count("*").alias("n"))
             .where("first != last")
         )
         self.members = stored(keys.join(shared.select("key"), "key"), "buckets")
-        ids = self.members.select(F.col("node").alias("doc_id")).distinct()
-        self.texts = stored(docs.join(ids, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")), "texts")
+        named = self.sets.join(self.members.select("node").distinct(), "node").select("node", "doc_id", "text_key")
+        rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).join(named, ["doc_id", "text_key"])
+        self.texts = stored(rows.groupBy("node").agg(F.min("text").alias("text")), "texts")
         self.links: DataFrame | None = None
         self.labels: DataFrame | None = None
 
@@ -200,8 +208,8 @@ class _Search:
 
     def confirm(self, pairs: DataFrame) -> None:
         """Compare the sets of ``pairs`` (a, b) and bring labels up to date."""
-        a = self.texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-        b = self.texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
+        a = self.texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
+        b = self.texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
         full = pairs.join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b").sortWithinPartitions("a")
         found = stored(full.mapInArrow(_verify(self.width, self.percent), "a long, b long"), "links")
         self.links = found if self.links is None else self.links.unionByName(found)
@@ -238,8 +246,7 @@ class _Search:
         commonest component only, as the others are connected already.
         """
         at = self.labelled().select("node", "label").distinct()
-        text = self.texts.select(F.col("doc_id").alias("node"), "text")
-        rows = at.join(text, "node").mapInArrow(_tokens(self.width), "node long, label long, n int, tokens array<long>")
+        rows = at.join(self.texts, "node").mapInArrow(_tokens(self.width), "node long, label long, n int, tokens array<long>")
         sets = stored(rows, "tokens")
         token = sets.select("node", "label", "n", F.explode("tokens").alias("token"))
         spread = token.groupBy("token").agg(
@@ -247,7 +254,7 @@ class _Search:
         )
         by_rarity = Window.partitionBy("node").orderBy("df", "token")
         prefix = (
-            token.join(spread, "token")
+            _with_counts(token, stored(spread, "token-counts"))
             .withColumn("rank", F.row_number().over(by_rarity))
             .where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * self.percent / 100) + 1)
             .where("lo != hi")
@@ -282,31 +289,39 @@ class _Search:
         self.confirm(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
 
 
+def _with_counts(token: DataFrame, counts: DataFrame) -> DataFrame:
+    """``token`` with the counts of each token. A token of many nodes is brought to them; the rest meet by token, a few each."""
+    hot = counts.where(F.col("df") > HOT)
+    if hot.count() > MOST_HOT:
+        return token.join(counts, "token")
+    hot = F.broadcast(hot)
+    cold = token.join(hot.select("token"), "token", "left_anti").join(counts.where(F.col("df") <= HOT), "token")
+    return cold.unionByName(token.join(hot, "token"))
+
+
 def near_components(
     docs: DataFrame, width: int = 2, percent: int = 80, bins: int = BINS, rows: int = ROWS
 ) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` for every row of ``docs`` (``doc_id`` long, ``text`` string).
+    """``doc_id, n_shingles, component_id, kept, text_key, group`` for every row of ``docs`` (``doc_id`` long, ``text`` string).
 
     Documents are linked when 100 * intersection >= ``percent`` * union of their sets of ``width``-word shingles.
-    ``component_id`` is the smallest id reachable by links, ``kept`` is ``doc_id = component_id``.
+    ``component_id`` is the smallest id reachable by links, ``kept`` is ``doc_id = component_id``. ``text_key`` is the hash of
+    the text, ``group`` a number of the rows' group (null without words), which tells apart groups of one name.
     """
-    base = docs.select("doc_id", "text")
+    base = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
     sketch = stored(base.mapInArrow(_sketch(width, bins, rows), _SKETCH), "sketch")
     search = _Search(base, sketch, width, percent)
     search.star(0)
     if search.star(1):
         search.rest()
-    labels = search.labels.withColumnRenamed("node", "_node").withColumnRenamed("component", "_component")
-    named = search.sets.join(labels, search.sets["node"] == F.col("_node"), "left").select(
-        "set_hash", F.coalesce("_component", "node").alias("_component")
-    )
+    labels = search.labels.withColumnRenamed("component", "group")
+    named = search.sets.join(labels, "node", "left").withColumn("group", F.coalesce("group", "node"))
+    least = named.groupBy("group").agg(F.min("doc_id").alias("_component"))
+    named = named.join(least, "group").select("set_hash", "group", "_component")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("_component", "doc_id"))
     return (
         sketch.drop("bands")
         .join(named, "set_hash", "left")
-        .select(
-            "doc_id",
-            "n_shingles",
-            F.when(F.col("doc_id").isNotNull(), F.coalesce("_component", "doc_id")).alias("component_id"),
-        )
+        .select("doc_id", "n_shingles", component.alias("component_id"), "text_key", "group")
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seriesloom.llm import chat, fill_in_middle, html_text, language, packing, pii, quality_classifier, warc
@@ -13,6 +13,7 @@ from seriesloom.llm.lexical_search import search
 from seriesloom.llm.near_dedup import near_components
 from seriesloom.llm.neighbours import nearest
 from seriesloom.llm.quality_rules import STOP_WORDS, quality
+from seriesloom.llm.tables import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -72,7 +73,8 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op3_minhash_near_dedup")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_components(table(spark, sf_dir, "documents"))
+    found = near_components(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
 @query("op2_language_id")
@@ -170,15 +172,15 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
         F.lit(said).alias("text"),
     )
-    events = rows.unionByName(own).select(
-        "conv_id", F.col("turn").alias("seq"), F.lit("message").alias("kind"), F.lit(None).alias("target"), "role", "text"
-    )
+    events = chat.streamed(rows.unionByName(own))
     chats = chat.format_chats(events)
     turns, loss = F.col("turns"), F.array_join("loss", "")
     text = F.array_join(F.transform(turns, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    chats = stored(chats, "chats")
+    loss_of = chat.under_mask(chats).withColumnRenamed("conv_id", "_conv")
     return (
         chats.withColumn("turns", chat.read_back(F.col("formatted")))
-        .withColumn("loss", chat.under_mask(F.col("formatted"), F.col("loss_spans")))
+        .join(loss_of, F.col("conv_id").eqNullSafe(F.col("_conv")))
         .select(
             "conv_id",
             F.size("turns").cast("long").alias("n_turns"),
@@ -193,8 +195,9 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_quality_classifier")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = quality_classifier.fit(docs, table(spark, sf_dir, "labels"))
-    return quality_classifier.score(docs, model).withColumn("kept", F.col("score") >= 0.5)
+    model = quality_classifier.fit(docs, table(spark, sf_dir, "labels"), ("quality", "toxic"))
+    scored = quality_classifier.score(docs, model)
+    return scored.withColumn("kept", (F.col("score") >= 0.5) & (F.col("score_toxic") < 0.5))
 
 
 @query("op8_html_extraction")
@@ -209,93 +212,39 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP10_SQL = r"""
-SELECT page_id, CASE WHEN page_id % 97 = 5 THEN 'missing' WHEN page_id % 89 = 3 THEN 'changed' END AS status
-FROM pages WHERE page_id % 97 = 5 OR page_id % 89 = 3
+WITH p AS (SELECT page_id, page_id % 97 = 5 AS lost, page_id % 83 = 7 AS moved, page_id % 89 = 3 AS rotten, page_id % 101 = 9 AS doubled FROM pages)
+SELECT page_id, 'missing' AS status FROM p WHERE lost OR moved
+UNION ALL SELECT page_id, 'changed' FROM p WHERE rotten AND NOT lost AND NOT moved
+UNION ALL SELECT page_id, 'extra' FROM p WHERE (moved OR doubled) AND NOT lost
 """
 
 
 @query("op10_warc_fixity", OP10_SQL)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pages as WARC files of about 16 MB, and a replica in which some records were lost and some have rotted."""
+    """The pages as WARC files of about 16 MB, and a replica in which some records were lost, some have rotted, some were
+    moved to the end of their file and some written there once more.
+    """
     pages = table(spark, sf_dir, "pages").select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
     records = pages.select("page_id", warc.response_record(F.col("page_id"), F.col("url"), F.col("html")).alias("record"))
     size = records.agg(F.sum(F.octet_length("record").cast("long"))).first()[0] or 0
     primary = warc.stored(warc.placed(records, ["page_id"], max(1, size >> 24)), "warc")
-    rotten = F.when(F.col("page_id") % 89 == 3, F.concat(F.substring("record", 1, 40), F.lit("?"), F.expr("substring(record, 42)")))
-    replica = primary.where("NOT coalesce(page_id % 97 = 5, false)").withColumn("record", F.coalesce(rotten, "record"))
-    found = warc.audit(primary, replica)
-    return found.join(primary.select("file", "offset", "page_id"), ["file", "offset"]).select("page_id", "status")
-
-
-OP11_SQL = r"""
-WITH d AS (
-    SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS units,
-           sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
-r AS (
-    SELECT *, len(units) AS n, ('0x' || substr(h, 1, 8))::BIGINT % (len(units) + 1) AS a,
-           ('0x' || substr(h, 9, 8))::BIGINT % (len(units) + 1) AS b FROM d),
-cut AS (
-    SELECT *, CASE WHEN text = '' OR regexp_matches(text, '<P>|<S>|<M>') OR ('0x' || substr(h, 17, 8))::BIGINT % 100 >= 90
-                   THEN 'plain' WHEN ('0x' || substr(h, 25, 8))::BIGINT % 100 < 20 THEN 'spm' ELSE 'psm' END AS form,
-           array_to_string(units[1 : least(a, b)], '') AS prefix,
-           array_to_string(units[least(a, b) + 1 : greatest(a, b)], '') AS middle,
-           array_to_string(units[greatest(a, b) + 1 :], '') AS suffix FROM r)
-SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(prefix) END::BIGINT AS prefix_chars,
-       CASE WHEN form <> 'plain' THEN length(middle) END::BIGINT AS middle_chars,
-       sha256(CASE form WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
-                        WHEN 'spm' THEN '<S>' || suffix || '<P>' || prefix || '<M>' || middle ELSE text END) AS output_sha256,
-       sha256(text) AS restored_sha256 FROM cut
-"""
-
-
-@query("op11_fill_in_middle", OP11_SQL)
-def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = fill_in_middle.fill_in_middle(table(spark, sf_dir, "documents"))
-    text = fill_in_middle.restored(F.col("output"), F.col("form"))
-    return made.select(
-        "doc_id",
-        "n",
-        "form",
-        "prefix_chars",
-        "middle_chars",
-        F.sha2("output", 256).alias("output_sha256"),
-        F.sha2(text, 256).alias("restored_sha256"),
-    )
 
-
-@query("op12_nearest_neighbours")
-def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
-    return found.withColumnRenamed("id", "vec_id")
-
-
-OP13_SQL = r"""
-WITH d AS (
-    SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
-           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda w: w <> '') AS w
-    FROM documents),
-b AS (
-    SELECT row_number() OVER () AS item, item_id, unnest(list_distinct(list_filter(regexp_split_to_array(translate(coalesce(text, ''),
-           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda w: w <> ''))) AS term
-    FROM benchmark),
-size AS (SELECT r, doc_id, len(w) AS n FROM d WHERE len(w) > 0),
-total AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM size),
-tf AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM d) GROUP BY r, term),
-weight AS (
-    SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w
-    FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), total),
-part AS (
-    SELECT r, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // terms))) AS part
-    FROM tf JOIN size USING (r) JOIN weight USING (term), total),
-score AS (SELECT item, item_id, doc_id, sum(part)::BIGINT AS score FROM part JOIN b USING (term) GROUP BY item, item_id, r, doc_id),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM score WHERE score > 0)
-SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM ranked WHERE rank <= 10
-"""
-
-
-@query("op13_lexical_search", OP13_SQL)
-def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    def every(n: int, rest: int) -> Column:
+        return F.coalesce(F.col("page_id") % n == rest, F.lit(False))
+
+    rotten = F.when(every(89, 3), F.concat(F.substring("record", 1, 40), F.lit("?"), F.expr("substring(record, 42)")))
+    there = primary.where(~every(97, 5))
+    in_place = there.where(~every(83, 7)).withColumn("record", F.coalesce(rotten, "record"))
+    ends = primary.groupBy("file").agg(F.max(F.col("offset") + F.col("length")).alias("end"))
+    late = there.where(every(83, 7) | every(101, 9))
+    before = Window.partitionBy("file").orderBy("offset").rowsBetween(Window.unboundedPreceding, -1)
+    late = late.withColumn("before", F.coalesce(F.sum("length").over(before), F.lit(0))).join(ends, "file")
+    late = late.withColumn("offset", F.col("end") + F.col("before")).select(*primary.columns)
+    replica = warc.stored(in_place.unionByName(late), "warc-replica")
+    found = warc.audit(primary, replica)
+    place = ["file", "offset"]
+    names = primary.select(*place, "page_id").unionByName(replica.select(*place, "page_id")).distinct()
+    return found.join(names, place).select("page_id", "status")
 
 
 def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
