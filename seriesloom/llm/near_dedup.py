@@ -176,12 +176,11 @@ class _Search:
     def __init__(self, docs: DataFrame, sketch: DataFrame, width: int, percent: int) -> None:
         self.width, self.percent = width, percent
         nodes = sketch.where("doc_id IS NOT NULL AND set_hash IS NOT NULL")
-        # one row stands for each set; the number it gets is written, so it stays the same
-        one = nodes.groupBy("set_hash").agg(F.min(F.struct("doc_id", "text_key")).alias("row"))
-        one = one.select("set_hash", "row.doc_id", "row.text_key", F.monotonically_increasing_id().alias("node"))
+        # one row stands for each set; the numbers are written, so they stay the same
+        one = nodes.groupBy("set_hash").agg(F.min(F.struct("doc_id", "text_key", "row")).alias("first"))
+        one = one.select("set_hash", "first.*", F.monotonically_increasing_id().alias("node"))
         self.sets = stored(one, "sets")
-        row = ["set_hash", "doc_id", "text_key"]
-        one = nodes.join(self.sets, row).dropDuplicates(["set_hash"])
+        one = nodes.select("row", "bands", "n_shingles").join(self.sets.select("row", "node"), "row")
         keys = one.select(F.explode("bands").alias("key"), "node", "n_shingles")
         shared = (
             keys.groupBy("key")
@@ -262,13 +261,13 @@ class _Search:
         )
         prefix = stored(prefix, "prefix")
         common = prefix.groupBy("token", "label").count().groupBy("token").agg(
-            F.max(F.struct("count", "label")).alias("top")
+            F.max(F.struct("count", "label")).alias("top"), F.sum("count").alias("df")
         )
         # what two sets can share from this shingle on must be enough; so a rank leaves only some sizes for the other set
         p = self.percent
         most = F.floor((F.col("nx") - F.col("rx") + 1) * (100 + p) / p).cast("int") - F.col("nx")
         x = (
-            prefix.join(common, "token")
+            _with_counts(prefix, stored(common, "commonest"))
             .where("label != top.label")
             .select("token", F.col("node").alias("x"), F.col("label").alias("lx"), F.col("n").alias("nx"), F.col("rank").alias("rx"))
             .withColumn("most", most)
@@ -309,7 +308,8 @@ def near_components(
     the text, ``group`` a number of the rows' group (null without words), which tells apart groups of one name.
     """
     base = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
-    sketch = stored(base.mapInArrow(_sketch(width, bins, rows), _SKETCH), "sketch")
+    sketch = base.mapInArrow(_sketch(width, bins, rows), _SKETCH)
+    sketch = stored(sketch.withColumn("row", F.monotonically_increasing_id()), "sketch")
     search = _Search(base, sketch, width, percent)
     search.star(0)
     if search.star(1):

@@ -267,52 +267,60 @@ def _rows(column: list[bytes], width: int) -> np.ndarray:
 
 
 def _confident(weights: dict[str, list[np.ndarray]], wanted: dict[str, tuple[int, int]], views: Views) -> Callable:
-    """Numbers of unlabelled rows to each task's most confident ones: (head, view, label, sure, x), equal rows once."""
+    """(x, key) of unlabelled rows to the keys of each task's most confident ones: (head, view, label, sure, key), each key once."""
 
     def run(batches):
-        best: dict[tuple[str, int, int], dict[bytes, float]] = {}
+        best: dict[tuple[str, int, int], dict[int, float]] = {}
         for batch in batches:
-            column = batch.column(0).to_pylist()
-            if not column:
+            key = batch.column(1).to_pylist()
+            if not key:
                 continue
-            x = _rows(column, views.width)
+            x = _rows(batch.column(0).to_pylist(), views.width)
             for head, both in weights.items():
                 for view, (cols, w) in enumerate(zip(views.columns, both, strict=True)):
                     logit = _logit(x[:, cols], w)
                     for label, sign in ((0, -1), (1, 1)):
                         sure, n = sign * logit, wanted[head][label]
                         top = best.setdefault((head, view, label), {})
-                        at = np.argpartition(-sure, n)[:n] if len(sure) > n else np.arange(len(sure))
-                        top.update({column[i]: float(sure[i]) for i in at if sure[i] > 2})
+                        for i in np.argsort(-sure, kind="stable"):
+                            if sure[i] <= 2 or len(top) >= 2 * n:
+                                break
+                            top[key[i]] = float(sure[i])
                         if len(top) > n:
                             order = sorted(top.items(), key=lambda kv: (-kv[1], kv[0]))
                             best[head, view, label] = dict(order[:n])
         flat = [(h, v, c, s, k) for (h, v, c), top in best.items() for k, s in top.items()]
-        for at in range(0, len(flat), 2048):
-            cols = zip(*flat[at : at + 2048], strict=True)
-            kinds = (pa.string(), pa.int32(), pa.int32(), pa.float64(), pa.binary())
+        for at in range(0, len(flat), 8192):
+            cols = zip(*flat[at : at + 8192], strict=True)
+            kinds = (pa.string(), pa.int32(), pa.int32(), pa.float64(), pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["head", "view", "label", "sure", "x"]
+                [pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["head", "view", "label", "sure", "key"]
             )
 
     return run
 
 
 def _handed_over(free: DataFrame, weights: dict, trainers: dict[str, Trainer], n: int, views: Views) -> dict:
-    """For each head and view the ``n`` rows of all of ``free`` of which it is surest, in the proportions of the labels."""
+    """For each head and view the ``n`` rows of all of ``free`` (x, key: its hash) of which it is surest, in the proportions
+    of the labels. Keys are sorted out first; only the rows chosen in the end are fetched.
+    """
     wanted = {h: (max(1, round(n * (1 - t.share))), max(1, round(n * t.share))) for h, t in trainers.items() if h in weights}
-    found = free.mapInArrow(_confident(weights, wanted, views), "head string, view int, label int, sure double, x binary")
+    schema = "head string, view int, label int, sure double, key long"
+    found = free.select("x", "key").mapInArrow(_confident(weights, wanted, views), schema)
     limit = F.lit(0)
     for h, (low, high) in wanted.items():
         limit = F.when(F.col("head") == h, F.when(F.col("label") == 0, low).otherwise(high)).otherwise(limit)
-    for keys in (("head", "view", "label", "part"), ("head", "view", "label")):
-        order = Window.partitionBy(*keys).orderBy(F.desc("sure"), "x")
-        part = F.pmod(F.xxhash64("x"), F.lit(PARTS))  # equal rows share a part
-        found = found.withColumn("part", part).dropDuplicates([*keys[:3], "part", "sure", "x"])
+    slot = ["head", "view", "label"]
+    found = found.dropDuplicates([*slot, "key"]).withColumn("part", F.pmod(F.xxhash64("key"), F.lit(PARTS)))
+    for keys in ([*slot, "part"], slot):
+        order = Window.partitionBy(*keys).orderBy(F.desc("sure"), "key")
         found = found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit).drop("place")
+    chosen = stored(found.drop("part"), "confident")  # n rows for each head and view
+    some = free.join(F.broadcast(chosen.select("key").distinct()), "key").groupBy("key").agg(F.first("x").alias("x"))
+    x_of = {r["key"]: bytes(r["x"]) for r in some.collect()}
     out: dict[tuple[str, int], list] = {}
-    for r in sorted(found.collect(), key=lambda r: (r["label"], -r["sure"], bytes(r["x"]))):  # n for each head and view
-        out.setdefault((r["head"], r["view"]), []).append((bytes(r["x"]), r["label"]))
+    for r in sorted(chosen.collect(), key=lambda r: (r["label"], -r["sure"], r["key"])):
+        out.setdefault((r["head"], r["view"]), []).append((x_of[r["key"]], r["label"]))
     return out
 
 
@@ -348,7 +356,8 @@ def fit(
     weights = {h: trainers[h].weights([nothing, nothing]) for h in live}
     if live:
         free = docs.select("doc_id", *_COLUMNS).join(known.select("doc_id"), "doc_id", "left_anti")
-        free = stored(free.select(*_COLUMNS).mapInArrow(_features(views, 0), "x binary"), "unlabelled")
+        free = free.select(*_COLUMNS).mapInArrow(_features(views, 0), "x binary")
+        free = stored(free.withColumn("key", F.xxhash64("x")), "unlabelled")
         for r in range(1, ROUNDS + 1):
             found = _handed_over(free, weights, trainers, confident * r, views)
             for h in live:

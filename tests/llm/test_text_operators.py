@@ -431,7 +431,7 @@ def test_the_surest_rows_of_all_are_handed_over(spark):
     x = rng.normal(size=(500, views.width)).astype(np.float16)
     weights = [0.3 * rng.normal(size=n + 1) for n in (views.text, quality_classifier.META)]
     rows = [(r.tobytes(),) for r in x] + [(x[0].tobytes(),)] * 200
-    free = spark.createDataFrame(rows, "x binary").repartition(7)
+    free = spark.createDataFrame(rows, "x binary").repartition(7).withColumn("key", F.xxhash64("x"))
     trainer = quality_classifier.Trainer(x[:40].astype(np.float32), np.r_[np.ones(30), np.zeros(10)], views.columns)
     got = quality_classifier._handed_over(free, {"h": weights}, {"h": trainer}, 40, views)
     for view, cols in enumerate(views.columns):
