@@ -40,6 +40,8 @@ TELLING, LEAST, SURE = 128, 5, 5.0
 WORDS, SHAPES = 256, 10
 META = 96
 L2 = 1e-2
+#: Ids of labelled documents up to this number are sent to all tasks; beyond, Spark joins them.
+BROADCAST_IDS = 4_000_000
 #: Results of tasks are first reduced in so many parts.
 PARTS = 32
 
@@ -355,7 +357,10 @@ def fit(
     live = [h for h in heads if not trainers[h].constant]
     weights = {h: trainers[h].weights([nothing, nothing]) for h in live}
     if live:
-        free = docs.select("doc_id", *_COLUMNS).join(known.select("doc_id"), "doc_id", "left_anti")
+        taken = known.select("doc_id").distinct()
+        if taken.count() <= BROADCAST_IDS:
+            taken = F.broadcast(taken)  # else every text would be shuffled for it
+        free = docs.select("doc_id", *_COLUMNS).join(taken, "doc_id", "left_anti")
         free = free.select(*_COLUMNS).mapInArrow(_features(views, 0), "x binary")
         free = stored(free.withColumn("key", F.xxhash64("x")), "unlabelled")
         for r in range(1, ROUNDS + 1):
