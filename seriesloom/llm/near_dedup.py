@@ -288,14 +288,16 @@ class _Search:
         self.confirm(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
 
 
-def _with_counts(token: DataFrame, counts: DataFrame) -> DataFrame:
-    """``token`` with the counts of each token. A token of many nodes is brought to them; the rest meet by token, a few each."""
+def _with_counts(rows: DataFrame, counts: DataFrame, key: str = "token") -> DataFrame:
+    """``rows`` with the counts (a row for each ``key``, ``df`` of how many rows) of their key. A key of many rows is brought
+    to them; the rest meet by key, a few each.
+    """
     hot = counts.where(F.col("df") > HOT)
     if hot.count() > MOST_HOT:
-        return token.join(counts, "token")
+        return rows.join(counts, key)
     hot = F.broadcast(hot)
-    cold = token.join(hot.select("token"), "token", "left_anti").join(counts.where(F.col("df") <= HOT), "token")
-    return cold.unionByName(token.join(hot, "token"))
+    cold = rows.join(hot.select(key), key, "left_anti").join(counts.where(F.col("df") <= HOT), key)
+    return cold.unionByName(rows.join(hot, key))
 
 
 def near_components(
@@ -315,9 +317,12 @@ def near_components(
     if search.star(1):
         search.rest()
     labels = search.labels.withColumnRenamed("component", "group")
-    named = search.sets.join(labels, "node", "left").withColumn("group", F.coalesce("group", "node"))
-    least = named.groupBy("group").agg(F.min("doc_id").alias("_component"))
-    named = named.join(least, "group").select("set_hash", "group", "_component")
+    linked = search.sets.join(labels, "node").select("set_hash", "group", "doc_id")
+    least = stored(linked.groupBy("group").agg(F.min("doc_id").alias("_component"), F.count("*").alias("df")), "groups")
+    linked = _with_counts(linked.drop("doc_id"), least, "group").drop("df")
+    alone = search.sets.join(labels, "node", "left_anti")
+    alone = alone.select("set_hash", F.col("node").alias("group"), F.col("doc_id").alias("_component"))
+    named = linked.select("set_hash", "group", "_component").unionByName(alone)
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("_component", "doc_id"))
     return (
         sketch.drop("bands")
