@@ -191,7 +191,6 @@ class _Search:
         named = self.sets.join(self.members.select("node").distinct(), "node").select("node", "doc_id", "text_key")
         rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).join(named, ["doc_id", "text_key"])
         self.texts = stored(rows.groupBy("node").agg(F.min("text").alias("text")), "texts")
-        self.links: DataFrame | None = None
         self.labels: DataFrame | None = None
 
     def labelled(self) -> DataFrame:
@@ -211,8 +210,12 @@ class _Search:
         b = self.texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
         full = pairs.join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b").sortWithinPartitions("a")
         found = stored(full.mapInArrow(_verify(self.width, self.percent), "a long, b long"), "links")
-        self.links = found if self.links is None else self.links.unionByName(found)
-        self.labels = stored(components(self.links), "labels")
+        if self.labels is not None:  # what is connected already is one edge for each node
+            if found.isEmpty():
+                return
+            known = self.labels.where("node != component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+            found = known.unionByName(found)
+        self.labels = stored(components(found), "labels")
 
     def sized(self, x: str, y: str):
         """Sets whose sizes differ too much cannot be similar."""

@@ -336,8 +336,9 @@ def fit(docs: DataFrame, text: str = "text", rounds: int = 24, rate: float = 0.3
     A kind with fewer than ``least`` held-out candidates above every threshold gets no additions.
     """
     held = F.pmod(F.crc32(F.coalesce(F.col(text), F.lit(""))), F.lit(4)) == 0
-    rows = _proposed(docs.select(text), text).select(held.alias("held"), F.explode("pii.more").alias("c"))
-    c = F.col("c")
+    # outer, as Spark would else filter by the size of the array first and find all candidates once more for that
+    rows = _proposed(docs.select(text), text).select(held.alias("held"), F.explode_outer("pii.more").alias("c"))
+    rows, c = rows.where("c IS NOT NULL"), F.col("c")
     own = rows.groupBy("held", phone_shape(c).alias("shape"), *[F.col(f"c.f.{f}").alias(f) for f in RANGES]).agg(
         F.sum(c["same"].cast("long")).alias("base"),
         F.sum((~c["any"] & evidence(c)).cast("long")).alias("evident"),

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from seriesloom.llm import chat, html_text, language, near_dedup, packing, pii, quality_classifier, warc
+from seriesloom.llm import components as components_module
 from seriesloom.llm.components import components
 from seriesloom.llm.decontaminate import contamination
 from seriesloom.llm.near_dedup import near_components
@@ -135,6 +136,22 @@ def test_near_components_of_a_drifting_group(spark):
     assert got == {i: c for (i, _), (_, c) in zip(rows, brute_components(rows, 2, 80), strict=True)}
 
 
+def test_plans_of_components_stay_small(spark, monkeypatch):
+    """Each star reads its edges a few times; a plan of two stars in one read them 24 times, which fills a driver."""
+    reads = []
+
+    def counted(frame, purpose):
+        plan = frame._jdf.queryExecution().optimizedPlan().toString()
+        reads.append(sum("Relation [" in line for line in plan.splitlines()))
+        return stored(frame, purpose)
+
+    monkeypatch.setattr(components_module, "stored", counted)
+    edges = spark.createDataFrame([(5, 3), (3, 4), (4, 9), (7, 8), (8, 7), (6, 6), (9, 1)], "a long, b long")
+    got = {tuple(r) for r in components(edges).collect()}
+    assert got == {(1, 1), (3, 1), (4, 1), (5, 1), (9, 1), (7, 7), (8, 7)}
+    assert 1 <= max(reads) <= 4
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(70)] + [(100, 101), (101, 100), (7, 7)], "a long, b long")
     got = {r["node"]: r["component"] for r in components(edges).collect()}
@@ -244,6 +261,19 @@ def test_pii_model_and_redaction(spark):
     assert all(np.isfinite(s) for s in scores)
 
 
+def test_pii_candidates_are_found_once(spark, monkeypatch):
+    plans = []
+
+    def seen(frame, purpose):
+        plans.append(frame._jdf.queryExecution().optimizedPlan().toString())
+        return stored(frame, purpose)
+
+    monkeypatch.setattr(pii, "stored", seen)
+    pii.fit(docs_of(spark, [(1, "ask a@b.org or 10.0.0.1"), (2, ""), (3, None)]))
+    assert any("regexp_extract_all" in p for p in plans)
+    assert not any("Filter" in line and "regexp_extract_all" in line for p in plans for line in p.splitlines())
+
+
 @pytest.mark.parametrize("missed", [100, 800])
 def test_pii_finds_what_the_base_rules_often_miss(spark, missed):
     good = [f"write to +1 (319) 555-{n:04d} today" for n in range(400)]
