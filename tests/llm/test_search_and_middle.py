@@ -16,6 +16,7 @@ from seriesloom.llm import lexical_search, neighbours
 from seriesloom.llm.fill_in_middle import SkipList, fill_in_middle, restored, unit_starts
 from seriesloom.llm.lexical_search import mine, search
 from seriesloom.llm.neighbours import nearest
+from seriesloom.llm.queries import QUERIES
 
 UNITS = re.compile(r"[A-Za-z]+|[^A-Za-z]", re.S)
 
@@ -224,3 +225,21 @@ def test_graph_sums_are_shared():
     assert (graph.scores(parts) == np.stack([parts[i].sum(axis=0) for i in items])).all()
     sums = graph.size - len(graph.groups) + sum(len(i) - 1 for i in graph.items) + sum(len(g) - 1 for g in graph.groups)
     assert graph.levels and sums < 0.6 * sum(len(i) - 1 for i in items)
+
+
+# -- the registered queries --------------------------------------------------------------------------------------------
+COLUMNS = {
+    "op12_nearest_neighbours": "query_id long, rank int, vec_id long, score double",
+}
+
+
+@pytest.mark.parametrize("name", list(COLUMNS))
+def test_query_is_registered(spark, tmp_path, name):
+    text = "Some words of a text, and more of them."
+    spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, text)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    vectors = spark.createDataFrame([(0, [1.0, 2.0]), (3, [2.0, 1.0])], "vec_id long, embedding array<float>")
+    vectors.write.parquet(f"{tmp_path}/embeddings.parquet")
+    found = QUERIES[name](spark, str(tmp_path))
+    assert found.dtypes == spark.createDataFrame([], COLUMNS[name]).dtypes
+    assert found.count() > 0
