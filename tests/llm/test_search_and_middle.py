@@ -230,6 +230,7 @@ def test_graph_sums_are_shared():
 # -- the registered queries --------------------------------------------------------------------------------------------
 COLUMNS = {
     "op12_nearest_neighbours": "query_id long, rank int, vec_id long, score double",
+    "op13_lexical_search": "item_id long, rank int, doc_id long, score long",
 }
 
 
