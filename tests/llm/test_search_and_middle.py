@@ -229,6 +229,7 @@ def test_graph_sums_are_shared():
 
 # -- the registered queries --------------------------------------------------------------------------------------------
 COLUMNS = {
+    "op11_fill_in_middle": "doc_id long, n long, form string, prefix_chars long, middle_chars long, output_sha256 string, restored_sha256 string",
     "op12_nearest_neighbours": "query_id long, rank int, vec_id long, score double",
     "op13_lexical_search": "item_id long, rank int, doc_id long, score long",
 }
