@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -84,9 +86,10 @@ def choose_run(ledger: DataFrame, redo_active: bool = True, redo_failed: bool =
     return row["run_id"]
 
 
-def mark_run(ledger: DataFrame, run_id: str, status: str, now: Column | None = None) -> DataFrame:
-    """The ledger with a new state for the files of a run; success also sets the time of completion."""
-    changed = ledger.where(F.col("run_id") == run_id).withColumn("status", F.lit(status))
+def mark_run(ledger: DataFrame, run_id: str | Sequence[str], status: str, now: Column | None = None) -> DataFrame:
+    """The ledger with a new state for the files of a run, or of several; success also sets the time of completion."""
+    runs = [run_id] if isinstance(run_id, str) else list(run_id)
+    changed = ledger.where(F.col("run_id").isin(runs)).withColumn("status", F.lit(status))
     update = ["status"]
     if status == SUCCEEDED:
         changed = changed.withColumn("_processing_done_ts", F.current_timestamp() if now is None else now)
