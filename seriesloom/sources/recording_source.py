@@ -2,8 +2,8 @@
 
 A task is a piece of one channel. The driver sees the names of the task table's files and nothing of its rows. A partition
 reads its tasks, opens each recording once for the pieces of it that follow one another, and gives one row per block of
-samples: what is constant for the piece once, times and values as arrays. Spark takes the blocks apart, so names and tags are
-not sent for every sample, and columns that nobody asks for are never copied.
+samples: what is constant for the piece once, times and values as arrays. Small blocks are sent together. Spark takes the
+blocks apart, so names and tags are not sent for every sample, and columns that nobody asks for are never copied.
 
 A condition on the recording, file or channel reaches the tasks where ``spark.sql.python.filterPushdown.enabled`` is set:
 pieces that it rules out are not read.
@@ -42,7 +42,7 @@ CONSTANT = {
 }
 _SQL = {pa.int64(): "bigint", pa.int32(): "int", pa.string(): "string"}
 _BLOCKS = ", ".join(f"{c} {_SQL[t]}" for c, t in CONSTANT.items()) + ", times array<bigint>, values array<double>"
-#: Samples of a block.
+#: Samples of a block; a batch of blocks holds less than twice as many.
 BLOCK = 1 << 14
 ORDER = ("filename", "group_idx", "channel_idx", "first_sample")
 
@@ -71,6 +71,14 @@ def numbers(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray] | None:
     return part["time"].to_numpy().astype(np.int64), value
 
 
+def _blocks(held: list[tuple]) -> pa.RecordBatch:
+    """Blocks (task, times, values) as rows."""
+    constant = [pa.array([getattr(task, c) for task, _, _ in held], t) for c, t in CONSTANT.items()]
+    edges = pa.array(np.cumsum([0, *(len(time) for _, time, _ in held)], dtype=np.int32))
+    arrays = [pa.ListArray.from_arrays(edges, pa.array(np.concatenate([row[i] for row in held]))) for i in (1, 2)]
+    return pa.RecordBatch.from_arrays([*constant, *arrays], names=[*CONSTANT, "times", "values"])
+
+
 class RecordingReader(DataSourceReader):
     def __init__(self, decode: Decoder, files: list[str]) -> None:
         self.decode = decode
@@ -84,16 +92,22 @@ class RecordingReader(DataSourceReader):
         tasks = _tasks_of(partition.path)
         for column, values in self.wanted:
             tasks = tasks[tasks[column].isin(values)]
+        held: list[tuple] = []
+        samples = 0
         for task in tasks.itertuples(index=False):
             part = self.decode(task.filename, task.group_idx, task.channel_idx, task.first_sample, task.n_samples)
             found = numbers(part) if len(part) else None
             if found is None:
                 continue
             time, value = found
-            edges = np.r_[np.arange(0, len(time), BLOCK), len(time)].astype(np.int32)
-            constant = [pa.array([getattr(task, c)] * (len(edges) - 1), t) for c, t in CONSTANT.items()]
-            arrays = [pa.ListArray.from_arrays(pa.array(edges), pa.array(x)) for x in (time, value)]
-            yield pa.RecordBatch.from_arrays([*constant, *arrays], names=[*CONSTANT, "times", "values"])
+            for at in range(0, len(time), BLOCK):
+                held.append((task, time[at : at + BLOCK], value[at : at + BLOCK]))
+                samples += len(held[-1][1])
+                if samples >= BLOCK:
+                    yield _blocks(held)
+                    held, samples = [], 0
+        if held:
+            yield _blocks(held)
 
 
 class FilteringReader(RecordingReader):

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from seriesloom.plans import ingest
 from seriesloom.plans.ingest import TABLES, IngestJob
+from seriesloom.sources.recording_source import CONSTANT, RecordingReader, TaskFile
 
 
 def decoders():
@@ -110,3 +111,15 @@ def test_a_failing_run_of_a_group_fails_by_itself(spark, tmp_path):
     assert len(os.listdir(f"{bad.root}/bronze")) - os.listdir(f"{bad.root}/bronze").count("_SUCCESS") - os.listdir(f"{bad.root}/bronze").count("._SUCCESS.crc") == 3
     job = IngestJob(spark, bad.root, names, read, 1000, max_files=1, pattern="*.csv")
     assert len(job.run(str(tmp_path / "files"))) == 3 and job.table("bronze").count() == 24
+
+
+def test_small_pieces_are_sent_together(tmp_path):
+    def decode(path, group, channel, first, n):
+        return pd.DataFrame({"time": range(first, first + n), "value": [float(channel)] * n})
+
+    rows = [{**{c: "x" for c in CONSTANT}, "container_id": 1, "channel_id": i + 1, "group_idx": 0, "channel_idx": i} for i in range(50)]
+    pd.DataFrame([{**r, "first_sample": 0, "n_samples": 3 if r["channel_idx"] else 40_000} for r in rows]).to_parquet(tmp_path / "t.parquet")
+    batches = list(RecordingReader(decode, []).read(TaskFile(str(tmp_path / "t.parquet"))))
+    assert len(batches) == 3 and max(len(t) for b in batches for t in b.column("times").to_pylist()) == 1 << 14
+    got = [(c, t, v) for b in batches for c, ts, vs in zip(*(b.column(n).to_pylist() for n in ("channel_id", "times", "values")), strict=True) for t, v in zip(ts, vs, strict=True)]
+    assert got == [(i + 1, t, float(i)) for i in range(50) for t in range(3 if i else 40_000)]
