@@ -5,10 +5,11 @@ level by level at the medians of their projections on a random direction of that
 a bounded sample of nodes (``SAMPLE`` rows, ``SAMPLE_FLOATS`` numbers); every node is indexed, as a row of its leaf in each tree.
 
 A query walks all trees from one queue, ordered by the distance to the nearest way it did not take: the next leaf is the
-most promising one of any tree. It visits ``leaves`` leaves. Members and visitors of a leaf meet in one task, where a matrix
-product gives the cosines; leaves with many of either are dealt into cells, so a task holds ``CELL`` members and ``CELL``
-visitors at most. The best of each cell are scored again in double precision, in one order of summation, so
-a vector has one score wherever it is met.
+most promising one of any tree. It visits ``leaves`` leaves. Nodes and queries are dealt into cells, so a task holds about
+``CELL`` members and ``CELL`` visitors at most (fewer if the vectors are long), and nothing is sent once for each tree or leaf:
+a cell finds the leaves of its members and those that its visitors walk to by itself. Members and visitors of a leaf meet in
+a matrix product in single precision, and what may be among a visitor's best is scored again in double precision, in one
+order of summation, so a vector has one score wherever it is met. Ties are settled by the exact scores, however many there are.
 
 How many leaves are enough depends on the vectors. ``fit`` searches the neighbours of at most ``PROBES`` queries in all nodes
 by brute force, and asks at which turn of the queue each true neighbour's leaf would come. The budget is the turn by which the
@@ -37,7 +38,13 @@ from seriesloom.llm.tables import stored
 TREES, LEAF = 8, 256
 SAMPLE, SAMPLE_FLOATS = 1 << 16, 1 << 23
 PROBES = 200
-CELL = 4096
+CELL, CELL_FLOATS = 1 << 17, 1 << 23
+#: A cell has no fewer members than this only to occupy another core.
+LEAST_CELL = 8192
+#: A visitor holds so many members more than are wanted, by scores in single precision.
+SPARE = 8
+#: Numbers of a matrix product, of distances held at once, and bits of leaves reached.
+PRODUCT, REACHED = 1 << 21, 1 << 26
 #: Hot groups are first reduced in so many parts.
 PARTS = 32
 
@@ -80,8 +87,41 @@ class Forest:
                 level += 1
             yield tree, node
 
-    def visits(self, x: np.ndarray) -> list[list[tuple[int, int]]]:
-        return [list(self.walk(p, self.leaves)) for p in self._margins(x)]
+    @property
+    def codes(self) -> int:
+        """Leaves of all trees; without any split one tree says all."""
+        return len(self.medians) << self.depth if self.depth else 1
+
+    def code_of(self, x: np.ndarray) -> np.ndarray:
+        """The leaf of each unit vector in each tree, as a place among all leaves."""
+        if not self.depth:
+            return np.zeros((len(x), 1), np.int64)
+        return self.leaf_of(x) + (np.arange(len(self.medians)) << self.depth)
+
+    def distances(self, x: np.ndarray) -> np.ndarray:
+        """How far each leaf of any tree is in the queue of each unit vector, (rows, codes); found level by level."""
+        if not self.depth:
+            return np.zeros((len(x), 1))
+        p, far = self._margins(x), np.zeros((len(x), len(self.medians), 1))
+        for level in range(self.depth):
+            gap = p[:, :, level, None] - self.medians[None, :, (1 << level) - 1 : (2 << level) - 1]
+            away, right = np.maximum(far, np.abs(gap)), gap >= 0
+            far = np.stack([np.where(right, away, far), np.where(right, far, away)], axis=-1).reshape(len(x), len(self.medians), -1)
+        return far.reshape(len(x), -1)
+
+    def reached(self, x: np.ndarray) -> np.ndarray:
+        """(codes, rows): whether a leaf is among the first ``leaves`` of the queue of a unit vector."""
+        out = np.ones((self.codes, len(x)), bool)
+        if self.leaves >= self.codes:
+            return out
+        step = max(1, PRODUCT // self.codes)
+        for at in range(0, len(x), step):
+            far = self.distances(x[at : at + step])
+            edge = np.partition(far, self.leaves - 1, axis=1)[:, self.leaves - 1 : self.leaves]
+            seen, tied = far < edge, far == edge
+            seen |= tied & (np.cumsum(tied, axis=1) <= self.leaves - seen.sum(axis=1, keepdims=True))
+            out[:, at : at + step] = seen.T
+        return out
 
 
 def grow(sample: np.ndarray, nodes: int, trees: int = TREES, leaf: int = LEAF) -> Forest:
@@ -217,83 +257,113 @@ def fit(
         part = F.pmod(F.xxhash64("node"), F.lit(PARTS))
         found = found.withColumn("part", part).withColumn("place", place).where(F.col("place") <= k + 1).drop("place")
     true = found.select("probe", "score", "leaf").collect()  # probes * (k + 1) rows
-    margins = forest._margins(_unit(x))
     turns = []
     by_probe: dict[int, list] = {}
     for r in sorted(true, key=lambda r: -r["score"]):
         by_probe.setdefault(r["probe"], []).append(r["leaf"])
     for probe, leaves in by_probe.items():
-        turn = {at: i for i, at in enumerate(forest.walk(margins[probe], forest.leaves), 1)}
-        turns += [min(turn[tree, leaf] for tree, leaf in enumerate(own)) for own in leaves[1:]]  # the first is the probe
+        turn = np.empty(forest.codes, np.int64)
+        turn[np.argsort(forest.distances(_unit(x[probe : probe + 1]))[0], kind="stable")] = np.arange(1, forest.codes + 1)
+        turns += [min(turn[(tree << forest.depth) + leaf] for tree, leaf in enumerate(own)) for own in leaves[1:]]  # the first is the probe
     if not turns:
         return forest
     budget = int(np.sort(turns)[min(len(turns) - 1, int(np.ceil(recall * len(turns))) - 1)])
     return Forest(forest.directions, forest.medians, forest.depth, budget)
 
 
-def _leaves(forest: Forest) -> Callable:
-    """(node, first, v) to one row for each tree."""
-
-    def run(batches):
-        for batch in batches:
-            leaf = forest.leaf_of(_unit(_matrix(batch.column(2)))) if batch.num_rows else np.zeros((0, 1), np.int64)
-            for tree in range(leaf.shape[1]):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(leaf), tree, np.int32)), pa.array(leaf[:, tree]), *batch.columns],
-                    names=["tree", "leaf", "node", "first", "v"],
-                )
-
-    return run
+_BEST = "asked string, best array<struct<far: double, first: long, node: string>>"
 
 
-def _visits(forest: Forest) -> Callable:
-    """(node, v) to (node, v, the leaves to visit)."""
-    kind = pa.list_(pa.struct([("tree", pa.int32()), ("leaf", pa.int64())]))
-
-    def run(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                paths = forest.visits(_unit(_matrix(part.column(1))))
-                rows = pa.array([[{"tree": t, "leaf": n} for t, n in path] for path in paths], kind)
-                yield pa.RecordBatch.from_arrays([*part.columns, rows], names=["node", "v", "path"])
+def _cosines(members: np.ndarray, square: np.ndarray, at: np.ndarray, queries: np.ndarray) -> np.ndarray:
+    """Exact cosines of each query with its members ``at``."""
+    exact = np.empty(at.shape)
+    for i in range(0, len(at), 512):
+        q, own = queries[i : i + 512], at[i : i + 512]
+        exact[i : i + 512] = (members[own] * q[:, None, :]).sum(axis=2) / (np.sqrt(square[own]) * np.sqrt((q * q).sum(axis=1))[:, None])
+    return exact
+
+
+def _met(forest: Forest, members: np.ndarray, names: np.ndarray, k: int) -> Callable:
+    """Queries to (places, scores, count): the ``k`` best of the members in the leaves that each of them visits."""
+    x, square = _unit(members), (members * members).sum(axis=1)
+    code = forest.code_of(x)
+    x = x.astype(np.float32)
+    flat = code.T.ravel()
+    order = np.argsort(flat, kind="stable")
+    found, starts = np.unique(flat[order], return_index=True)
+    leaves = list(zip(found.tolist(), np.split(order % len(x), starts[1:]), strict=True))
+    hold = k + SPARE
+    error = 4e-7 * (members.shape[1] + 8)
+
+    def run(queries: np.ndarray):
+        unit = _unit(queries)
+        seen = forest.reached(unit)
+        q = unit.astype(np.float32)
+        top, at = np.full((len(q), hold), -np.inf, np.float32), np.full((len(q), hold), -1, np.int64)
+        least = np.full(len(q), -np.inf, np.float32)
+        for leaf, own in leaves:
+            visitors, mine = np.flatnonzero(seen[leaf]), x[own].T
+            step = max(1, PRODUCT // len(own))
+            for i in range(0, len(visitors), step):
+                v = visitors[i : i + step]
+                near = q[v] @ mine
+                row, col = np.nonzero(near > least[v, None])
+                new = ~(at[v[row]] == own[col, None]).any(axis=1)  # not met in another tree
+                row, col = row[new], col[new]
+                if not len(row):
+                    continue
+                rows, place = np.unique(row, return_inverse=True)
+                cols, other = np.unique(col, return_inverse=True)
+                some = np.full((len(rows), hold + len(cols)), -np.inf, np.float32)
+                who = np.full(some.shape, -1, np.int64)
+                some[:, :hold], who[:, :hold] = top[v[rows]], at[v[rows]]
+                some[place, hold + other], who[place, hold + other] = near[row, col], own[col]
+                best = np.argpartition(-some, hold - 1, axis=1)[:, :hold]
+                top[v[rows]], at[v[rows]] = np.take_along_axis(some, best, axis=1), np.take_along_axis(who, best, axis=1)
+                least[v[rows]] = top[v[rows]].min(axis=1)
+        exact = np.where(at >= 0, _cosines(members, square, at, queries), -np.inf)
+        order = np.lexsort((names[at], -exact), axis=1)[:, :k]
+        at, exact = np.take_along_axis(at, order, axis=1), np.take_along_axis(exact, order, axis=1)
+        # what was dropped scores ``least`` at most in single precision; where that may be among the best, all are scored
+        for i in np.flatnonzero((least > -np.inf) & (least + error >= exact[:, -1])):
+            own = np.flatnonzero(seen[code, i].any(axis=1))
+            near = x[own] @ q[i]
+            own = own[near >= np.partition(near, len(own) - k)[len(own) - k] - 2 * error]
+            score = _cosines(members, square, own[None], queries[i : i + 1])[0]
+            best = np.lexsort((names[own], -score))[:k]
+            at[i], exact[i] = own[best], score[best]
+        return at, exact, (at >= 0).sum(axis=1)
 
     return run
 
 
-_BEST = "asked string, best array<struct<far: double, first: long, node: string>>"
-
-
-def _cell(k: int) -> Callable:
+def _cell(forest: Forest, k: int) -> Callable:
     """The best members of one cell, one row for each of its visitors."""
-    kind = pa.list_(pa.struct([("far", pa.float64()), ("first", pa.int64()), ("node", pa.string())]))
 
     def run(members: pa.Table, visitors: pa.Table) -> pa.Table:
-        asked, found = [], []
+        asked, found = [pa.array([], pa.string())], []
         if members.num_rows and visitors.num_rows:
-            x = _matrix(members.column("v").combine_chunks())
-            first, node = members.column("first").to_numpy(), members.column("node").to_pylist()
-            for at in range(0, visitors.num_rows, 512):
-                part = visitors.slice(at, 512)
-                asked += part.column("node").to_pylist()
-                for _, best, score in _best(_matrix(part.column("v").combine_chunks()), x, first, k):
-                    rows = zip((-score).tolist(), first[best].tolist(), best.tolist(), strict=True)
-                    found.append([{"far": f, "first": i, "node": node[b]} for f, i, b in rows])
-        return pa.table({"asked": pa.array(asked, pa.string()), "best": pa.array(found, kind)})
+            first, node = members.column("first").to_numpy(), members.column("node").combine_chunks()
+            met = _met(forest, _matrix(members.column("v").combine_chunks()), first, k)
+            step = max(64, REACHED // forest.codes)
+            for i in range(0, visitors.num_rows, step):
+                part = visitors.slice(i, step)
+                at, score, count = met(_matrix(part.column("v").combine_chunks()))
+                asked.append(part.column("node").combine_chunks())
+                there = at >= 0
+                own = at[there]
+                best = pa.StructArray.from_arrays([pa.array(-score[there]), pa.array(first[own]), node.take(pa.array(own))], ["far", "first", "node"])
+                found.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *count], dtype=np.int32)), best))
+        kind = pa.list_(pa.struct([("far", pa.float64()), ("first", pa.int64()), ("node", pa.string())]))
+        return pa.table({"asked": pa.chunked_array(asked, pa.string()), "best": pa.chunked_array(found, kind)})
 
     return run
 
 
-def _dealt(rows: DataFrame, own: str, other: str, counts: DataFrame) -> DataFrame:
-    """Rows of a leaf dealt into the leaf's cells: by themselves along one side, copied along the other."""
-    counts = counts.select("tree", "leaf", "members", "visitors")
-    rows = rows.join(F.broadcast(counts), ["tree", "leaf"])
-    n = {c: F.ceil(F.col(c) / CELL).cast("int") for c in (own, other)}
-    return (
-        rows.withColumn(f"{own}_cell", F.pmod(F.xxhash64("node"), n[own]).cast("int"))
-        .withColumn(f"{other}_cell", F.explode(F.sequence(F.lit(0), n[other] - 1)))
-        .drop("members", "visitors")
-    )
+def _dealt(rows: DataFrame, own: str, n_own: int, other: str, n_other: int) -> DataFrame:
+    """Rows dealt into cells: by themselves along one side, copied along the other."""
+    rows = rows.withColumn(own, F.pmod(F.xxhash64("node"), F.lit(n_own)).cast("int"))
+    return rows.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))))
 
 
 def nearest(
@@ -311,23 +381,17 @@ def nearest(
     queries = nodes.of(is_query)
     forest = fit(nodes, queries, k, trees, leaf, recall)
     asked = nodes.frame.select("node", "v").join(queries.select("node").distinct(), "node", "left_semi")
-    path = asked.mapInArrow(_visits(forest), f"node string, v {nodes.type}, path array<struct<tree: int, leaf: long>>")
-    visits = stored(path.select("node", "v", F.explode("path").alias("at")).select("at.*", "node", "v"), "visits")
-    leaves = nodes.frame.select("node", "first", "v").mapInArrow(
-        _leaves(forest), f"tree int, leaf long, node string, first long, v {nodes.type}"
-    )
-    index = stored(leaves, "leaves")
-    # at most trees * SAMPLE / 8 rows, as a leaf holds eight rows of the sample
-    counts = index.groupBy("tree", "leaf").agg(F.count("*").alias("members"))
-    counts = counts.join(visits.groupBy("tree", "leaf").agg(F.count("*").alias("visitors")), ["tree", "leaf"])
-    counts = stored(counts, "leaf-counts")
-    cell = ["tree", "leaf", "members_cell", "visitors_cell"]
-    here = _dealt(index, "members", "visitors", counts).groupBy(*cell)
-    there = _dealt(visits, "visitors", "members", counts).groupBy(*cell)
-    met = here.cogroup(there).applyInArrow(_cell(k + 1), _BEST)
-    # a query's leaves are as many as the forest says, with k + 1 nodes each; trees find the same nodes again
-    best = F.array_sort(F.array_distinct(F.flatten(F.collect_list("best"))))
-    best = met.groupBy("asked").agg(F.slice(best, 1, k + 1).alias("best"))
+    asked = stored(asked, "asked")
+    most = max(1, min(CELL, CELL_FLOATS // max(1, nodes.length)))
+    cores = vectors.sparkSession.sparkContext.defaultParallelism
+    n_members = max(1, -(-nodes.count // most), min(2 * cores, nodes.count // LEAST_CELL))
+    n_visitors = max(1, -(-asked.count() // most))
+    here = _dealt(nodes.frame.select("node", "first", "v"), "members", n_members, "visitors", n_visitors)
+    there = _dealt(asked, "visitors", n_visitors, "members", n_members)
+    cell = ["members", "visitors"]
+    met = here.groupBy(*cell).cogroup(there.groupBy(*cell)).applyInArrow(_cell(forest, k + 1), _BEST)
+    # a node is in one cell with a query, so the k + 1 best of all cells are among the k + 1 best of each
+    best = met.groupBy("asked").agg(F.slice(F.sort_array(F.flatten(F.collect_list("best"))), 1, k + 1).alias("best"))
     best = best.select("asked", F.explode("best").alias("b")).select("asked", (-F.col("b.far")).alias("score"), "b.node")
     best = best.join(nodes.frame.select("node", "ids"), "node")
     # at most (k + 1) ** 2 pairs for each node that asks; its k + 1 best ids serve all rows that are copies of it

@@ -158,6 +158,39 @@ def test_walk_visits_every_leaf_once():
         assert {t: n for t, n in reversed(path[:3])}.items() <= dict(enumerate(own.tolist())).items() or len({t for t, _ in path[:3]}) < 3
 
 
+def test_leaves_are_reached_in_the_order_of_the_queue():
+    rng = np.random.default_rng(5)
+    x = neighbours._unit(rng.standard_normal((900, 5)))
+    for depth, leaf in ((0, 900), (5, 30)):
+        forest = neighbours.grow(x, 900, trees=3, leaf=leaf)
+        assert forest.depth == depth
+        far, own = forest.distances(x[:20]), forest.code_of(x[:20])
+        assert far.shape == (20, forest.codes) and not np.take_along_axis(far, own, axis=1).any()
+        for n in (1, 4, forest.codes // 2 or 1, forest.codes, 10**6):
+            seen = neighbours.Forest(forest.directions, forest.medians, forest.depth, n).reached(x[:20])
+            assert (seen.sum(axis=0) == min(n, forest.codes)).all()
+            for row, p in enumerate(forest._margins(x[:20]) if depth else []):
+                path = [far[row, (t << depth) + i] for t, i in forest.walk(p, n)]
+                assert path == sorted(path) == sorted(far[row, seen[:, row]])
+
+
+@pytest.mark.parametrize("cell", [4096, 37])
+def test_more_equal_scores_than_are_held(spark, monkeypatch, cell):
+    monkeypatch.setattr(neighbours, "CELL", cell)
+    rng = np.random.default_rng(6)
+    signs = [[1.0 if n >> b & 1 else -1.0 for b in range(8)] for n in rng.permutation(256)[:200].tolist()]
+    rows = [(i, v) for i, v in enumerate(signs)] + [(i, [0.5 * x for x in signs[i % 100]]) for i in range(200, 250)]
+    same(found_by(spark, rows), brute_nearest(rows))
+
+
+def test_vectors_are_not_written_for_every_tree(spark, monkeypatch):
+    rows = [(i, v.tolist()) for i, v in enumerate(np.random.default_rng(7).standard_normal((1000, 8)).astype(np.float32))]
+    written, keep = [], neighbours.stored
+    monkeypatch.setattr(neighbours, "stored", lambda frame, purpose: written.append(keep(frame, purpose)) or written[-1])
+    assert len(found_by(spark, rows, leaf=40)) == 20
+    assert sum(t.count() for t in written) <= 1000 + 20
+
+
 # -- lexical search ----------------------------------------------------------------------------------------------------
 TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
