@@ -45,6 +45,8 @@ LEAST_CELL = 8192
 SPARE = 8
 #: Numbers of a matrix product, of distances held at once, and bits of leaves reached.
 PRODUCT, REACHED = 1 << 21, 1 << 26
+#: So many candidates are taken over at once.
+HITS = 1 << 17
 #: Hot groups are first reduced in so many parts.
 PARTS = 32
 
@@ -301,26 +303,44 @@ def _met(forest: Forest, members: np.ndarray, names: np.ndarray, k: int) -> Call
         q = unit.astype(np.float32)
         top, at = np.full((len(q), hold), -np.inf, np.float32), np.full((len(q), hold), -1, np.int64)
         least = np.full(len(q), -np.inf, np.float32)
+        hits: list[tuple[np.ndarray, ...]] = []
+        waiting = 0
+
+        def settle() -> None:
+            """Take the hits over into the best of each visitor, each member once however many trees it was met in."""
+            rows = np.unique(np.concatenate([h[0] for h in hits]))
+            held = at[rows] >= 0
+            v = np.concatenate([*(h[0] for h in hits), np.repeat(rows, held.sum(axis=1))])
+            m = np.concatenate([*(h[1] for h in hits), at[rows][held]])
+            score = np.concatenate([*(h[2] for h in hits), top[rows][held]])
+            hits.clear()
+            one = np.unique(v * len(x) + m, return_index=True)[1]
+            one = one[np.lexsort((-score[one], v[one]))]
+            v, m, score = v[one], m[one], score[one]
+            rank = np.arange(len(v)) - np.searchsorted(v, v)
+            best = rank < hold
+            top[rows], at[rows] = -np.inf, -1
+            top[v[best], rank[best]], at[v[best], rank[best]] = score[best], m[best]
+            least[rows] = top[rows, -1]
+
         for leaf, own in leaves:
             visitors, mine = np.flatnonzero(seen[leaf]), x[own].T
             step = max(1, PRODUCT // len(own))
             for i in range(0, len(visitors), step):
                 v = visitors[i : i + step]
-                near = q[v] @ mine
-                row, col = np.nonzero(near > least[v, None])
-                new = ~(at[v[row]] == own[col, None]).any(axis=1)  # not met in another tree
-                row, col = row[new], col[new]
-                if not len(row):
-                    continue
-                rows, place = np.unique(row, return_inverse=True)
-                cols, other = np.unique(col, return_inverse=True)
-                some = np.full((len(rows), hold + len(cols)), -np.inf, np.float32)
-                who = np.full(some.shape, -1, np.int64)
-                some[:, :hold], who[:, :hold] = top[v[rows]], at[v[rows]]
-                some[place, hold + other], who[place, hold + other] = near[row, col], own[col]
-                best = np.argpartition(-some, hold - 1, axis=1)[:, :hold]
-                top[v[rows]], at[v[rows]] = np.take_along_axis(some, best, axis=1), np.take_along_axis(who, best, axis=1)
-                least[v[rows]] = top[v[rows]].min(axis=1)
+                near, floor = q[v] @ mine, least[v]
+                new = np.flatnonzero(np.isneginf(floor)) if len(own) > hold else []
+                if len(new):  # of one leaf no more than can be held, and what equals the last of them
+                    floor[new] = np.nextafter(np.partition(near[new], len(own) - hold, axis=1)[:, len(own) - hold], np.float32(-np.inf))
+                row, col = np.divmod(np.flatnonzero(near > floor[:, None]), len(own))
+                if len(row):
+                    hits.append((v[row], own[col], near[row, col]))
+                    waiting += len(row)
+                if waiting >= HITS:
+                    settle()
+                    waiting = 0
+        if hits:
+            settle()
         exact = np.where(at >= 0, _cosines(members, square, at, queries), -np.inf)
         order = np.lexsort((names[at], -exact), axis=1)[:, :k]
         at, exact = np.take_along_axis(at, order, axis=1), np.take_along_axis(exact, order, axis=1)

@@ -183,6 +183,22 @@ def test_more_equal_scores_than_are_held(spark, monkeypatch, cell):
     same(found_by(spark, rows), brute_nearest(rows))
 
 
+@pytest.mark.parametrize("hits", [1, 50, 1 << 17])
+def test_candidates_are_taken_over_in_any_number(monkeypatch, hits):
+    monkeypatch.setattr(neighbours, "HITS", hits)
+    x = np.random.default_rng(8).standard_normal((700, 6))
+    forest = neighbours.grow(neighbours._unit(x), 700, trees=4, leaf=40)
+    forest = neighbours.Forest(forest.directions, forest.medians, forest.depth, 9)
+    unit, code = neighbours._unit(x), forest.code_of(neighbours._unit(x))
+    seen = forest.reached(unit[:30])
+    at, score, count = neighbours._met(forest, x, np.arange(700), 6)(x[:30])
+    for i in range(30):
+        own = np.flatnonzero(seen[code, i].any(axis=1))
+        exact = unit[own] @ unit[i]
+        best = np.argsort(-exact)[:6]
+        assert at[i].tolist() == own[best].tolist() and count[i] == 6 and np.allclose(score[i], exact[best])
+
+
 def test_vectors_are_not_written_for_every_tree(spark, monkeypatch):
     rows = [(i, v.tolist()) for i, v in enumerate(np.random.default_rng(7).standard_normal((1000, 8)).astype(np.float32))]
     written, keep = [], neighbours.stored
